@@ -48,14 +48,14 @@ DERIVED: dict[str, str] = {
                p_size > 40, FALSE
         FROM {part} WHERE p_partkey % 5 <> 0 AND p_partkey % 17 = 4
         UNION ALL
-        SELECT CAST(p_partkey * 10 + 100000005 AS BIGINT), p_partkey + 10000000, 'retired',
+        SELECT CAST(p_partkey * 10 + 10000000000005 AS BIGINT), p_partkey + 1000000000000, 'retired',
                p_brand, p_type, CAST(p_retailprice AS DECIMAL(19,4)), TRUE, TRUE
         FROM {part} WHERE p_partkey % 50 = 1""",
     # Fact lines with NULL and orphan product keys and NULL quantities.
     "lines_dirty": """
         SELECT l_orderkey, l_linenumber,
                CASE WHEN l_orderkey % 11 = 0 THEN NULL
-                    WHEN l_orderkey % 13 = 0 THEN l_partkey + 20000000
+                    WHEN l_orderkey % 13 = 0 THEN l_partkey + 2000000000000
                     ELSE l_partkey END AS l_partkey,
                l_suppkey,
                CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE CAST(l_quantity AS SMALLINT) END AS qty,
@@ -90,7 +90,7 @@ DERIVED: dict[str, str] = {
                CAST(0 AS DECIMAL(19,4)) AS price
         FROM {lineitem} WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey, l_linenumber
         UNION ALL
-        SELECT l_orderkey + 1000000000, l_linenumber, MIN(l_partkey), CAST(1 AS SMALLINT),
+        SELECT l_orderkey + 1000000000000, l_linenumber, MIN(l_partkey), CAST(1 AS SMALLINT),
                CAST(1 AS DECIMAL(19,4))
         FROM {lineitem} WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey, l_linenumber""",
 }
