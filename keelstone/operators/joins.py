@@ -56,14 +56,13 @@ def unique_or_fail(df: DataFrame, keys: Sequence[str], what: str = "rows") -> Da
     Duplicates collapse in the map-side half of the aggregate, so a key repeated a
     billion times costs its reducer a handful of rows.
     """
-    rest = [c for c in df.columns if c not in keys]
-    payload = F.struct(*rest) if rest else F.struct(F.lit(1))
-    grouped = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.any_value(payload).alias("_row")
-    )
+    # A value per column, not one struct: narrow numeric payloads then aggregate by
+    # hashing. Mixing rows is no risk, because more than one row fails.
+    rest = [F.any_value(c).alias(c) for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *rest)
     error = F.raise_error(F.lit(f"{what} are not unique by {', '.join(keys)}"))
     checked = grouped.filter(F.when(F.col("_n") > 1, error.cast("boolean")).otherwise(F.lit(True)))
-    return checked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    return checked.select(*df.columns)
 
 
 def keyed_join(
@@ -79,17 +78,18 @@ def keyed_join(
 
     ``right`` is unique by ``keys`` for inner and left. Both sides use the same names
     for the keys and share no other column. ``left_is_unique`` says that the left side
-    cannot have hot keys and saves counting them.
+    cannot have hot keys: nothing needs measuring then, and Spark picks the join from
+    its own size estimates and the sizes it sees at run time.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
     keys = list(keys)
     if how in ("left_semi", "left_anti"):
         right = right.select(*keys).distinct()
-    if fits_broadcast(right, max_broadcast_bytes):
-        return left.join(F.broadcast(right), keys, how)
     if left_is_unique:
         return left.join(right, keys, how)
+    if fits_broadcast(right, max_broadcast_bytes):
+        return left.join(F.broadcast(right), keys, how)
     return _salted_join(left, right, keys, how, rows_per_task)
 
 

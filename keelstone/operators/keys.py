@@ -57,14 +57,18 @@ def number_rows(
 
 
 def assign_surrogate_keys(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], sk: str
+    source: DataFrame,
+    target: DataFrame,
+    keys: Sequence[str],
+    sk: str,
+    source_is_unique: bool = False,
 ) -> DataFrame:
     """Source rows with their surrogate key: the target's where the business key is known,
     else the next free numbers in business-key order.
 
     Only distinct new business keys are numbered, so the work grows with the news and a
     second run over its own result numbers nothing. Rows with a NULL in the business key
-    get no surrogate key.
+    get no surrogate key. ``source_is_unique`` tells the last join that no key is hot.
     """
     keys = list(keys)
     types = {f.name: f.dataType for f in source.schema.fields}
@@ -78,7 +82,8 @@ def assign_surrogate_keys(
     wanted = source.filter(~any_null(keys)).select(*keys).distinct()
     unknown = keyed_join(wanted, known.select(*keys), keys, "left_anti", left_is_unique=True)
     fresh = number_rows(unknown, keys, sk, max_key(target, sk))
-    return keyed_join(source, known.unionByName(fresh), keys, "left")
+    keyed = known.unionByName(fresh)
+    return keyed_join(source, keyed, keys, "left", left_is_unique=source_is_unique)
 
 
 def unknown_row(dim: DataFrame, sk: str, keys: Sequence[str], overrides: Mapping[str, object] | None = None) -> DataFrame:

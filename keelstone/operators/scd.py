@@ -14,6 +14,7 @@ from keelstone.operators.dedupe import latest_per_key
 from keelstone.operators.joins import keyed_join, unique_or_fail
 from keelstone.operators.keys import max_key, number_rows
 from keelstone.operators.merge import merge
+from keelstone.session import cut_lineage
 
 NEW, UNCHANGED, CHANGING, HISTORICAL, FIXED, INFERRED = (
     "New",
@@ -120,36 +121,41 @@ def scd_load(
         raise ValueError("valid_from and valid_to go together")
     if spec.valid_from and as_of is None:
         raise ValueError("validity intervals need as_of")
-    incoming = unique_or_fail(
+    types = {f.name: f.dataType for f in dim.schema.fields}
+    checked = unique_or_fail(
         source.filter(~any_null(keys)).select(*keys, *spec.attributes), keys, "dimension source rows"
     )
-    types = {f.name: f.dataType for f in dim.schema.fields}
-    incoming = incoming.select(
-        *[F.col(c).cast(types[c]).alias(c) for c in [*keys, *spec.attributes]]
+    # Read by two joins: the check and whatever precedes it run once.
+    incoming = cut_lineage(
+        checked.select(*[F.col(c).cast(types[c]).alias(c) for c in [*keys, *spec.attributes]])
     )
-    kept = _updated_current(incoming, dim, spec, as_of, types)
-    past = _updated_past(incoming, dim, spec)
-    added = _new_versions(incoming, dim, spec, as_of, types)
-    return kept.unionByName(past).unionByName(added)
+    kept = _updated_versions(incoming, dim, spec, as_of, types)
+    return kept.unionByName(_new_versions(incoming, dim, spec, as_of, types))
+
 
+def _updated_versions(incoming, dim, spec, as_of, types) -> DataFrame:
+    """All versions the dimension has, after overwrite or expiry: one row in, one row out.
 
-def _updated_current(incoming, dim, spec, as_of, types) -> DataFrame:
-    """Current versions after overwrite or expiry; one row in, one row out."""
+    A key with very many versions is a hot key, which the join splits.
+    """
     keys = list(spec.keys)
-    offered = incoming.select(
-        *keys, *[F.col(c).alias(_NEXT + c) for c in spec.attributes], F.lit(True).alias("_matched")
+    blank = _current(dim, spec).filter(_all_null(spec.attributes)).select(*keys, F.lit(True).alias("_blank"))
+    offered = incoming.join(blank, keys, "left").select(
+        *keys,
+        *[F.col(c).alias(_NEXT + c) for c in spec.attributes],
+        F.lit(True).alias("_matched"),
+        F.col("_blank").isNotNull().alias("_inferred"),
     )
-    joined = keyed_join(_current(dim, spec), offered, keys, "left", left_is_unique=True)
-    hit = F.col("_matched").isNotNull()
-    inferred = hit & _all_null(spec.attributes)
+    joined = keyed_join(dim, offered, keys, "left")
+    held_current = F.coalesce(F.col(spec.flag), F.lit(False))
+    inferred = F.coalesce(F.col("_inferred"), F.lit(False))
+    hit = F.col("_matched").isNotNull() & held_current
     expired = hit & ~inferred & _differs(spec.historical, "", _NEXT)
     out = []
     for name in dim.columns:
         value = F.col(name)
         if name in spec.attributes:
-            takes = inferred
-            if name in spec.changing:
-                takes = hit & ~expired
+            takes = inferred | (hit & ~expired) if name in spec.changing else inferred
             value = F.when(takes, F.col(_NEXT + name)).otherwise(value)
         elif name == spec.flag:
             value = F.when(expired, F.lit(False)).otherwise(value)
@@ -159,25 +165,6 @@ def _updated_current(incoming, dim, spec, as_of, types) -> DataFrame:
     return joined.select(*out)
 
 
-def _updated_past(incoming, dim, spec) -> DataFrame:
-    """Earlier versions: untouched, but for keys whose current version was inferred."""
-    keys = list(spec.keys)
-    past = dim.filter(~F.coalesce(F.col(spec.flag), F.lit(False)))
-    blank = _current(dim, spec).filter(_all_null(spec.attributes)).select(*keys)
-    arrived = keyed_join(incoming, blank, keys, "left_semi", left_is_unique=True).select(
-        *keys, *[F.col(c).alias(_NEXT + c) for c in spec.attributes], F.lit(True).alias("_matched")
-    )
-    joined = keyed_join(past, arrived, keys, "left")
-    return joined.select(
-        *[
-            F.when(F.col("_matched"), F.col(_NEXT + c)).otherwise(F.col(c)).alias(c)
-            if c in spec.attributes
-            else F.col(c)
-            for c in dim.columns
-        ]
-    )
-
-
 def _new_versions(incoming, dim, spec, as_of, types) -> DataFrame:
     """First versions of new keys and next versions of historical ones, numbered by key."""
     classified = scd_classify(incoming, dim, spec)

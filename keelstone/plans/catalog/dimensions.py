@@ -33,7 +33,8 @@ CUR = {"cur": "SELECT * FROM dim_part WHERE flag"}
 )
 def surrogate_keys(spark, sf):
     dim = table(spark, sf, "dim_part").filter("flag")
-    return assign_surrogate_keys(table(spark, sf, "src_part"), dim, ["productid"], "productkey")
+    source = table(spark, sf, "src_part")
+    return assign_surrogate_keys(source, dim, ["productid"], "productkey", source_is_unique=True)
 
 
 @query(

@@ -70,5 +70,5 @@ def fact_load(
             lines = lookup(lines, spec)
     if target is None:
         return number_rows(lines, business_keys, sk)
-    keyed = assign_surrogate_keys(lines, target, business_keys, sk)
+    keyed = assign_surrogate_keys(lines, target, business_keys, sk, source_is_unique=True)
     return merge(target, keyed.filter(~any_null(business_keys)), business_keys, source_is_unique=True)

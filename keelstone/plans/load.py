@@ -13,7 +13,8 @@ from keelstone.operators.incremental import incremental_extract
 from keelstone.operators.joins import unique_or_fail
 from keelstone.operators.merge import merge
 from keelstone.operators.scd import ScdSpec, scd_load
-from keelstone.sinks.tables import commit, load_or_empty
+from keelstone.session import cut_lineage
+from keelstone.sinks.tables import commit, load_or_empty, table_exists
 from keelstone.types import as_schema
 
 FULL_OVERWRITE, INCREMENTAL, SCD_2 = "FULL_OVERWRITE", "INCREMENTAL", "SCD_2"
@@ -52,8 +53,10 @@ def _one_per_key(rows: DataFrame, options: LoadOptions) -> DataFrame:
     return first_per_key(rows, keys)
 
 
-def next_state(source: DataFrame, target: DataFrame, options: LoadOptions) -> DataFrame:
-    """The table after the load, as a plan; nothing is written."""
+def next_state(
+    source: DataFrame, target: DataFrame, options: LoadOptions, first_load: bool = False
+) -> DataFrame:
+    """The table after the load; the table itself is not written."""
     if options.strategy == FULL_OVERWRITE:
         return _one_per_key(source, options)
     if options.strategy == INCREMENTAL:
@@ -61,7 +64,16 @@ def next_state(source: DataFrame, target: DataFrame, options: LoadOptions) -> Da
         if options.watermark:
             fresh = incremental_extract(source, target, options.watermark)
         rows = _one_per_key(fresh, options)
-        return merge(target, rows, options.business_keys, source_is_unique=True)
+        if not first_load:
+            # Kept once, so that measuring and merging do not repeat the extract.
+            rows = cut_lineage(rows)
+        return merge(
+            target,
+            rows,
+            options.business_keys,
+            source_is_unique=True,
+            small_source=not first_load,
+        )
     if options.strategy == SCD_2:
         if options.scd is None:
             raise ValueError("SCD_2 needs column roles")
@@ -79,8 +91,9 @@ def load(
     schema = as_schema(schema)
     present = T.StructType([f for f in schema.fields if f.name in source.columns])
     typed = enforce_schema(source, present, "strict" if options.strict_types else "permissive")
-    target = load_or_empty(source.sparkSession, path, schema)
-    return commit(next_state(typed, target, options), path)
+    spark = source.sparkSession
+    target = load_or_empty(spark, path, schema)
+    return commit(next_state(typed, target, options, not table_exists(spark, path)), path)
 
 
 def execute_task(spark: SparkSession, context: dict) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelstone.functions.legacy import load_time
 from keelstone.operators.columns import (
     INGEST_COLUMNS,
     INGESTED_AT,
@@ -22,7 +25,7 @@ from keelstone.operators.lookup import Lookup, lookup
 from keelstone.operators.merge import merge
 from keelstone.plans.facts import with_total
 from keelstone.sinks.partitions import append_evolving, read_evolving
-from keelstone.sinks.tables import commit, load_or_empty
+from keelstone.sinks.tables import commit, empty_frame, load_or_empty
 
 
 def bronze_ingest(source: DataFrame, path: str, source_system: str, as_of: str | None = None) -> DataFrame:
@@ -69,11 +72,12 @@ def silver_load(
 def gold_dimension(
     silver: DataFrame, target: DataFrame | None, keys: Sequence[str], sk: str
 ) -> DataFrame:
-    """Silver rows with stable surrogate keys and the unknown member."""
+    """Silver rows, unique by key, with stable surrogate keys and the unknown member."""
     if target is None:
         schema = T.StructType([*silver.schema.fields, T.StructField(sk, T.LongType())])
-        target = silver.sparkSession.createDataFrame([], schema)
-    return add_unknown_member(assign_surrogate_keys(silver, target, keys, sk), sk, keys)
+        target = empty_frame(silver.sparkSession, schema)
+    keyed = assign_surrogate_keys(silver, target, keys, sk, source_is_unique=True)
+    return add_unknown_member(keyed, sk, keys)
 
 
 def gold_fact(silver: DataFrame, lookups: Sequence[Lookup], quantity: str, price: str) -> DataFrame:
@@ -119,13 +123,17 @@ def run_layers(
     """Load every table through bronze, silver and gold: dimensions first, then facts.
 
     Returns the gold tables. Running it again on the same sources changes none of them.
+    Silver reads what this run added to bronze: the load time is a pushed-down filter that
+    skips the files of earlier runs.
     """
+    as_of = as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
     gold: dict[str, DataFrame] = {}
 
     def to_silver(table: DimensionTable | FactTable) -> DataFrame:
         bronze = bronze_ingest(sources[table.name], f"{root}/bronze/{table.name}", source_system, as_of)
         path = f"{root}/silver/{table.name}"
-        rows = silver_rows(bronze, table.keys, table.schema, table.mappings)
+        added = bronze.filter(F.col(INGESTED_AT) >= load_time(as_of))
+        rows = silver_rows(added, table.keys, table.schema, table.mappings)
         target = load_or_empty(spark, path, rows.schema)
         return commit(merge(target, rows, table.keys, source_is_unique=True), path)
 

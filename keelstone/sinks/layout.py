@@ -31,6 +31,12 @@ def _rankable(df: DataFrame, column: str) -> Column:
     raise ValueError(f"cannot cluster on {column}: {dtype.simpleString()}")
 
 
+def _range_number(rank: Column, borders: Sequence[float]) -> Column:
+    """How many borders lie at or below the value; 0 for NULL."""
+    array = F.array(*[F.lit(b) for b in sorted(set(borders))]).cast("array<double>")
+    return F.size(F.filter(array, lambda border: border <= rank))
+
+
 def z_value(df: DataFrame, columns: Sequence[str]) -> Column:
     """Interleaved range numbers of the columns.
 
@@ -42,9 +48,7 @@ def z_value(df: DataFrame, columns: Sequence[str]) -> Column:
     borders = ranks.approxQuantile(list(columns), probabilities, RELATIVE_ERROR)
     bits = []
     for position, (column, found) in enumerate(zip(columns, borders)):
-        rank = _rankable(df, column)
-        array = F.array(*[F.lit(b) for b in sorted(set(found))]).cast("array<double>")
-        number = F.coalesce(F.size(F.filter(array, lambda b, r=rank: b <= r)), F.lit(0))
+        number = _range_number(_rankable(df, column), found)
         for bit in range(RANGE_BITS):
             picked = F.shiftright(number, bit).bitwiseAND(F.lit(1)).cast("bigint")
             bits.append(F.shiftleft(picked, bit * len(columns) + position))

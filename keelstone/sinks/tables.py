@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelstone.types import as_schema
@@ -68,11 +69,17 @@ def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(version_path(path, version))
 
 
+def empty_frame(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """No rows under a schema, in a form the optimizer sees through: joins with it fold away."""
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in as_schema(schema).fields]
+    return spark.range(1).select(*nulls).filter(F.lit(False))
+
+
 def load_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The current version, or an empty frame: first load and later loads are one plan."""
     if table_exists(spark, path):
         return read_current(spark, path)
-    return spark.createDataFrame([], as_schema(schema))
+    return empty_frame(spark, schema)
 
 
 def commit(

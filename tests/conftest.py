@@ -19,6 +19,7 @@ def local_session():
         spark__master="local[8]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="6g",
+        spark__ui__showConsoleProgress="false",
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="keelstone-test-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
