@@ -84,10 +84,13 @@ def _class_array(spec: ScdSpec, matched: Column, held: str, incoming: str) -> Co
     )
 
 
-def scd_classify(source: DataFrame, dim: DataFrame, spec: ScdSpec) -> DataFrame:
+def scd_classify(
+    source: DataFrame, dim: DataFrame, spec: ScdSpec, source_is_unique: bool = False
+) -> DataFrame:
     """Source rows plus ``scd_classes`` against the dimension's current versions.
 
     Rows with a NULL business key are not classified and not returned.
+    ``source_is_unique`` says that no key is hot.
     """
     keys = list(spec.keys)
     held = unique_or_fail(
@@ -95,7 +98,8 @@ def scd_classify(source: DataFrame, dim: DataFrame, spec: ScdSpec) -> DataFrame:
         keys,
         "current dimension rows",
     ).withColumn("_matched", F.lit(True))
-    joined = source.filter(~any_null(keys)).join(held, keys, "left")
+    keyed = source.filter(~any_null(keys))
+    joined = keyed_join(keyed, held, keys, "left", left_is_unique=source_is_unique)
     matched = F.col("_matched").isNotNull()
     return joined.select(*source.columns, _class_array(spec, matched, _HELD, "").alias(CLASSES))
 
@@ -167,7 +171,7 @@ def _updated_versions(incoming, dim, spec, as_of, types) -> DataFrame:
 
 def _new_versions(incoming, dim, spec, as_of, types) -> DataFrame:
     """First versions of new keys and next versions of historical ones, numbered by key."""
-    classified = scd_classify(incoming, dim, spec)
+    classified = scd_classify(incoming, dim, spec, source_is_unique=True)
     versions = classified.filter(_has(NEW) | _has(HISTORICAL)).drop(CLASSES)
     numbered = number_rows(versions, spec.keys, spec.sk, max_key(dim, spec.sk))
     out = []

@@ -66,9 +66,16 @@ def scd1_upsert(spark, sf):
     return S.scd1_upsert(dim, table(spark, sf, "src_part"), ["productid"])
 
 
-CLASSIFIED = {
-    **CUR,
-    "tested": """
+def classified_ctes(dim: str = "dim_part", again: str = "") -> dict[str, str]:
+    """CTEs that classify src_part against ``dim``; ``again`` tells a second set apart."""
+    return {
+        f"cur{again}": f"SELECT * FROM {dim} WHERE flag",
+        f"tested{again}": _TESTED.format(cur=f"cur{again}"),
+        f"classified{again}": _CLASSES.format(tested=f"tested{again}"),
+    }
+
+
+_TESTED = """
         SELECT s.*, c.productid IS NOT NULL AS matched,
                c.productname IS NULL AND c.supplierid IS NULL AND c.categoryid IS NULL
                AND c.unitprice IS NULL AND c.discontinued IS NULL AS inferred,
@@ -77,15 +84,15 @@ CLASSIFIED = {
                OR c.discontinued IS DISTINCT FROM s.discontinued AS changing,
                c.supplierid IS DISTINCT FROM s.supplierid
                OR c.categoryid IS DISTINCT FROM s.categoryid AS historical
-        FROM src_part s LEFT JOIN cur c ON c.productid = s.productid""",
-    "classified": """
+        FROM src_part s LEFT JOIN {cur} c ON c.productid = s.productid"""
+_CLASSES = """
         SELECT productid, productname, supplierid, categoryid, unitprice, discontinued,
                CASE WHEN NOT matched THEN 'New' WHEN inferred THEN 'Inferred'
                     WHEN changing AND historical THEN 'Changing,Historical'
                     WHEN changing THEN 'Changing' WHEN historical THEN 'Historical'
                     ELSE 'Unchanged' END AS classes
-        FROM tested""",
-}
+        FROM {tested}"""
+CLASSIFIED = classified_ctes()
 
 
 @query("scd_classify", "SELECT productid, classes FROM classified", "src_part", "dim_part", **CLASSIFIED)
@@ -94,8 +101,8 @@ def scd_classify(spark, sf):
     return found.select("productid", F.array_join(S.CLASSES, ",").alias("classes"))
 
 
-def _versions(interval: bool) -> str:
-    """The table after a mixed load, as SQL; ``interval`` adds the validity columns."""
+def versions_sql(interval: bool, dim: str = "dim", again: str = "") -> str:
+    """``dim`` after a mixed load, as SQL; ``interval`` adds the validity columns."""
     attributes = ["productname", "supplierid", "categoryid", "unitprice", "discontinued"]
     updated = ", ".join(
         f"CASE WHEN s.classes = 'Inferred'{extra} THEN s.{a} ELSE d.{a} END AS {a}"
@@ -110,16 +117,16 @@ def _versions(interval: bool) -> str:
     return f"""
         SELECT d.productkey, d.productid, {updated}, NOT {expired} AS flag
                {kept_interval if interval else ''}
-        FROM dim d LEFT JOIN classified s ON s.productid = d.productid WHERE d.flag
+        FROM {dim} d LEFT JOIN classified{again} s ON s.productid = d.productid WHERE d.flag
         UNION ALL
         SELECT d.productkey, d.productid, {past}, d.flag {', d.valid_from, d.valid_to' if interval else ''}
-        FROM dim d LEFT JOIN classified s ON s.productid = d.productid WHERE NOT d.flag
+        FROM {dim} d LEFT JOIN classified{again} s ON s.productid = d.productid WHERE NOT d.flag
         UNION ALL
-        SELECT (SELECT GREATEST(COALESCE(MAX(productkey), 0), 0) FROM dim)
+        SELECT (SELECT GREATEST(COALESCE(MAX(productkey), 0), 0) FROM {dim})
                + ROW_NUMBER() OVER (ORDER BY productid),
                productid, {', '.join(attributes)}, TRUE
                {f", TIMESTAMP '{AS_OF}', NULL" if interval else ''}
-        FROM classified WHERE classes = 'New' OR classes LIKE '%Historical'"""
+        FROM classified{again} WHERE classes = 'New' OR classes LIKE '%Historical'"""
 
 
 DATED_DIM = f"""SELECT *, TIMESTAMP '2020-01-01 00:00:00' AS valid_from,
@@ -127,14 +134,14 @@ DATED_DIM = f"""SELECT *, TIMESTAMP '2020-01-01 00:00:00' AS valid_from,
                     AS valid_to FROM dim_part"""
 
 
-@query("scd_mixed", _versions(False), "src_part", "dim_part", **CLASSIFIED, dim="SELECT * FROM dim_part")
+@query("scd_mixed", versions_sql(False), "src_part", "dim_part", **CLASSIFIED, dim="SELECT * FROM dim_part")
 def scd_mixed(spark, sf):
     return S.scd_load(table(spark, sf, "src_part"), table(spark, sf, "dim_part"), SPEC)
 
 
 @query(
     "scd2_dates",
-    f"SELECT * EXCLUDE (flag), flag AS is_current FROM ({_versions(True)}) v",
+    f"SELECT * EXCLUDE (flag), flag AS is_current FROM ({versions_sql(True)}) v",
     "src_part",
     "dim_part",
     **CLASSIFIED,

@@ -10,7 +10,7 @@ from keelstone.operators.changes import difference_count
 from keelstone.operators.dedupe import latest_per_key
 from keelstone.operators.scd import scd_load
 from keelstone.plans.catalog.base import query, table
-from keelstone.plans.catalog.dimensions import SPEC
+from keelstone.plans.catalog.dimensions import SPEC, classified_ctes, versions_sql
 from keelstone.sinks.tables import load_or_empty
 
 PRODUCT = ["productid", "productname", "supplierid", "categoryid", "unitprice", "discontinued"]
@@ -156,9 +156,23 @@ def change_feed(spark, sf):
     return changes_between(before, after.filter("productname IS DISTINCT FROM 'retired'"), ["productid"])
 
 
+def _difference(once: str, twice: str) -> str:
+    sides = [f"SELECT * FROM (SELECT * FROM {a} EXCEPT ALL SELECT * FROM {b}) d" for a, b in ((once, twice), (twice, once))]
+    return f"(SELECT COUNT(*) FROM ({' UNION ALL '.join(sides)}) differing)"
+
+
 @query(
     "idempotency_check",
-    """SELECT 'merge' AS load_name, 0 AS differing_rows UNION ALL SELECT 'scd', 0""",
+    f"""SELECT 'merge' AS load_name, {_difference('merged_once', 'merged_twice')} AS differing_rows
+        UNION ALL SELECT 'scd', {_difference('loaded_once', 'loaded_twice')}""",
+    "src_part",
+    "dim_part",
+    **classified_ctes(),
+    merged_once=MERGED,
+    merged_twice=MERGED.replace("cur c", "merged_once c"),
+    loaded_once=versions_sql(False, "dim_part"),
+    **classified_ctes("loaded_once", "_again"),
+    loaded_twice=versions_sql(False, "loaded_once", "_again"),
 )
 def idempotency_check(spark, sf):
     source, dim = table(spark, sf, "src_part"), table(spark, sf, "dim_part")

@@ -12,7 +12,7 @@ from keelstone.operators.lookup import lookup, lookup_rejects
 from keelstone.plans import load as L
 from keelstone.plans import medallion as M
 from keelstone.plans.catalog.base import AS_OF, query, table
-from keelstone.plans.catalog.dimensions import CLASSIFIED, SPEC, _versions
+from keelstone.plans.catalog.dimensions import CLASSIFIED, SPEC, versions_sql
 from keelstone.plans.catalog.facts import product_lookup
 from keelstone.plans.catalog.merges import MERGED_LINES
 from keelstone.session import scratch_path
@@ -123,7 +123,7 @@ INCREMENT = """SELECT l_orderkey, l_linenumber, l_partkey, qty, price FROM (
         UNION ALL
         SELECT 'INCREMENTAL', l_orderkey, l_linenumber, price, TRUE FROM ({INCREMENT}) i
         UNION ALL
-        SELECT 'SCD_2', productid, -1, unitprice, flag FROM ({_versions(False)}) v""",
+        SELECT 'SCD_2', productid, -1, unitprice, flag FROM ({versions_sql(False)}) v""",
     "src_part",
     "dim_part",
     "bronze_lines",

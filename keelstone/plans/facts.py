@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keelstone.operators.columns import UNKNOWN_KEY, any_null, null_keys_to_unknown
 from keelstone.operators.dedupe import first_per_key, latest_per_key
+from keelstone.operators.joins import keyed_join
 from keelstone.operators.keys import assign_surrogate_keys, number_rows
 from keelstone.operators.lookup import Lookup, lookup
 from keelstone.operators.merge import merge
@@ -32,7 +33,8 @@ def stage_order_lines(orders: DataFrame, lines: DataFrame, products: DataFrame)
         F.col("p_type").alias("categoryid"),
         F.col("p_retailprice").cast(MONEY).alias("unitprice"),
     )
-    return line.join(product, "productid").join(head, "orderid")
+    # A product or an order may hold a large share of the lines.
+    return keyed_join(keyed_join(line, product, ["productid"], "inner"), head, ["orderid"], "inner")
 
 
 def with_total(fact: DataFrame, quantity: str = "qty", price: str = "unitprice", name: str = "total_amount") -> DataFrame:

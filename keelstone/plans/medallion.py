@@ -27,11 +27,26 @@ from keelstone.plans.facts import with_total
 from keelstone.sinks.partitions import append_evolving, read_evolving
 from keelstone.sinks.tables import commit, empty_frame, load_or_empty
 
+INGEST_DATE = "_ingestion_date"
+
 
 def bronze_ingest(source: DataFrame, path: str, source_system: str, as_of: str | None = None) -> DataFrame:
-    """Append the source with load time and origin; returns the whole bronze table."""
-    append_evolving(add_ingest_columns(source, source_system, as_of), path)
-    return read_evolving(source.sparkSession, path)
+    """Append the source with load time and origin, in a folder per load date.
+
+    Returns bronze under the columns of this delivery; earlier ones may have had others,
+    which :func:`keelstone.sinks.partitions.read_evolving` brings together.
+    """
+    stamped = add_ingest_columns(source, source_system, as_of)
+    stamped = stamped.withColumn(INGEST_DATE, F.to_date(INGESTED_AT))
+    append_evolving(stamped, path, [INGEST_DATE])
+    return read_evolving(source.sparkSession, path, stamped.schema)
+
+
+def added_since(bronze: DataFrame, as_of: str) -> DataFrame:
+    """Bronze rows loaded at or after ``as_of``; folders of earlier dates are not opened."""
+    since = load_time(as_of)
+    added = bronze.filter((F.col(INGEST_DATE) >= F.to_date(since)) & (F.col(INGESTED_AT) >= since))
+    return added.drop(INGEST_DATE)
 
 
 def silver_rows(
@@ -123,8 +138,7 @@ def run_layers(
     """Load every table through bronze, silver and gold: dimensions first, then facts.
 
     Returns the gold tables. Running it again on the same sources changes none of them.
-    Silver reads what this run added to bronze: the load time is a pushed-down filter that
-    skips the files of earlier runs.
+    Silver reads what this run added to bronze, not the history.
     """
     as_of = as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
     gold: dict[str, DataFrame] = {}
@@ -132,8 +146,7 @@ def run_layers(
     def to_silver(table: DimensionTable | FactTable) -> DataFrame:
         bronze = bronze_ingest(sources[table.name], f"{root}/bronze/{table.name}", source_system, as_of)
         path = f"{root}/silver/{table.name}"
-        added = bronze.filter(F.col(INGESTED_AT) >= load_time(as_of))
-        rows = silver_rows(added, table.keys, table.schema, table.mappings)
+        rows = silver_rows(added_since(bronze, as_of), table.keys, table.schema, table.mappings)
         target = load_or_empty(spark, path, rows.schema)
         return commit(merge(target, rows, table.keys, source_is_unique=True), path)
 

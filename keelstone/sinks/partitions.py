@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,22 +45,27 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     )
 
 
-def touched_partitions(source: DataFrame, partition_by: Sequence[str]) -> Column:
-    """Predicate for the partitions ``source`` has rows in.
+def touched_partitions(source: DataFrame, partition_by: Sequence[str]) -> Column | None:
+    """Predicate for the partitions ``source`` has rows in; None if it has none.
 
     The values come to the driver, where the file listing already has one entry per
     partition folder; as literals they prune folders before the scan starts.
     """
     rows = source.select(*partition_by).distinct().collect()
-    predicate = F.lit(False)
-    for row in rows:
-        same = F.lit(True)
-        for name, value in zip(partition_by, row):
-            same = same & F.col(name).eqNullSafe(F.lit(value))
-        predicate = predicate | same
-    if len(partition_by) == 1 and rows and all(r[0] is not None for r in rows):
+    if not rows:
+        return None
+    if len(partition_by) == 1 and all(r[0] is not None for r in rows):
         return F.col(partition_by[0]).isin([r[0] for r in rows])
-    return predicate
+    return reduce(
+        Column.__or__,
+        [
+            reduce(
+                Column.__and__,
+                [F.col(name).eqNullSafe(F.lit(value)) for name, value in zip(partition_by, row)],
+            )
+            for row in rows
+        ],
+    )
 
 
 def merge_partitions(
@@ -74,13 +80,16 @@ def merge_partitions(
     if missing:
         raise ValueError(f"partition columns must be part of the merge key: {missing}")
     target = source.sparkSession.read.parquet(path)
-    slice_ = target.filter(touched_partitions(source, partition_by))
+    touched = touched_partitions(source, partition_by)
+    if touched is None:
+        return
+    slice_ = target.filter(touched)
     replace_partitions(merge(slice_, source, keys, **merge_options), path, partition_by)
 
 
-def append_evolving(df: DataFrame, path: str) -> None:
+def append_evolving(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Append; columns may be missing or new compared with earlier appends."""
-    df.write.mode("append").parquet(path)
+    df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def read_evolving(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -46,6 +46,11 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(_number(marker.getParent()) for marker in markers)
 
 
+def has_rows_written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder itself (not to a version of it) has finished."""
+    return bool(_found(spark, f"{path}/_SUCCESS"))
+
+
 def version_path(path: str, version: int) -> str:
     """Folder of one version."""
     return f"{path}/{_VERSION}{version}"

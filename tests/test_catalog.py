@@ -7,6 +7,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.check import compare, duck
 from tests.conftest import SMALL
+from tests.util import plan
 
 # Keys the operator inventory names.
 INVENTORY = """
@@ -33,7 +34,14 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_equals_sql(spark, con, name):
-    assert compare(spark, con, name, queries()[name], oracle_sql()[name], SMALL) is None
+    def planned(session, sf_dir):
+        df = queries()[name](session, sf_dir)
+        text = plan(df)
+        for operator in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas"):
+            assert operator not in text
+        return df
+
+    assert compare(spark, con, name, planned, oracle_sql()[name], SMALL) is None
 
 
 def test_inventory_is_covered():

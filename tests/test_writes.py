@@ -147,6 +147,30 @@ def test_load_strategies(spark, tmp_path):
             L.next_state(bad, bad, wrong)
 
 
+def test_load_by_partition(spark, tmp_path):
+    path, schema = str(tmp_path / "parts"), "id int, v string, t int, day string"
+    options = L.LoadOptions(L.INCREMENTAL, ("id", "day"), watermark="t", ignore_duplicates=True)
+
+    def arrive(values):
+        df = spark.createDataFrame(values, schema)
+        return L.load_partitioned(df, path, schema, options, ["day"])
+
+    arrive([(1, "a", 1, "mon"), (2, "b", 2, "tue"), (2, "c", 3, "tue")])
+    kept = {f for f in spark.read.parquet(path).inputFiles() if "day=mon" in f}
+    state = arrive([(1, "old", 1, "mon"), (2, "d", 4, "tue"), (3, "e", 4, "wed")])
+    assert rows(state) == ["(1, 'a', 1, 'mon')", "(2, 'd', 4, 'tue')", "(3, 'e', 4, 'wed')"]
+    assert kept == {f for f in spark.read.parquet(path).inputFiles() if "day=mon" in f}
+    assert rows(arrive([(1, "old", 1, "mon")])) == rows(state)  # nothing above the mark
+    with pytest.raises(ValueError):
+        L.load_partitioned(state, path, schema, L.LoadOptions(L.FULL_OVERWRITE, ("id",)), ["day"])
+
+
+def test_stage_replaces(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    tables.stage(spark.range(5), path)
+    assert tables.stage(spark.range(2), path).count() == 2
+
+
 def test_execute_task(spark, tmp_path):
     spark.range(10).selectExpr("CAST(id AS INT) AS id", "'v' AS v", "CAST(id AS INT) AS t").createOrReplaceTempView("task_source")
     context = {
