@@ -102,13 +102,12 @@ def unknown_row(dim: DataFrame, sk: str, keys: Sequence[str], overrides: Mapping
         else:
             value = None
         values.append(F.lit(value).cast(field.dataType).alias(field.name))
-    return dim.sparkSession.range(1).select(*values)
+    return dim.sparkSession.range(0, 1, 1, 1).select(*values)
 
 
 def add_unknown_member(
     dim: DataFrame, sk: str, keys: Sequence[str], overrides: Mapping[str, object] | None = None
 ) -> DataFrame:
     """Add the unknown member unless the dimension has it."""
-    present = dim.filter(F.col(sk) == UNKNOWN_KEY).select(sk).distinct()
-    row = unknown_row(dim, sk, keys, overrides)
-    return dim.unionByName(row.join(present, sk, "left_anti").select(*dim.columns))
+    present = dim.filter(F.col(sk) == UNKNOWN_KEY).exists()
+    return dim.unionByName(unknown_row(dim, sk, keys, overrides).filter(~present))

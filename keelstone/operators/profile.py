@@ -215,7 +215,7 @@ def suggest_mapping(df: DataFrame) -> DataFrame:
                 F.lit(any(w in f.name.lower() for w in PII_WORDS)).alias("_by_name"),
             )
         )
-    listed = df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    listed = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
     if not strings:
         return listed.withColumnRenamed("_by_name", "is_pii")
     # One row per column on both sides.

@@ -403,7 +403,7 @@ def incremental_merge(spark, sf):
 )
 def union_all(spark, sf):
     names = table(spark, sf, "customer").select("c_custkey", "c_name")
-    blank = spark.range(1).select(
+    blank = spark.range(0, 1, 1, 1).select(
         F.lit(None).cast("bigint").alias("c_custkey"), F.lit(None).cast("string").alias("c_name")
     )
     return D.union_all(names, blank)

@@ -77,7 +77,7 @@ def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
 def empty_frame(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
     """No rows under a schema, in a form the optimizer sees through: joins with it fold away."""
     nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in as_schema(schema).fields]
-    return spark.range(1).select(*nulls).filter(F.lit(False))
+    return spark.range(0, 1, 1, 1).select(*nulls).filter(F.lit(False))
 
 
 def load_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
