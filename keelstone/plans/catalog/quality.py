@@ -211,7 +211,8 @@ SHAPES = {
 def _type_sql(name: str) -> str:
     keys, measures, dates = SHAPES[name]
     foreign = " + ".join(f"CAST(COUNT(DISTINCT {k}) < COUNT(*) AS BIGINT)" for k in keys)
-    return f"""SELECT '{name}' AS table_name, n_foreign_keys, {measures} AS n_measures, {dates} AS n_dates,
+    return f"""SELECT '{name}' AS table_name, n_foreign_keys,
+                      CAST({measures} AS BIGINT) AS n_measures, CAST({dates} AS BIGINT) AS n_dates,
                       CASE WHEN n_foreign_keys > 0 AND {measures} > 0 AND {dates} > 0 THEN 'FACT'
                            ELSE 'DIMENSION' END AS table_type
                FROM (SELECT {foreign} AS n_foreign_keys FROM {name}) k"""

@@ -34,12 +34,12 @@ def full_load(spark, sf):
     return tables.commit(new, path)
 
 
-YEARS = ", YEAR(l_shipdate) AS year, MONTH(l_shipdate) AS month"
+YEARS = ", CAST(YEAR(l_shipdate) AS INTEGER) AS year, CAST(MONTH(l_shipdate) AS INTEGER) AS month"
 
 
 @query(
     "partition_replace",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, YEAR(l_shipdate) AS year,
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, CAST(YEAR(l_shipdate) AS INTEGER) AS year,
               CASE WHEN YEAR(l_shipdate) = (SELECT MIN(YEAR(l_shipdate)) FROM lineitem)
                    THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem""",
 )
@@ -57,7 +57,7 @@ def partition_replace(spark, sf):
 
 @query(
     "merge_partitions",
-    """SELECT l_orderkey, l_linenumber, l_partkey, qty, year FROM (
+    """SELECT l_orderkey, l_linenumber, l_partkey, qty, CAST(year AS INTEGER) AS year FROM (
            SELECT l_orderkey, l_linenumber, YEAR(l_shipdate) AS year, MIN(l_partkey) AS l_partkey,
                   CASE WHEN YEAR(l_shipdate) = (SELECT MAX(YEAR(l_shipdate)) FROM lineitem)
                        THEN MAX(l_quantity) ELSE MIN(l_quantity) END AS qty

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from keelstone.operators import joins
 from tests.check import compare, duck
 from tests.conftest import SMALL
 from tests.util import plan
@@ -44,6 +45,23 @@ def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, name, planned, oracle_sql()[name], SMALL) is None
 
 
+@pytest.mark.parametrize(
+    "name", ["fact_load_default", "fact_load_validated", "fact_stage", "keyed_update", "lookup_rejects", "scd_mixed"]
+)
+def test_query_with_sides_too_large_to_broadcast(spark, con, name, monkeypatch):
+    """The same rows when nothing may be broadcast and every key over 20 rows is salted."""
+    salted, used = joins._salted_join, []
+
+    def spread(left, right, keys, how, _rows_per_task):
+        used.append(how)
+        return salted(left, right, keys, how, 20)
+
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(joins, "_salted_join", spread)
+    assert compare(spark, con, name, queries()[name], oracle_sql()[name], SMALL) is None
+    assert used
+
+
 def test_inventory_is_covered():
     assert set(INVENTORY) <= set(queries())
     assert set(queries()) == set(oracle_sql())
