@@ -18,7 +18,8 @@ def observed(
 ) -> tuple[DataFrame, Observation]:
     """``df`` with row counters that fill while it is written; no second scan.
 
-    ``steps`` is step -> predicate of the rows to count, None for all rows.
+    ``steps`` is step -> predicate of the rows to count, None for all rows. Observe the
+    frame that is written: below a shuffle, a stage that runs again would count again.
     """
     counter = Observation(name)
     counts = []

@@ -45,15 +45,17 @@ def scan_query(spark, sf):
 @query(
     "scan_param",
     """SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(19,4)) AS total
-       FROM orders WHERE o_orderkey > 1000""",
+       FROM orders WHERE o_orderkey > (SELECT FLOOR(MAX(o_orderkey) / 2) FROM orders)""",
 )
 def scan_param(spark, sf):
+    # The variable of an earlier step: one value.
+    loaded = table(spark, sf, "orders").agg(F.floor(F.max("o_orderkey") / 2)).first()[0]
     return scans.scan_query(
         spark,
         """SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(19,4)) AS total
            FROM {orders} WHERE o_orderkey > :lo""",
         {"orders": table(spark, sf, "orders")},
-        {"lo": 1000},
+        {"lo": loaded},
     )
 
 

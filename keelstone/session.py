@@ -34,8 +34,8 @@ def build_session(app_name: str = "keelstone", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where neither the setting nor the context names one (single-machine tests)
-    a temporary folder is made and set as the checkpoint folder.
+    Where neither the setting nor the context names one, a local session gets a temporary
+    folder as its checkpoint folder; on a cluster no machine's own folder will do.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     made = tempfile.mkdtemp(prefix="keelstone-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -31,31 +31,50 @@ def _rankable(df: DataFrame, column: str) -> Column:
     raise ValueError(f"cannot cluster on {column}: {dtype.simpleString()}")
 
 
-def _range_number(rank: Column, borders: Sequence[float]) -> Column:
-    """How many borders lie at or below the value; 0 for NULL."""
-    array = F.array(*[F.lit(b) for b in sorted(set(borders))]).cast("array<double>")
-    return F.size(F.filter(array, lambda border: border <= rank))
+def _range_number(rank: Column, borders: Sequence[float], first: int = 0) -> Column:
+    """How many borders lie at or below the value, by halving: a few comparisons a row."""
+    if not borders:
+        return F.lit(first)
+    middle = len(borders) // 2
+    below = _range_number(rank, borders[:middle], first)
+    above = _range_number(rank, borders[middle + 1 :], first + middle + 1)
+    return F.when(rank < borders[middle], below).otherwise(above)
 
 
-def z_value(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Interleaved range numbers of the columns.
+def with_z_value(df: DataFrame, columns: Sequence[str], border_sample: float = 1.0) -> DataFrame:
+    """``df`` with ``_z``, the interleaved range numbers of the columns; NULL ranks first.
 
-    Range borders are approximate quantiles, computed for all columns in one pass; at most
-    ``2**RANGE_BITS - 1`` numbers per column reach the driver.
+    Range borders are approximate quantiles, computed for all columns in one pass over
+    ``border_sample`` of the rows; at most ``2**RANGE_BITS - 1`` numbers per column reach
+    the driver. The borders only decide the order, so a small sample loses nothing.
     """
-    ranks = df.select(*[_rankable(df, c).alias(c) for c in columns])
+    ranks = [f"_rank_{c}" for c in columns]
+    lowest = F.lit(float("-inf"))
+    ranked = df.withColumns(
+        {r: F.coalesce(_rankable(df, c), lowest) for r, c in zip(ranks, columns)}
+    )
     probabilities = [i / (1 << RANGE_BITS) for i in range(1, 1 << RANGE_BITS)]
-    borders = ranks.approxQuantile(list(columns), probabilities, RELATIVE_ERROR)
+    sampled = ranked.select(*ranks)
+    if border_sample < 1.0:
+        sampled = sampled.sample(border_sample, seed=0)
+    borders = sampled.approxQuantile(ranks, probabilities, RELATIVE_ERROR)
+    # A projection per step: each rank and number is computed once and used by every bit.
+    numbers = [f"_number_{c}" for c in columns]
+    numbered = ranked.withColumns(
+        {n: _range_number(F.col(r), sorted(set(b))) for n, r, b in zip(numbers, ranks, borders)}
+    )
     bits = []
-    for position, (column, found) in enumerate(zip(columns, borders)):
-        number = _range_number(_rankable(df, column), found)
+    for position, number in enumerate(numbers):
         for bit in range(RANGE_BITS):
             picked = F.shiftright(number, bit).bitwiseAND(F.lit(1)).cast("bigint")
             bits.append(F.shiftleft(picked, bit * len(columns) + position))
-    return reduce(Column.bitwiseOR, bits)
+    interleaved = reduce(Column.bitwiseOR, bits)
+    return numbered.withColumn(_Z, interleaved).drop(*ranks, *numbers)
 
 
-def compact_and_cluster(df: DataFrame, columns: Sequence[str], target_files: int) -> DataFrame:
+def compact_and_cluster(
+    df: DataFrame, columns: Sequence[str], target_files: int, border_sample: float = 1.0
+) -> DataFrame:
     """The same rows in ``target_files`` partitions clustered on ``columns``.
 
     Written out, each file covers a narrow range of every column, so filters on any of
@@ -65,9 +84,10 @@ def compact_and_cluster(df: DataFrame, columns: Sequence[str], target_files: int
     if len(columns) * RANGE_BITS > 62:
         raise ValueError("too many clustering columns")
     spread = F.xxhash64(*df.columns, F.spark_partition_id())
-    marked = df.withColumns({_Z: z_value(df, columns), "_spread": spread})
     return (
-        marked.repartitionByRange(target_files, _Z, "_spread")
+        with_z_value(df, columns, border_sample)
+        .withColumn("_spread", spread)
+        .repartitionByRange(target_files, _Z, "_spread")
         .sortWithinPartitions(_Z)
         .drop(_Z, "_spread")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from keelstone.operators import dedupe as D
@@ -42,7 +44,7 @@ def test_suite_reads_only_its_columns(spark):
 
 
 def test_filter_reaches_the_scan(spark):
-    assert "GreaterThan(o_orderkey,1000)" in formatted(QUERIES["scan_param"](spark, SMALL))
+    assert re.search(r"GreaterThan\(o_orderkey,\d+\)", formatted(QUERIES["scan_param"](spark, SMALL)))
 
 
 def test_dedupe_and_merge_share_one_shuffle(large):

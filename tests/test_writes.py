@@ -109,6 +109,8 @@ def test_clustering_narrows_every_column(spark, tmp_path):
     average = spans.agg(F.avg("a").alias("a"), F.avg("b").alias("b")).first()
     assert average["a"] < 1400 and average["b"] < 1400  # unclustered files span all 2,000
     assert difference_count(df, clustered).first()[0] == 0
+    sampled = layout.compact_and_cluster(df, ["a", "b"], 16, border_sample=0.1)
+    assert difference_count(df, sampled).first()[0] == 0
 
 
 def test_clustering_splits_a_crowded_cell(spark):
