@@ -24,8 +24,17 @@ from keelstone.operators.keys import add_unknown_member, assign_surrogate_keys
 from keelstone.operators.lookup import Lookup, lookup
 from keelstone.operators.merge import merge
 from keelstone.plans.facts import with_total
-from keelstone.sinks.partitions import append_evolving, read_evolving
-from keelstone.sinks.tables import commit, empty_frame, load_or_empty
+from keelstone.session import cut_lineage
+from keelstone.sinks.partitions import (
+    append_evolving,
+    merge_partitions,
+    read_evolving,
+    read_partitioned,
+    replace_partitions,
+    touched_partitions,
+    write_partitioned,
+)
+from keelstone.sinks.tables import commit, empty_frame, has_rows_written, load_or_empty
 
 INGEST_DATE = "_ingestion_date"
 
@@ -115,7 +124,13 @@ class DimensionTable:
 
 @dataclass(frozen=True)
 class FactTable:
-    """A fact of a run; ``references`` is fact column -> (dimension, its key column)."""
+    """A fact of a run; ``references`` is fact column -> (dimension, its key column).
+
+    With ``partition_by``, columns of the key, silver and gold are partitioned folders of
+    which a run reads and replaces those its rows touch. Untouched partitions keep the
+    dimension keys they were loaded with. Without it both are rewritten, and all lookups
+    repeated.
+    """
 
     name: str
     keys: tuple[str, ...]
@@ -124,6 +139,24 @@ class FactTable:
     price: str = "unitprice"
     schema: str | None = None
     mappings: tuple[ColumnMapping, ...] = ()
+    partition_by: tuple[str, ...] = ()
+
+
+def _load_fact_partitions(
+    rows: DataFrame, fact: FactTable, lookups: Sequence[Lookup], silver_path: str, gold_path: str
+) -> DataFrame:
+    """Merge new silver rows and recompute the gold partitions they touch."""
+    spark, by = rows.sparkSession, fact.partition_by
+    rows = cut_lineage(rows)
+    if has_rows_written(spark, silver_path):
+        merge_partitions(rows, silver_path, fact.keys, by, source_is_unique=True, small_source=True)
+    else:
+        write_partitioned(rows, silver_path, by)
+    touched = touched_partitions(rows, by)
+    if touched is not None:
+        silver = read_partitioned(silver_path, rows, by).filter(touched)
+        replace_partitions(gold_fact(silver, lookups, fact.quantity, fact.price), gold_path, by)
+    return read_partitioned(gold_path, rows, by)
 
 
 def run_layers(
@@ -143,10 +176,13 @@ def run_layers(
     as_of = as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
     gold: dict[str, DataFrame] = {}
 
-    def to_silver(table: DimensionTable | FactTable) -> DataFrame:
+    def new_rows(table: DimensionTable | FactTable) -> DataFrame:
         bronze = bronze_ingest(sources[table.name], f"{root}/bronze/{table.name}", source_system, as_of)
+        return silver_rows(added_since(bronze, as_of), table.keys, table.schema, table.mappings)
+
+    def to_silver(table: DimensionTable | FactTable) -> DataFrame:
         path = f"{root}/silver/{table.name}"
-        rows = silver_rows(added_since(bronze, as_of), table.keys, table.schema, table.mappings)
+        rows = new_rows(table)
         target = load_or_empty(spark, path, rows.schema)
         return commit(merge(target, rows, table.keys, source_is_unique=True), path)
 
@@ -160,11 +196,15 @@ def run_layers(
 
     sk_of = {d.name: d.sk for d in dimensions}
     for fact in facts:
-        silver = to_silver(fact)
         specs = [
             Lookup(gold[dim], {fk: key}, {sk_of[dim]: sk_of[dim]}, miss="default")
             for fk, (dim, key) in fact.references.items()
         ]
-        rows = gold_fact(silver, specs, fact.quantity, fact.price)
-        gold[fact.name] = commit(rows, f"{root}/gold/{fact.name}")
+        path = f"{root}/gold/{fact.name}"
+        if fact.partition_by:
+            silver_path = f"{root}/silver/{fact.name}"
+            gold[fact.name] = _load_fact_partitions(new_rows(fact), fact, specs, silver_path, path)
+        else:
+            rows = gold_fact(to_silver(fact), specs, fact.quantity, fact.price)
+            gold[fact.name] = commit(rows, path)
     return gold

@@ -68,6 +68,21 @@ def touched_partitions(source: DataFrame, partition_by: Sequence[str]) -> Column
     )
 
 
+def read_partitioned(path: str, like: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """A partitioned folder with the partition columns typed as in ``like``.
+
+    Spark would read a text value such as 01 as a number and write it back as 1.
+    """
+    spark = like.sparkSession
+    types = {f.name: f.dataType for f in like.schema.fields}
+    stored = spark.read.parquet(path).schema
+    fields = [
+        T.StructField(f.name, types[f.name] if f.name in partition_by else f.dataType)
+        for f in stored.fields
+    ]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def merge_partitions(
     source: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str], **merge_options
 ) -> None:
@@ -79,11 +94,10 @@ def merge_partitions(
     missing = [c for c in partition_by if c not in keys]
     if missing:
         raise ValueError(f"partition columns must be part of the merge key: {missing}")
-    target = source.sparkSession.read.parquet(path)
     touched = touched_partitions(source, partition_by)
     if touched is None:
         return
-    slice_ = target.filter(touched)
+    slice_ = read_partitioned(path, source, partition_by).filter(touched)
     replace_partitions(merge(slice_, source, keys, **merge_options), path, partition_by)
 
 

@@ -92,8 +92,8 @@ def commit(
 ) -> DataFrame:
     """Write ``df`` as the next version, drop versions beyond ``keep``, return the new state.
 
-    ``df`` may read the current version. Of two concurrent commits one fails, because
-    both claim the same version folder.
+    ``df`` may read the current version. One writer at a time: a state computed from an
+    older version than the current one would undo what came between.
     """
     spark = df.sparkSession
     # Folders of failed writes keep their number: the next one is above all of them.

@@ -204,6 +204,35 @@ def test_layers_run_twice_change_nothing(spark, tmp_path):
     assert second["sales"].filter("productkey IS NULL").count() == 0
 
 
+def test_partitioned_facts_equal_rewritten_ones(spark, tmp_path):
+    lines = table(spark, SMALL, "lines_dirty").withColumn("part", F.concat(F.lit("0"), F.pmod("l_orderkey", F.lit(5)).cast("string")))
+    product = table(spark, SMALL, "src_part")
+    dims = [M.DimensionTable("product", ("productid",), "productkey")]
+    keys, refs = ("l_orderkey", "l_linenumber", "part"), {"l_partkey": ("product", "productid")}
+    more = lines.filter("part IN ('02', '03')").withColumn("qty", F.lit(3).cast("smallint"))
+    gold = {}
+    for name, by in (("whole", ()), ("parts", ("part",))):
+        facts = [M.FactTable("sales", keys, refs, price="price", partition_by=by)]
+        for day, rows_in in (("01", lines), ("02", more)):
+            sources = {"product": product, "sales": rows_in}
+            state = M.run_layers(spark, sources, dims, facts, str(tmp_path / name), "erp", f"2024-02-{day} 00:00:00")
+            if day == "01":
+                first = {f for f in state["sales"].inputFiles() if "part=02" not in f and "part=03" not in f}
+        gold[name] = state["sales"].select(*sorted(state["sales"].columns))
+    assert gold["whole"].schema.simpleString() == gold["parts"].schema.simpleString()
+    assert difference_count(gold["whole"], gold["parts"]).first()[0] == 0
+    kept = {f for f in gold["parts"].inputFiles() if "part=02" not in f and "part=03" not in f}
+    assert kept == first and len(kept) >= 3
+
+
+def test_text_partitions_stay_text(spark, tmp_path):
+    path = str(tmp_path / "t")
+    partitions.write_partitioned(spark.createDataFrame([(1, "01", "a")], "id int, p string, v string"), path, ["p"])
+    partitions.merge_partitions(spark.createDataFrame([(1, "01", "b")], "id int, p string, v string"), path, ["id", "p"], ["p"])
+    stored = spark.read.schema("id int, v string, p string").parquet(path)
+    assert rows(stored) == ["(1, 'b', '01')"]
+
+
 def test_fact_load_into_a_target(spark):
     dim = spark.createDataFrame([(7, 1)], "pk bigint, pid int")
     spec = Lookup(dim, {"pid": "pid"}, {"pk": "pk"})
