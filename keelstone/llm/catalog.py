@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keelstone.llm import fingerprints, pieces, records, sharding
+from keelstone.llm import captures, contamination, fingerprints, pieces, privacy, records, revisits, sharding, toxicity
 from keelstone.session import scratch_path
 
 
@@ -25,6 +26,17 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified revisit of the captures of the pages, resolved."""
+    found = revisits.resolve_revisits(captures.captures(spark, table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", captures.header_text(F.col("headers")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every document, edits allowed."""
+    return contamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token records of every document, written and read back."""
     manifest = records.write_records(
@@ -33,6 +45,14 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digests(manifest)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the training folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = (~toxicity.in_training("doc_id")).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight contiguous shards of near equal bytes."""
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
@@ -43,10 +63,23 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+#: Production takes the key from its secret store; results here are to be reproducible.
+DEMO_KEY = "keelstone"
+
+
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses permuted."""
+    return privacy.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_revisits": op4_revisits,
+    "op5_decontamination": op5_decontamination,
     "op6_token_records": op6_token_records,
+    "op7_toxicity": op7_toxicity,
     "op8_byte_shards": op8_byte_shards,
     "op9_fingerprints": op9_fingerprints,
+    "op10_pseudonyms": op10_pseudonyms,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_revisits": captures.ORACLE}

@@ -16,7 +16,8 @@ from keelstone.session import cut_lineage
 
 
 def with_offsets(rows: DataFrame, size: str, order: list[str], ranges: int) -> DataFrame:
-    """Adds ``row_at`` and ``byte_at``: rows and bytes before each row in the global order.
+    """Adds ``row_at`` and ``byte_at``, rows and bytes before each row in the global order, and
+    ``all_bytes``.
 
     Equal rows are interchangeable; rows with the same leading key stay in one range. The
     ranges' totals, one row each, are all that meets in one place.
@@ -30,6 +31,7 @@ def with_offsets(rows: DataFrame, size: str, order: list[str], ranges: int) -> D
         "_range",
         F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_byte0"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_row0"),
+        F.sum("_bytes").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_bytes"),
     )
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -61,10 +63,9 @@ def shard_by_bytes(
         F.crc32(F.coalesce(F.encode(text, "utf-8"), F.lit(b""))).alias("text_crc32"),
     )
     placed = with_offsets(rows, "size", [key, "text_crc32", "size"], ranges or parallelism(spark))
-    total = placed.agg(F.max(F.col("byte_at") + F.col("size")).alias("_total"))
     middle = (2 * F.col("byte_at") + F.col("size")) * shards
-    cut = placed.join(F.broadcast(total)).withColumn(
-        "shard", F.least(F.floor(middle / (2 * F.col("_total"))), F.lit(shards - 1)).cast("int")
+    cut = placed.withColumn(
+        "shard", F.least(F.floor(middle / (2 * F.col("all_bytes"))), F.lit(shards - 1)).cast("int")
     )
     firsts = cut.groupBy("shard").agg(F.min("row_at").alias("_first"))
     return cut.join(F.broadcast(firsts), "shard").select(
