@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelstone.llm import captures, contamination, fingerprints, pieces, privacy, records, revisits, sharding, toxicity
+from keelstone.llm import captures, contamination, fingerprints, neardup, pieces, privacy, records, revisits, sharding, substrings, toxicity
 from keelstone.session import scratch_path
 
 
@@ -21,6 +21,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings that occur earlier."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return pieces.piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -73,6 +83,8 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op2_repeated_substrings": op2_repeated_substrings,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_revisits": op4_revisits,
     "op5_decontamination": op5_decontamination,

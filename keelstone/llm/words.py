@@ -101,13 +101,18 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
     whole = np.array(
         [_sequence_hash(words[first[i] : first[i + 1]]) for i in short], np.uint64
     )
-    doc = np.concatenate([np.repeat(np.arange(len(counts)), grams), short])
-    hashes = np.concatenate([hashes, whole])
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    keep = np.ones(len(doc), bool)
-    keep[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    return hashes[keep], np.searchsorted(doc[keep], np.arange(len(counts) + 1))
+    sizes = grams.copy()
+    sizes[short] = 1
+    out = np.zeros(int(sizes.sum()), np.uint64)
+    bounds = np.r_[0, np.cumsum(sizes)]
+    out[ragged(bounds[:-1], grams)] = hashes
+    out[bounds[:-1][short]] = whole
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out[a:b].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[bounds[:-1][sizes > 0]] = True
+    return out[keep], np.r_[0, np.cumsum(keep)][bounds]
 
 
 def _sequence_hash(words: np.ndarray) -> int:
