@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +62,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive lost executors and are computed once."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@cache
+def _package_archive() -> str:
+    """This package as an archive that Spark can send to its workers."""
+    package = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="keelstone-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    return str(made)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers that do not have it installed."""
+    spark.sparkContext.addPyFile(_package_archive())
