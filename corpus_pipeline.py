@@ -1,13 +1,59 @@
-"""The corpus pipeline: stages of the training-data operators, each written and read again."""
+"""The corpus pipeline: from the documents to the tokens of what a model may train on.
+
+Each stage calls one operator on all that the stage before it kept; its rows are written as
+Parquet and read again by the next. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keelstone.llm import contamination, neardup, pieces, privacy, toxicity
+from keelstone.llm.batches import scratch_table
+from keelstone.llm.catalog import DEMO_KEY, table, vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go. Learnt from the training folds of the labels."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return neardup.without_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return contamination.without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values in the texts become pseudonyms of the same format."""
+    return privacy.pseudonymised(docs, DEMO_KEY)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded``: the pieces of every text and what they decode to."""
+    encoded = pieces.encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", hide_personal_data),
+    ("sentencepiece", encode),
+]
+#: No SQL trains the classifier; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents after every stage."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each returns is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs, _ = scratch_table(stage(spark, docs, sf_dir), name)
+    return docs

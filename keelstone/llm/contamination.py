@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -165,6 +166,18 @@ def _found(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     return docs.mapInArrow(run, HITS)
 
 
+def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
+    """The items with text, in blocks of bounded size."""
+    asked = keyed(items, "item_id", "text").filter(F.length(F.trim("text")) > 0)
+    total = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    count = -(-total // block_bytes)
+    out = []
+    for block in range(count):
+        own = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block)
+        out.append([(r.item_id, r.text) for r in own.orderBy("item_id").collect()])
+    return out
+
+
 def find_items(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for every document and benchmark item in it: the closest place and its edits.
 
@@ -175,21 +188,20 @@ def find_items(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
     tables give no rows; extra columns are ignored.
     """
     plain = keyed(docs, "doc_id", "text")
-    asked = keyed(items, "item_id", "text").filter(F.length(F.trim("text")) > 0)
-    total = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    blocks = -(-total // block_bytes)
-    if not blocks:
-        return docs.sparkSession.createDataFrame([], HITS)
-    out = None
-    for block in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = [(r.item_id, r.text) for r in own.orderBy("item_id").collect()]
-        found = _found(plain, rows)
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = [_found(plain, block) for block in _blocks(items, block_bytes)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
+
+
+def without_items(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that hold no benchmark item, all columns kept; judged where they are."""
+    for block in _blocks(items, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value)
+            for batch in slices(batches):
+                clean = [not matcher.find(t) for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
-def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of the documents that hold no benchmark item, all columns kept."""
-    dirty = find_items(docs, items).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_dirty")), "left_anti")
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
