@@ -82,10 +82,10 @@ class Pseudonyms:
     def __init__(self, key: bytes, backwards: bool = False) -> None:
         self.key, self.backwards = key, backwards
         # Notations of personal data.
-        kinds: list[tuple[str, str, Callable[[str], str | None]]] = [
+        kinds: list[tuple[str, str, Callable[[str], str | None | list[tuple[int, int, str]]]]] = [
             ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", self._email),
             ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", self._iban),
-            ("card", r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)", self._card),
+            ("card", r"(?<![\w.])\d(?:[ -]?\d){12,}(?!\w)", self._cards),
             ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", self._ssn),
             ("phone", r"(?<!\w)\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)", self._phone),
             ("phone", r"(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)", self._phone),
@@ -138,12 +138,26 @@ class Pseudonyms:
         plain = iter(f"{country}{check:02d}{body}")
         return re.sub("[A-Z0-9]", lambda _: next(plain), text)
 
-    def _card(self, text: str) -> str | None:
-        digits = re.sub(r"[^0-9]", "", text)
-        if luhn_digit(digits[:-1]) != int(digits[-1]):
-            return None
-        body = self._digits(digits[:-1], "card")
-        return _refill(text, body + str(luhn_digit(body)))
+    def _cards(self, text: str) -> list[tuple[int, int, str]]:
+        """Card numbers among groups of digits: each the longest one that starts at its group."""
+        groups = [m.span() for m in re.finditer("[0-9]+", text)]
+        found, at = [], 0
+        while at < len(groups):
+            start, step = groups[at][0], 1
+            for to in range(at, min(at + 19, len(groups))):
+                digits = re.sub("[^0-9]", "", text[start : groups[to][1]])
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 13 and luhn_digit(digits[:-1]) == int(digits[-1]):
+                    step = to + 1 - at
+            end = groups[at + step - 1][1]
+            if step > 1 or 13 <= end - start <= 19:
+                best = re.sub("[^0-9]", "", text[start:end])
+                if luhn_digit(best[:-1]) == int(best[-1]):
+                    body = self._digits(best[:-1], "card")
+                    found.append((start, end, _refill(text[start:end], body + str(luhn_digit(body)))))
+            at += step
+        return found
 
     def _ssn(self, text: str) -> str | None:
         """Areas 001-665 and 667-899, groups 01-99, serials 0001-9999."""
@@ -210,11 +224,17 @@ class Pseudonyms:
         parts = text.split(".")
         if any(int(p) > 255 or p != str(int(p)) for p in parts):
             return None
-        value = 0
-        for p in parts:
-            value = value * 256 + int(p)
-        value = self._number(value, 1 << 32, "ipv4")
-        return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
+        # Each part keeps its number of digits.
+        ranges = [((0, 10), (10, 90), (100, 156))[len(p) - 1] for p in parts]
+        value, size = 0, 1
+        for p, (low, count) in zip(parts, ranges, strict=True):
+            value, size = value * count + int(p) - low, size * count
+        value = self._number(value, size, "ipv4" + ".".join(str(len(p)) for p in parts))
+        out = []
+        for low, count in reversed(ranges):
+            value, rest = divmod(value, count)
+            out.append(str(low + rest))
+        return ".".join(reversed(out))
 
     def replace(self, text: str) -> tuple[str, Counter]:
         """The text with its findings permuted, and how many of each kind."""
@@ -222,14 +242,15 @@ class Pseudonyms:
         taken: list[tuple[int, int, str]] = []
         for name, pattern, rule in self.kinds:
             for match in pattern.finditer(text):
-                a, b = match.span()
-                after = bisect.bisect(taken, (a, b, ""))
-                if after and taken[after - 1][1] > a or after < len(taken) and taken[after][0] < b:
-                    continue
                 new = rule(match.group())
-                if new:
+                parts = new if isinstance(new, list) else [(0, len(match.group()), new)] if new else []
+                for low, high, part in parts:
+                    a, b = match.start() + low, match.start() + high
+                    after = bisect.bisect(taken, (a, b, ""))
+                    if after and taken[after - 1][1] > a or after < len(taken) and taken[after][0] < b:
+                        continue
                     found[name] += 1
-                    taken.insert(after, (a, b, new))
+                    taken.insert(after, (a, b, part))
         out, at = [], 0
         for a, b, new in taken:
             out += [text[at:a], new]
