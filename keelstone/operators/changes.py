@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelstone.operators.columns import any_null
+from keelstone.operators.joins import unique_or_fail
+
 CHANGE_TYPE = "_change_type"
 
 # Names of the change types.
@@ -17,10 +20,15 @@ INSERT, DELETE, BEFORE, AFTER = "insert", "delete", "update_preimage", "update_p
 def change_feed(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Changed rows with their change type; an update yields its old and its new row.
 
-    Both states are unique by ``keys``, which are not NULL. One full outer join; rows
-    without a difference are dropped before anything else happens to them.
+    Both states are unique by ``keys``, else the job fails. One full outer join; rows
+    without a difference are dropped before anything else happens to them. Rows with a
+    NULL in the key cannot be matched: they are compared as whole rows, copies counted,
+    and appear as inserts and deletes where their numbers differ.
     """
     keys = list(keys)
+    unkeyed = _unkeyed_changes(before.filter(any_null(keys)), after.filter(any_null(keys)))
+    before = unique_or_fail(before.filter(~any_null(keys)), keys, "rows before")
+    after = unique_or_fail(after.filter(~any_null(keys)), keys, "rows after")
     rest = [c for c in before.columns if c not in keys]
     old = before.select(
         *keys, *[F.col(c).alias(f"_b_{c}") for c in rest], F.lit(True).alias("_in_before")
@@ -44,7 +52,18 @@ def change_feed(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Dat
         .otherwise(F.array(row(DELETE, "_b_")))
     )
     exploded = changed.select(*keys, F.explode(rows).alias("_r"))
-    return exploded.select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in before.columns], F.col("_r")[CHANGE_TYPE].alias(CHANGE_TYPE))
+    columns = [F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in before.columns]
+    return exploded.select(*columns, F.col("_r")[CHANGE_TYPE].alias(CHANGE_TYPE)).unionByName(unkeyed)
+
+
+def _unkeyed_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Inserts and deletes of whole rows; copies collapse before the shuffle."""
+    columns = before.columns
+    signed = after.select(*columns, F.lit(1).alias("_w")).unionByName(before.select(*columns, F.lit(-1).alias("_w")))
+    net = signed.groupBy(*columns).agg(F.sum("_w").alias("_net")).filter("_net <> 0")
+    kind = F.when(F.col("_net") > 0, INSERT).otherwise(DELETE)
+    each = F.explode(F.sequence(F.lit(1), F.abs("_net").cast("int")))
+    return net.select(*columns, kind.alias(CHANGE_TYPE), each.alias("_each")).drop("_each")
 
 
 def difference_count(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Joins of a large side against a keyed side, safe for hot keys.
 
-The keyed side is broadcast only when its measured size is under a bound. Beyond it
-both sides are shuffled, with every key that holds more rows than one task should
-take spread over as many salts as it needs. Neither way changes the result.
+By default Spark joins as the sizes it sees at run time suggest: adaptive execution
+broadcasts a side that turns out small and splits partitions that turn out large, hot and
+NULL keys among them. Nothing is measured while the plan is built. Where adaptive
+execution is off, ``rows_per_task`` spreads every key with more rows than that over as
+many salts as it needs. No way changes the result.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-ROWS_PER_TASK = 5_000_000
 NULL_SALTS = 1024
 
 _SALT = "_salt"
@@ -40,7 +41,7 @@ def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return size is not None and size <= max_bytes
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> DataFrame:
     """Keys with more than ``rows_per_task`` rows and the number of salts each needs.
 
     Counts are exact, so evaluating this twice gives the same salts. The result has
@@ -70,27 +71,26 @@ def keyed_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    max_broadcast_bytes: int = BROADCAST_BYTES,
-    rows_per_task: int = ROWS_PER_TASK,
-    left_is_unique: bool = False,
+    rows_per_task: int | None = None,
+    broadcast: bool = False,
 ) -> DataFrame:
     """``left.join(right, keys, how)`` for how in inner, left, left_semi, left_anti.
 
     ``right`` is unique by ``keys`` for inner and left. Both sides use the same names
-    for the keys and share no other column. ``left_is_unique`` says that the left side
-    cannot have hot keys: nothing needs measuring then, and Spark picks the join from
-    its own size estimates and the sizes it sees at run time.
+    for the keys and share no other column. ``broadcast`` is the caller's word that the
+    right side has a bounded size (see :func:`fits_broadcast`). ``rows_per_task`` salts
+    hot keys, for one more pass over the left side's keys.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
     keys = list(keys)
     if how in ("left_semi", "left_anti"):
         right = right.select(*keys).distinct()
-    if left_is_unique:
-        return left.join(right, keys, how)
-    if fits_broadcast(right, max_broadcast_bytes):
+    if broadcast:
         return left.join(F.broadcast(right), keys, how)
-    return _salted_join(left, right, keys, how, rows_per_task)
+    if rows_per_task is not None:
+        return _salted_join(left, right, keys, how, rows_per_task)
+    return left.join(right, keys, how)
 
 
 def _salted_join(

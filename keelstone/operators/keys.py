@@ -10,13 +10,12 @@ from pyspark.sql import types as T
 
 from keelstone.operators.columns import UNKNOWN_KEY, any_null
 from keelstone.operators.joins import keyed_join, unique_or_fail
-from keelstone.session import cut_lineage
 
 UNKNOWN_TEXT = "Unknown"
 
-# monotonically_increasing_id() keeps the partition above this many bits and the
-# position within the partition below.
-_POSITION_BITS = 33
+# Our choice: sampled rows per range of keys, and the most ranges.
+SAMPLE_PER_RANGE = 32
+MOST_RANGES = 256
 
 
 def max_key(frame: DataFrame, column: str) -> Column:
@@ -30,30 +29,54 @@ def number_rows(
 ) -> DataFrame:
     """Add ``name`` = after + 1, after + 2, ... in the order of ``order_by``.
 
-    Same numbers as ``row_number()`` over an unpartitioned window, without its single
-    task: rows are range-partitioned and sorted, their place is frozen by a reliable
-    checkpoint (so a recomputed task cannot place them differently), and each
-    partition is shifted by the sizes of those before it. ``order_by`` should be
-    unique; equal rows get neighbouring numbers in no particular order.
+    Same numbers as ``row_number()`` over an unpartitioned window, without its single task.
+    Borders over whole keys, taken from a bounded sample, cut the rows into ranges; a row's
+    range is an expression of its keys, so a recomputed task finds the same one. Rows are
+    counted per range, numbered within it, and shifted by the ranges before. ``order_by``
+    should be unique; equal rows get neighbouring numbers in no particular order.
     """
-    placed = cut_lineage(
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn("_place", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("_place", _POSITION_BITS)
-    position = F.col("_place").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    placed = placed.withColumns({"_part": part, "_position": position})
-    # One row per partition: this window and broadcast are bounded by the number of
-    # shuffle partitions, whatever the data.
-    sizes = placed.groupBy("_part").agg((F.max("_position") + 1).alias("_size"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
-    )
+    order = list(order_by)
     after = F.lit(after).cast("bigint") if isinstance(after, int) else after
-    number = (after + F.col("_offset") + F.col("_position") + 1).cast("bigint")
-    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, number.alias(name))
+    # Some ranges for every task, as their hashes do not spread evenly.
+    ranges = min(MOST_RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    borders = _borders(df, order, ranges)
+    if not borders:
+        # Fewer rows than the sample would hold.
+        number = F.row_number().over(Window.orderBy(*order))
+        return df.withColumn(name, (after + number).cast("bigint"))
+    placed = df.withColumn("_range", _range_of(F.struct(*order), borders))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    # One row per range: this window and broadcast are bounded by MOST_RANGES.
+    sizes = placed.select("_range").groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = placed.withColumn("_inside", inside).join(F.broadcast(offsets), "_range")
+    number = (after + F.col("_offset") + F.col("_inside")).cast("bigint")
+    return numbered.select(*df.columns, number.alias(name))
+
+
+def _borders(df: DataFrame, order: list[str], ranges: int) -> list[Column]:
+    """Keys that cut the rows into near equal ranges; none where all rows fit a sample."""
+    sample = SAMPLE_PER_RANGE * ranges
+    keys = df.select(*order)
+    # The smallest hashes are a fair sample of the keys; the sample is bounded.
+    rows = keys.orderBy(F.xxhash64(*order)).limit(sample).orderBy(*order).collect()
+    if len(rows) < sample:
+        return []
+    types = {f.name: f.dataType for f in keys.schema.fields}
+    cuts = [rows[i * sample // ranges] for i in range(1, ranges)]
+    distinct = [cut for i, cut in enumerate(cuts) if not i or cut != cuts[i - 1]]
+    return [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order]) for r in distinct]
+
+
+def _range_of(key: Column, borders: Sequence[Column], first: int = 0) -> Column:
+    """How many borders lie at or below the key, by halving; NULLs come first, as in sorting."""
+    if not borders:
+        return F.lit(first)
+    middle = len(borders) // 2
+    below = _range_of(key, borders[:middle], first)
+    above = _range_of(key, borders[middle + 1 :], first + middle + 1)
+    return F.when(key < borders[middle], below).otherwise(above)
 
 
 def assign_surrogate_keys(
@@ -61,14 +84,13 @@ def assign_surrogate_keys(
     target: DataFrame,
     keys: Sequence[str],
     sk: str,
-    source_is_unique: bool = False,
 ) -> DataFrame:
     """Source rows with their surrogate key: the target's where the business key is known,
     else the next free numbers in business-key order.
 
     Only distinct new business keys are numbered, so the work grows with the news and a
     second run over its own result numbers nothing. Rows with a NULL in the business key
-    get no surrogate key. ``source_is_unique`` tells the last join that no key is hot.
+    get no surrogate key.
     """
     keys = list(keys)
     types = {f.name: f.dataType for f in source.schema.fields}
@@ -80,23 +102,24 @@ def assign_surrogate_keys(
         "target surrogate keys",
     )
     wanted = source.filter(~any_null(keys)).select(*keys).distinct()
-    unknown = keyed_join(wanted, known.select(*keys), keys, "left_anti", left_is_unique=True)
+    unknown = keyed_join(wanted, known.select(*keys), keys, "left_anti")
     fresh = number_rows(unknown, keys, sk, max_key(target, sk))
     keyed = known.unionByName(fresh)
-    return keyed_join(source, keyed, keys, "left", left_is_unique=source_is_unique)
+    return keyed_join(source, keyed, keys, "left")
 
 
 def unknown_row(dim: DataFrame, sk: str, keys: Sequence[str], overrides: Mapping[str, object] | None = None) -> DataFrame:
-    """One row typed like ``dim``: key columns -1, text 'Unknown', numbers 0, the rest NULL."""
+    """One row typed like ``dim``: keys -1 (text keys '-1', as facts have it), text 'Unknown',
+    numbers 0, the rest NULL."""
     overrides = dict(overrides or {})
     values = []
     for field in dim.schema.fields:
         if field.name in overrides:
             value = overrides[field.name]
-        elif isinstance(field.dataType, T.StringType):
-            value = UNKNOWN_TEXT
         elif field.name == sk or field.name in keys:
             value = UNKNOWN_KEY
+        elif isinstance(field.dataType, T.StringType):
+            value = UNKNOWN_TEXT
         elif isinstance(field.dataType, T.NumericType):
             value = 0
         else:

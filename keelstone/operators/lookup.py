@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelstone.operators.columns import UNKNOWN_KEY
-from keelstone.operators.joins import BROADCAST_BYTES, ROWS_PER_TASK, keyed_join, unique_or_fail
+from keelstone.operators.joins import keyed_join, unique_or_fail
 
 MISS_POLICIES = ("ignore", "default", "drop")
 
@@ -48,38 +48,58 @@ def _keyed_dim(fact: DataFrame, spec: Lookup) -> DataFrame:
     return unique_or_fail(narrow, list(spec.on), "current dimension rows")
 
 
-def lookup(
-    fact: DataFrame,
-    spec: Lookup,
-    max_broadcast_bytes: int = BROADCAST_BYTES,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
+def lookup(fact: DataFrame, spec: Lookup, rows_per_task: int | None = None) -> DataFrame:
     """Fact rows plus the looked-up columns; never more rows than the fact has."""
     if spec.miss not in MISS_POLICIES:
         raise ValueError(f"miss is one of {MISS_POLICIES}")
     dim, keys = _keyed_dim(fact, spec), list(spec.on)
     if spec.miss == "drop":
         how = "inner" if spec.take else "left_semi"
-        return keyed_join(fact, dim, keys, how, max_broadcast_bytes, rows_per_task)
-    found = keyed_join(fact, dim, keys, "left", max_broadcast_bytes, rows_per_task)
-    if spec.miss == "ignore" or not spec.take:
+        return keyed_join(fact, dim, keys, how, rows_per_task)
+    found = keyed_join(fact, dim, keys, "left", rows_per_task)
+    return found if spec.miss == "ignore" else _filled(found, spec)
+
+
+def _filled(found: DataFrame, spec: Lookup) -> DataFrame:
+    """Defaults where nothing was found."""
+    if not spec.take:
         return found
     types = {f.name: f.dataType for f in found.schema.fields}
-    filled = {
-        out: F.coalesce(
-            F.col(out), F.lit(spec.defaults.get(out, UNKNOWN_KEY)).cast(types[out])
-        )
-        for out in spec.take.values()
-    }
-    return found.withColumns(filled)
-
-
-def lookup_rejects(
-    fact: DataFrame,
-    spec: Lookup,
-    max_broadcast_bytes: int = BROADCAST_BYTES,
-    rows_per_task: int = ROWS_PER_TASK,
+    return found.withColumns(
+        {
+            out: F.coalesce(F.col(out), F.lit(spec.defaults.get(out, UNKNOWN_KEY)).cast(types[out]))
+            for out in spec.take.values()
+        }
+    )
+
+
+def lookup_many(
+    fact: DataFrame, specs: Mapping[str, Lookup], missed: str | None = None, rows_per_task: int | None = None
 ) -> DataFrame:
+    """All lookups of a fact in one pass over it.
+
+    ``specs`` names the lookups. With ``missed`` the result keeps every fact row and has
+    an array column of that name with the lookups that found nothing: matches and misses
+    are two filters on one result. Without it, misses of ``drop`` lookups go.
+    """
+    out, marks = fact, []
+    for i, (name, spec) in enumerate(specs.items()):
+        if spec.miss not in MISS_POLICIES:
+            raise ValueError(f"miss is one of {MISS_POLICIES}")
+        mark = f"_hit_{i}"
+        dim = _keyed_dim(out, spec).withColumn(mark, F.lit(True))
+        out = keyed_join(out, dim, list(spec.on), "left", rows_per_task)
+        if spec.miss == "default":
+            out = _filled(out, spec)
+        if spec.miss == "drop" and missed is None:
+            out = out.filter(F.col(mark))
+        marks.append((mark, name))
+    if missed is not None:
+        absent = [F.when(F.col(mark).isNull(), F.lit(name)) for mark, name in marks]
+        out = out.withColumn(missed, F.array_compact(F.array(*absent)))
+    return out.drop(*[mark for mark, _ in marks])
+
+
+def lookup_rejects(fact: DataFrame, spec: Lookup, rows_per_task: int | None = None) -> DataFrame:
     """Fact rows the lookup misses, NULL keys among them: the complement of ``drop``."""
-    dim = _keyed_dim(fact, spec)
-    return keyed_join(fact, dim, list(spec.on), "left_anti", max_broadcast_bytes, rows_per_task)
+    return keyed_join(fact, _keyed_dim(fact, spec), list(spec.on), "left_anti", rows_per_task)

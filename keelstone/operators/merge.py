@@ -22,13 +22,17 @@ def null_key_rows(source: DataFrame, keys: Sequence[str]) -> DataFrame:
     return source.filter(any_null(keys))
 
 
-def _placeable(source: DataFrame, keys: Sequence[str], policy: str) -> DataFrame:
+def placeable(source: DataFrame, keys: Sequence[str], policy: str) -> DataFrame:
+    """Rows with a whole key; others are left out (``reject``) or fail the job (``fail``)."""
     if policy not in NULL_KEY_POLICIES:
         raise ValueError(f"on_null_key is one of {NULL_KEY_POLICIES}")
     if policy == "reject":
         return source.filter(~any_null(keys))
-    error = F.raise_error(F.lit(f"NULL in merge key {', '.join(keys)}")).cast("boolean")
-    return source.filter(F.when(any_null(keys), error).otherwise(F.lit(True)))
+    # In the key's own value: a later filter on the key has to evaluate it, where the
+    # optimizer could put such a filter before another one, or prove that one needless.
+    error = F.raise_error(F.lit(f"NULL in merge key {', '.join(keys)}"))
+    types = {f.name: f.dataType for f in source.schema.fields}
+    return source.withColumns({k: F.coalesce(F.col(k), error.cast(types[k])) for k in keys})
 
 
 def merge(
@@ -63,7 +67,7 @@ def merge(
     if unknown:
         raise ValueError(f"not in both target and source: {sorted(unknown)}")
 
-    incoming = _placeable(source.select(*keys, *shared), keys, on_null_key)
+    incoming = placeable(source.select(*keys, *shared), keys, on_null_key)
     if not source_is_unique:
         incoming = unique_or_fail(incoming, keys, "merge source rows")
     incoming = incoming.select(
@@ -110,16 +114,16 @@ def _unshuffled_outer_join(keyed: DataFrame, incoming: DataFrame, keys: list[str
 def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Insert-only merge: existing rows stay as they are."""
     incoming = unique_or_fail(
-        _placeable(source.select(*target.columns), keys, "reject"), keys, "merge source rows"
+        placeable(source.select(*target.columns), keys, "reject"), keys, "merge source rows"
     )
-    fresh = keyed_join(incoming, target.select(*keys), keys, "left_anti", left_is_unique=True)
+    fresh = keyed_join(incoming, target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh)
 
 
 def insert_missing_rows(target: DataFrame, source: DataFrame) -> DataFrame:
     """Insert-only merge where all columns together are the key, NULLs being equal."""
     columns = target.columns
-    existing = target.distinct().select(*[F.col(c).alias(f"_t_{c}") for c in columns])
+    existing = target.select(*[F.col(c).alias(f"_t_{c}") for c in columns])
     incoming = source.select(*columns).distinct()
     same: Column = F.lit(True)
     for c in columns:
@@ -140,7 +144,9 @@ def update_matched(
     """
     keys = list(keys)
     columns = [c for c in target.columns if c in source.columns and c not in keys] if columns is None else list(columns)
-    incoming = unique_or_fail(source.select(*keys, *columns), keys, "update source rows").select(
+    # A NULL key matches nothing, so it is no duplicate either.
+    usable = source.select(*keys, *columns).filter(~any_null(keys))
+    incoming = unique_or_fail(usable, keys, "update source rows").select(
         *keys, *[F.col(c).alias(f"_s_{c}") for c in columns], F.lit(True).alias("_hit")
     )
     joined = keyed_join(target, incoming, keys, "left")

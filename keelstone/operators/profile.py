@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,36 +41,60 @@ def key_like(columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c.lower().endswith(KEY_ENDINGS)]
 
 
-def candidate_keys(columns: Sequence[str], max_width: int = 2) -> list[tuple[str, ...]]:
-    """Key-like columns and their combinations up to ``max_width``."""
-    named = key_like(columns)
-    return [c for width in range(1, max_width + 1) for c in combinations(named, width)]
+def _measured(df: DataFrame, candidate: Sequence[str]) -> DataFrame:
+    """(candidate, n_rows, distinct_rows, null_rows, is_key) of one candidate: a narrow grouping."""
+    groups = df.groupBy(*candidate).agg(F.count(F.lit(1)).alias("_n"))
+    total = F.coalesce(F.sum("_n"), F.lit(0))
+    nulls = F.coalesce(F.sum(F.when(any_null(candidate), F.col("_n"))), F.lit(0))
+    counted = groups.agg(total.alias("n_rows"), F.count(F.lit(1)).alias("distinct_rows"), nulls.alias("null_rows"))
+    is_key = (F.col("distinct_rows") == F.col("n_rows")) & (F.col("null_rows") == 0)
+    return counted.select(F.lit(",".join(candidate)).alias("candidate"), "*", is_key.alias("is_key"))
 
 
 def profile_keys(df: DataFrame, candidates: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """(candidate, n_rows, distinct_rows, null_rows, is_key) per candidate, measured.
 
-    All candidates share one scan; rows are reduced to distinct values per candidate in
-    the map side of the aggregate, before the shuffle.
+    Each candidate is one grouping of its own columns, combined map-side. Without
+    ``candidates`` the key-like columns and their combinations are searched by
+    :func:`find_keys`.
     """
-    candidates = candidate_keys(df.columns) if candidates is None else [tuple(c) for c in candidates]
-    if not candidates:
+    if candidates is None:
+        return find_keys(df)
+    return reduce(DataFrame.unionByName, [_measured(df, list(c)) for c in candidates])
+
+
+def find_keys(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """All measured candidates of a search for minimal keys of any width.
+
+    Width by width. A candidate is measured only if no part of it is a key already and the
+    product of its columns' distinct counts reaches the number of rows: fewer combinations
+    than rows cannot be unique, so nothing is missed. A column with NULLs is in no key. A
+    few numbers per candidate come to the driver.
+    """
+    names = key_like(df.columns) if columns is None else list(columns)
+    if not names:
         raise ValueError("no column looks like a key: name the candidates")
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, c in enumerate(candidates):
-        aggs.append(F.countDistinct(F.struct(*c)).alias(f"d{i}"))
-        aggs.append(F.coalesce(F.sum(any_null(c).cast("bigint")), F.lit(0)).alias(f"n{i}"))
-    rows = [
-        F.struct(
-            F.lit(",".join(c)).alias("candidate"),
-            F.col("n_rows"),
-            F.col(f"d{i}").alias("distinct_rows"),
-            F.col(f"n{i}").alias("null_rows"),
-            ((F.col(f"d{i}") == F.col("n_rows")) & (F.col(f"n{i}") == 0)).alias("is_key"),
-        )
-        for i, c in enumerate(candidates)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    found, keys, counts = [], [], {}
+    usable = names
+    for width in range(1, len(names) + 1):
+        level = [
+            c
+            for c in combinations(usable, width)
+            if not any(set(k) <= set(c) for k in keys)
+            and (width == 1 or prod(counts[name] for name in c) >= n_rows)
+        ]
+        if not level:
+            continue
+        rows = reduce(DataFrame.unionByName, [_measured(df, c) for c in level]).collect()
+        found += rows
+        by_name = {r.candidate: r for r in rows}
+        keys += [c for c in level if by_name[",".join(c)].is_key]
+        if width == 1:
+            n_rows = rows[0].n_rows
+            counts = {c: by_name[c].distinct_rows for c in names}
+            usable = [c for c in names if not by_name[c].null_rows and (c,) not in keys]
+    schema = "candidate string, n_rows bigint, distinct_rows bigint, null_rows bigint, is_key boolean"
+    return df.sparkSession.createDataFrame(found, schema)
 
 
 def profile_table_type(name: str, df: DataFrame) -> DataFrame:
@@ -83,8 +108,10 @@ def profile_table_type(name: str, df: DataFrame) -> DataFrame:
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     measures = [c for c in numeric if c not in keys]
     dates = _date_columns(df)
-    aggs = [F.countDistinct(k).alias(f"d{i}") for i, k in enumerate(keys)]
-    counted = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+    # A narrow distinct per key, not one aggregate over all: that would expand every row.
+    counted = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    for i, k in enumerate(keys):
+        counted = counted.withColumn(f"d{i}", df.select(k).distinct().agg(F.count(k)).scalar())
     foreign = reduce(
         lambda total, i: total + (F.col(f"d{i}") < F.col("n_rows")).cast("bigint"),
         range(len(keys)),

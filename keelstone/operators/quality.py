@@ -168,7 +168,7 @@ def referential_integrity(
         values = fact.groupBy(fk).agg(F.count(F.lit(1)).alias("_n"))
         known = dim.select(F.col(key).cast(fact.schema[fk].dataType).alias(fk))
         known = known.distinct().withColumn("_known", F.lit(True))
-        joined = keyed_join(values, known, [fk], "left", left_is_unique=True)
+        joined = keyed_join(values, known, [fk], "left")
         orphan = F.col(fk).isNotNull() & F.col("_known").isNull()
         results.append(
             joined.agg(

@@ -13,7 +13,7 @@ from keelstone.operators.columns import any_null
 from keelstone.operators.dedupe import latest_per_key
 from keelstone.operators.joins import keyed_join, unique_or_fail
 from keelstone.operators.keys import max_key, number_rows
-from keelstone.operators.merge import merge
+from keelstone.operators.merge import merge, placeable
 from keelstone.session import cut_lineage
 
 NEW, UNCHANGED, CHANGING, HISTORICAL, FIXED, INFERRED = (
@@ -84,13 +84,10 @@ def _class_array(spec: ScdSpec, matched: Column, held: str, incoming: str) -> Co
     )
 
 
-def scd_classify(
-    source: DataFrame, dim: DataFrame, spec: ScdSpec, source_is_unique: bool = False
-) -> DataFrame:
+def scd_classify(source: DataFrame, dim: DataFrame, spec: ScdSpec) -> DataFrame:
     """Source rows plus ``scd_classes`` against the dimension's current versions.
 
     Rows with a NULL business key are not classified and not returned.
-    ``source_is_unique`` says that no key is hot.
     """
     keys = list(spec.keys)
     held = unique_or_fail(
@@ -99,7 +96,7 @@ def scd_classify(
         "current dimension rows",
     ).withColumn("_matched", F.lit(True))
     keyed = source.filter(~any_null(keys))
-    joined = keyed_join(keyed, held, keys, "left", left_is_unique=source_is_unique)
+    joined = keyed_join(keyed, held, keys, "left")
     matched = F.col("_matched").isNotNull()
     return joined.select(*source.columns, _class_array(spec, matched, _HELD, "").alias(CLASSES))
 
@@ -109,7 +106,12 @@ def _has(name: str) -> Column:
 
 
 def scd_load(
-    source: DataFrame, dim: DataFrame, spec: ScdSpec, as_of: str | None = None
+    source: DataFrame,
+    dim: DataFrame,
+    spec: ScdSpec,
+    as_of: str | None = None,
+    on_null_key: str = "fail",
+    numbered_in: DataFrame | None = None,
 ) -> DataFrame:
     """The dimension after loading a source snapshot or increment.
 
@@ -118,7 +120,9 @@ def scd_load(
     Changing    the current version is overwritten, earlier versions are not
     Inferred    all versions of the key take the source's attributes
     Fixed       nothing changes
-    Rows known to the dimension only stay. The source is unique by business key.
+    Rows known to the dimension only stay. The source is unique by business key. A NULL in
+    it fails the job; ``on_null_key="reject"`` is for callers that have put such rows aside.
+    New numbers follow the largest of ``numbered_in``, where ``dim`` is only a part of it.
     """
     keys = list(spec.keys)
     if (spec.valid_from is None) != (spec.valid_to is None):
@@ -127,14 +131,15 @@ def scd_load(
         raise ValueError("validity intervals need as_of")
     types = {f.name: f.dataType for f in dim.schema.fields}
     checked = unique_or_fail(
-        source.filter(~any_null(keys)).select(*keys, *spec.attributes), keys, "dimension source rows"
+        placeable(source.select(*keys, *spec.attributes), keys, on_null_key), keys, "dimension source rows"
     )
     # Read by two joins: the check and whatever precedes it run once.
     incoming = cut_lineage(
         checked.select(*[F.col(c).cast(types[c]).alias(c) for c in [*keys, *spec.attributes]])
     )
     kept = _updated_versions(incoming, dim, spec, as_of, types)
-    return kept.unionByName(_new_versions(incoming, dim, spec, as_of, types))
+    numbers = max_key(dim if numbered_in is None else numbered_in, spec.sk)
+    return kept.unionByName(_new_versions(incoming, dim, spec, as_of, types, numbers))
 
 
 def _updated_versions(incoming, dim, spec, as_of, types) -> DataFrame:
@@ -169,11 +174,11 @@ def _updated_versions(incoming, dim, spec, as_of, types) -> DataFrame:
     return joined.select(*out)
 
 
-def _new_versions(incoming, dim, spec, as_of, types) -> DataFrame:
+def _new_versions(incoming, dim, spec, as_of, types, after) -> DataFrame:
     """First versions of new keys and next versions of historical ones, numbered by key."""
-    classified = scd_classify(incoming, dim, spec, source_is_unique=True)
+    classified = scd_classify(incoming, dim, spec)
     versions = classified.filter(_has(NEW) | _has(HISTORICAL)).drop(CLASSES)
-    numbered = number_rows(versions, spec.keys, spec.sk, max_key(dim, spec.sk))
+    numbered = number_rows(versions, spec.keys, spec.sk, after)
     out = []
     for name in dim.columns:
         if name == spec.flag:
@@ -215,7 +220,7 @@ def add_inferred_members(
         F.col(fact_key).cast(types[key]).alias(key)
     )
     orphans = keyed_join(
-        wanted.distinct(), dim.select(key), [key], "left_anti", left_is_unique=True
+        wanted.distinct(), dim.select(key), [key], "left_anti"
     )
     numbered = number_rows(orphans, [key], spec.sk, max_key(dim, spec.sk))
     values = {

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from keelstone.operators import scd as S
+from keelstone.operators.columns import null_keys_to_unknown
 from keelstone.operators.keys import add_unknown_member, assign_surrogate_keys
 from keelstone.plans.catalog.base import AS_OF, query, table
 
@@ -34,7 +35,7 @@ CUR = {"cur": "SELECT * FROM dim_part WHERE flag"}
 def surrogate_keys(spark, sf):
     dim = table(spark, sf, "dim_part").filter("flag")
     source = table(spark, sf, "src_part")
-    return assign_surrogate_keys(source, dim, ["productid"], "productkey", source_is_unique=True)
+    return assign_surrogate_keys(source, dim, ["productid"], "productkey")
 
 
 @query(
@@ -50,6 +51,25 @@ def unknown_member(spark, sf):
     return add_unknown_member(once, "productkey", ["productid"], {"flag": True})
 
 
+@query(
+    "unknown_member_text_key",
+    """SELECT fk, n_orphans, n_members FROM (
+           SELECT 'code' AS fk, 0 AS n_orphans, (SELECT COUNT(*) FROM part) + 1 AS n_members) x""",
+)
+def unknown_member_text_key(spark, sf):
+    """Facts without a key and the unknown member of a text-keyed dimension meet."""
+    dim = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("sk"), F.concat(F.lit("P"), "p_partkey").alias("code"), F.col("p_name").alias("name")
+    )
+    dim = add_unknown_member(dim, "sk", ["code"])
+    facts = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 > 0, F.concat(F.lit("P"), "l_partkey")).alias("code")
+    )
+    facts = null_keys_to_unknown(facts, "code")
+    orphans = facts.join(dim, "code", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans"))
+    return orphans.select(F.lit("code").alias("fk"), "n_orphans", dim.agg(F.count(F.lit(1))).scalar().alias("n_members"))
+
+
 @query(
     "scd1_upsert",
     """SELECT c.productkey, s.productid, s.productname, s.supplierid, s.categoryid, s.unitprice,

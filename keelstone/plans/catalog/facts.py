@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keelstone.operators import dedupe as D
 from keelstone.operators.columns import enforce_schema, null_keys_to_unknown
 from keelstone.operators.joins import keyed_join
-from keelstone.operators.lookup import Lookup, lookup, lookup_rejects
+from keelstone.operators.lookup import Lookup, lookup, lookup_many, lookup_rejects
 from keelstone.plans import facts as P
 from keelstone.plans.catalog.base import query, table
 from keelstone.sinks.tables import publish_view
@@ -76,6 +76,37 @@ def lookup_default(spark, sf):
     return lookup(table(spark, sf, "lines_dirty"), product_lookup(spark, sf, "default"))
 
 
+@query(
+    "fact_load_star",
+    """SELECT f.l_orderkey, f.l_linenumber, COALESCE(p.productkey, -1) AS productkey,
+              CASE WHEN f.l_suppkey % 10 = 0 THEN NULL ELSE f.l_suppkey END AS supplierkey,
+              o.o_custkey AS customerkey,
+              CASE WHEN p.productid IS NULL THEN CASE WHEN f.l_suppkey % 10 = 0 THEN 'product,supplier' ELSE 'product' END
+                   ELSE CASE WHEN f.l_suppkey % 10 = 0 THEN 'supplier' ELSE '' END END AS missed
+       FROM lines_dirty f
+       LEFT JOIN (SELECT productid, productkey FROM dim_part WHERE flag) p ON f.l_partkey = p.productid
+       LEFT JOIN orders o ON o.o_orderkey = f.l_orderkey""",
+    "lines_dirty",
+    "dim_part",
+)
+def fact_load_star(spark, sf):
+    """Three dimensions in one pass over the lines; matches and misses in one result."""
+    supplier = table(spark, sf, "supplier").filter("s_suppkey % 10 <> 0")
+    customer = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    found = lookup_many(
+        table(spark, sf, "lines_dirty"),
+        {
+            "product": product_lookup(spark, sf, "default"),
+            "supplier": Lookup(supplier, {"l_suppkey": "s_suppkey"}, {"s_suppkey": "supplierkey"}, miss="ignore"),
+            "customer": Lookup(customer, {"l_orderkey": "o_orderkey"}, {"o_custkey": "customerkey"}, miss="ignore"),
+        },
+        missed="missed",
+    )
+    return found.select(
+        "l_orderkey", "l_linenumber", "productkey", "supplierkey", "customerkey", F.array_join("missed", ",").alias("missed")
+    )
+
+
 REJECTED = """SELECT f.* FROM lines_dirty f WHERE NOT EXISTS (
                   SELECT 1 FROM dim_part d WHERE d.flag AND d.productid = f.l_partkey)"""
 

@@ -96,9 +96,10 @@ LATEST_LINES = """SELECT l_orderkey, l_linenumber, l_partkey, qty, price FROM (
     FROM bronze_lines) ranked WHERE rn = 1"""
 MERGED_LINES = f"""{LATEST_LINES}
     UNION ALL
-    SELECT b.* FROM silver_before b WHERE NOT EXISTS (
-        SELECT 1 FROM bronze_lines n
-        WHERE n.l_orderkey = b.l_orderkey AND n.l_linenumber = b.l_linenumber)"""
+    SELECT b.* FROM silver_before b
+    LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) n
+        ON n.l_orderkey = b.l_orderkey AND n.l_linenumber = b.l_linenumber
+    WHERE n.l_orderkey IS NULL"""
 
 
 @query("merge_composite_key", MERGED_LINES, "bronze_lines", "silver_before")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -168,6 +169,130 @@ def load_dispatch(spark, sf):
     )
 
 
+NULL_KEYED = "SELECT productid, productname, CASE WHEN productid % 7 = 0 THEN NULL ELSE productid END AS code, productid % 3 AS part FROM src_part"
+
+
+@query(
+    "load_null_keys",
+    """SELECT way, run, SUM(n) AS n_rows, SUM(a) AS n_aside FROM (
+           SELECT unnest(['whole', 'whole', 'parts', 'parts']) AS way, unnest([1, 2, 1, 2]) AS run,
+                  CASE WHEN code IS NULL THEN 0 ELSE 1 END AS n, CASE WHEN code IS NULL THEN 1 ELSE 0 END AS a
+           FROM dirty) d GROUP BY way, run""",
+    "src_part",
+    dirty=NULL_KEYED,
+)
+def load_null_keys(spark, sf):
+    """Loaded and quarantined rows are the source's, in both kinds of load, first and second."""
+    source = spark.sql(NULL_KEYED.replace("src_part", "{src_part}"), src_part=table(spark, sf, "src_part"))
+    schema = "productid bigint, productname string, code bigint, part bigint"
+    counts = []
+    for way in ("whole", "parts"):
+        path = scratch_path(spark, "null-keys")
+        for run in (1, 2):
+            aside = scratch_path(spark, "null-keys-aside")
+            if way == "whole":
+                options = L.LoadOptions(L.INCREMENTAL, ("code",), quarantine=aside)
+                loaded = L.load(source, path, schema, options)
+            else:
+                options = L.LoadOptions(L.INCREMENTAL, ("code", "part"), quarantine=aside)
+                loaded = L.load_partitioned(source, path, schema, options, ["part"])
+            both = loaded.select(F.lit(1).alias("n"), F.lit(0).alias("a")).unionByName(
+                spark.read.parquet(aside).select(F.lit(0).alias("n"), F.lit(1).alias("a"))
+            )
+            # Counted now: the next run replaces the files.
+            counts.append((way, run, *both.agg(F.sum("n"), F.sum("a")).first()))
+    return spark.createDataFrame(counts, "way string, run int, n_rows bigint, n_aside bigint")
+
+
+MARKED = "SELECT productid AS id, CASE WHEN productid % 5 = 4 THEN NULL ELSE productid - 3 END AS mark FROM src_part"
+
+
+@query(
+    "first_load_all_rows",
+    "SELECT id, mark, CASE WHEN mark IS NULL THEN 'aside' ELSE 'loaded' END AS place FROM marked",
+    "src_part",
+    marked=MARKED,
+)
+def first_load_all_rows(spark, sf):
+    """An empty target takes marks of zero and below; rows without a mark are put aside."""
+    source = spark.sql(MARKED.replace("src_part", "{src_part}"), src_part=table(spark, sf, "src_part"))
+    aside = scratch_path(spark, "unmarked")
+    options = L.LoadOptions(L.INCREMENTAL, ("id",), watermark="mark", quarantine=aside)
+    loaded = L.load(source, scratch_path(spark, "first-load"), "id bigint, mark bigint", options)
+    kept = spark.read.parquet(aside).drop(L.REASON)
+    return loaded.withColumn("place", F.lit("loaded")).unionByName(kept.withColumn("place", F.lit("aside")))
+
+
+@query(
+    "load_dispatch_partitioned",
+    f"""SELECT 'FULL_OVERWRITE' AS strategy, productid AS id, -1 AS line,
+               CASE WHEN productid % 4 = 1 THEN unitprice + 1 ELSE unitprice END AS amount, TRUE AS flag
+        FROM src_part
+        UNION ALL
+        SELECT 'INCREMENTAL', l_orderkey, l_linenumber, price, TRUE FROM ({INCREMENT}) i
+        UNION ALL
+        SELECT 'SCD_2', productid, -1, unitprice, flag FROM ({versions_sql(False)}) v""",
+    "src_part",
+    "dim_part",
+    "bronze_lines",
+    **CLASSIFIED,
+    dim="SELECT * FROM dim_part",
+)
+def load_dispatch_partitioned(spark, sf):
+    source, bronze = table(spark, sf, "src_part"), table(spark, sf, "bronze_lines")
+
+    path = scratch_path(spark, "parts-full")
+    rows = source.select("productid", "unitprice", (F.col("productid") % 4).alias("part"))
+    schema = "productid bigint, unitprice decimal(19,4), part bigint"
+    options = L.LoadOptions(L.FULL_OVERWRITE, ("productid",))
+    L.load_partitioned(rows, path, schema, options, ["part"])
+    # One partition is delivered again.
+    again = rows.filter("part = 1").withColumn("unitprice", (F.col("unitprice") + 1).cast("decimal(19,4)"))
+    full = L.load_partitioned(again, path, schema, options, ["part"])
+
+    path = scratch_path(spark, "parts-increment")
+    options = L.LoadOptions(
+        L.INCREMENTAL, ("l_orderkey", "l_linenumber"), watermark="_ingestion_timestamp", ignore_duplicates=True
+    )
+    early = F.col("_ingestion_timestamp") < F.lit("1998-01-01").cast("timestamp_ntz")
+    L.load_partitioned(bronze.filter(early), path, LINE_SCHEMA, options, ["l_linenumber"])
+    merged = L.load_partitioned(bronze, path, LINE_SCHEMA, options, ["l_linenumber"])
+
+    path = scratch_path(spark, "parts-history")
+    bucket = (F.pmod("productid", F.lit(4))).alias("part")
+    partitions.write_partitioned(table(spark, sf, "dim_part").select("*", bucket), path, ["part"])
+    spec = replace(SPEC, keys=(*SPEC.keys, "part"))
+    options = L.LoadOptions(L.SCD_2, spec.keys, scd=spec)
+    history = L.load_partitioned(source.select("*", bucket), path, f"{DIM_SCHEMA}, part bigint", options, ["part"])
+
+    none, true = F.lit(-1).alias("line"), F.lit(True).alias("flag")
+    name = lambda text: F.lit(text).alias("strategy")
+    return (
+        full.select(name("FULL_OVERWRITE"), F.col("productid").alias("id"), none, F.col("unitprice").alias("amount"), true)
+        .unionByName(
+            merged.select(name("INCREMENTAL"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("price").alias("amount"), true)
+        )
+        .unionByName(history.select(name("SCD_2"), F.col("productid").alias("id"), none, F.col("unitprice").alias("amount"), "flag"))
+    )
+
+
+@query("load_table_by_name", "SELECT productid, unitprice + CASE WHEN productid % 2 = 0 THEN 1 ELSE 0 END AS unitprice FROM src_part", "src_part")
+def load_table_by_name(spark, sf):
+    """A catalog table as the target of a task, loaded twice, and read through a kept view."""
+    name = f"keelstone_{uuid.uuid4().hex}"
+    source = table(spark, sf, "src_part").select("productid", "unitprice")
+    context = {"target": name, "schema": source.schema, "business_keys": ["productid"], "load_strategy": L.INCREMENTAL}
+    tables.commit_table(source.limit(0), name, scratch_path(spark, "by-name"))
+    for run in ("first", "second"):
+        rows = source
+        if run == "second":
+            more = (F.col("unitprice") + 1).cast("decimal(19,4)")
+            rows = source.filter("productid % 2 = 0").withColumn("unitprice", more)
+        rows.createOrReplaceTempView(f"{name}_{run}")
+        L.execute_task(spark, context | {"source": f"{name}_{run}"})
+    return tables.publish_catalog_view(spark, f"{name}_view", f"SELECT productid, unitprice FROM {name}")
+
+
 @query("layout_preserves_rows", f"SELECT {', '.join(LINE_COLUMNS)} FROM lineitem")
 def layout_preserves_rows(spark, sf):
     path = scratch_path(spark, "clustered")
@@ -276,6 +401,7 @@ def medallion_end_to_end(spark, sf):
                 ("l_orderkey", "l_linenumber"),
                 {"l_partkey": ("product", "productid")},
                 price="price",
+                partition_by=("l_linenumber",),
             )
         ],
         scratch_path(spark, "layers"),

@@ -11,7 +11,7 @@ from keelstone.operators.columns import UNKNOWN_KEY, any_null, null_keys_to_unkn
 from keelstone.operators.dedupe import first_per_key, latest_per_key
 from keelstone.operators.joins import keyed_join
 from keelstone.operators.keys import assign_surrogate_keys, number_rows
-from keelstone.operators.lookup import Lookup, lookup
+from keelstone.operators.lookup import Lookup, lookup, lookup_many
 from keelstone.operators.merge import merge
 
 MONEY = "decimal(19,4)"
@@ -67,10 +67,8 @@ def fact_load(
         lines = latest_per_key(lines, business_keys, newest_by)
     else:
         lines = first_per_key(lines, business_keys)
-    for spec in lookups:
-        if spec.miss != "drop":
-            lines = lookup(lines, spec)
+    lines = lookup_many(lines, {str(i): spec for i, spec in enumerate(lookups) if spec.miss != "drop"})
     if target is None:
         return number_rows(lines, business_keys, sk)
-    keyed = assign_surrogate_keys(lines, target, business_keys, sk, source_is_unique=True)
+    keyed = assign_surrogate_keys(lines, target, business_keys, sk)
     return merge(target, keyed.filter(~any_null(business_keys)), business_keys, source_is_unique=True)

@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelstone.operators.columns import enforce_schema
+from keelstone.operators.columns import any_null, enforce_schema
 from keelstone.operators.dedupe import first_per_key, latest_per_key
 from keelstone.operators.incremental import incremental_extract
 from keelstone.operators.joins import unique_or_fail
 from keelstone.operators.merge import merge
 from keelstone.operators.scd import ScdSpec, scd_load
 from keelstone.session import cut_lineage
-from keelstone.sinks.partitions import merge_partitions, read_evolving, write_partitioned
-from keelstone.sinks.tables import commit, has_rows_written, load_or_empty, table_exists
+from keelstone.sinks.partitions import (
+    merge_partitions,
+    read_evolving,
+    replace_partitions,
+    touched_partitions,
+    write_partitioned,
+)
+from keelstone.sinks.tables import (
+    commit,
+    commit_table,
+    empty_frame,
+    has_rows_written,
+    is_table_name,
+    load_or_empty,
+    table_exists,
+)
 from keelstone.types import as_schema
 
 FULL_OVERWRITE, INCREMENTAL, SCD_2 = "FULL_OVERWRITE", "INCREMENTAL", "SCD_2"
 
 
+REASON = "_reason"
+
+
 @dataclass(frozen=True)
 class LoadOptions:
     """How a table is loaded.
@@ -31,8 +49,12 @@ class LoadOptions:
                         increment), SCD_2 keeps history as ``scd`` says
     ignore_duplicates   keep one source row per key, the newest by ``newest_by`` or
                         ``watermark`` if named; otherwise a duplicate key fails the load
-    strict_types        a value that does not fit the target type fails the load;
-                        otherwise it becomes NULL
+    strict_types        a value that does not fit the target type, or is longer than
+                        ``lengths`` allows, fails the load; otherwise it becomes NULL
+                        (an over-long text stays)
+    quarantine          folder for rows that cannot be placed: a NULL in the business key,
+                        or in the watermark of an INCREMENTAL load. Without a folder such a
+                        row fails the load. First and later loads treat them alike
     """
 
     strategy: str
@@ -43,6 +65,34 @@ class LoadOptions:
     ignore_duplicates: bool = False
     strict_types: bool = True
     as_of: str | None = None
+    lengths: Mapping[str, int] | None = None
+    quarantine: str | None = None
+
+
+def _typed(source: DataFrame, schema: T.StructType, options: LoadOptions, whole: bool) -> DataFrame:
+    """Source rows under the target's types; ``whole`` wants every column of it."""
+    if not whole:
+        schema = T.StructType([f for f in schema.fields if f.name in source.columns])
+    lengths = {c: n for c, n in (options.lengths or {}).items() if c in schema.names}
+    return enforce_schema(source, schema, "strict" if options.strict_types else "permissive", lengths)
+
+
+def placed_rows(rows: DataFrame, options: LoadOptions) -> DataFrame:
+    """Rows with a key and, where one is compared, a watermark; the others are put aside.
+
+    Rows put aside are appended to the quarantine folder with their reason.
+    """
+    reason = F.when(any_null(options.business_keys), "NULL key")
+    if options.strategy == INCREMENTAL and options.watermark:
+        reason = reason.when(F.col(options.watermark).isNull(), "NULL watermark")
+    if options.quarantine is None:
+        found = rows.select(reason.alias(REASON)).filter(F.col(REASON).isNotNull()).limit(1).collect()
+        if found:
+            raise ValueError(f"{found[0][0]} in a source row, and no quarantine folder")
+        return rows
+    aside = rows.withColumn(REASON, reason).filter(F.col(REASON).isNotNull())
+    aside.write.mode("append").parquet(options.quarantine)
+    return rows.filter(reason.isNull())
 
 
 def _one_per_key(rows: DataFrame, options: LoadOptions) -> DataFrame:
@@ -84,18 +134,22 @@ def next_state(
 
 
 def load(
-    source: DataFrame, path: str, schema: T.StructType | str, options: LoadOptions
+    source: DataFrame, target: str, schema: T.StructType | str, options: LoadOptions
 ) -> DataFrame:
-    """Load ``source`` into the committed table at ``path`` and return its new state.
+    """Load ``source`` into the committed table at a path, or into a catalog table by name,
+    and return its new state.
 
-    ``schema`` is the target's. A missing target counts as empty.
+    ``schema`` is the target's. A missing target counts as empty. FULL_OVERWRITE wants all
+    of its columns.
     """
-    schema = as_schema(schema)
-    present = T.StructType([f for f in schema.fields if f.name in source.columns])
-    typed = enforce_schema(source, present, "strict" if options.strict_types else "permissive")
-    spark = source.sparkSession
-    target = load_or_empty(spark, path, schema)
-    return commit(next_state(typed, target, options, not table_exists(spark, path)), path)
+    schema, spark = as_schema(schema), source.sparkSession
+    rows = placed_rows(_typed(source, schema, options, options.strategy == FULL_OVERWRITE), options)
+    if is_table_name(target):
+        present = spark.catalog.tableExists(target)
+        current = spark.read.table(target) if present else empty_frame(spark, schema)
+        return commit_table(next_state(rows, current, options, not present), target)
+    current = load_or_empty(spark, target, schema)
+    return commit(next_state(rows, current, options, not table_exists(spark, target)), target)
 
 
 def load_partitioned(
@@ -105,28 +159,44 @@ def load_partitioned(
     options: LoadOptions,
     partition_by: Sequence[str],
 ) -> DataFrame:
-    """INCREMENTAL load of a table partitioned on disk: the way for tables too large to
-    rewrite. Only the partitions the increment touches are read and replaced.
+    """Load a table partitioned on disk: the way for tables too large to rewrite.
 
-    The partition columns belong to the business key. The extract is kept once in the
-    shared folder, because it is read to find the partitions and again to merge them.
+    INCREMENTAL and SCD_2 read and replace the partitions that the source touches; the
+    partition columns belong to the business key. FULL_OVERWRITE replaces the partitions
+    that the source has rows for. What is read twice is kept once in the shared folder.
     """
-    if options.strategy != INCREMENTAL:
-        raise ValueError("only INCREMENTAL loads work by partition")
-    schema = as_schema(schema)
-    spark = source.sparkSession
-    typed = enforce_schema(source, schema, "strict" if options.strict_types else "permissive")
-    if not has_rows_written(spark, path):
-        write_partitioned(_one_per_key(typed, options), path, partition_by)
-        return read_evolving(spark, path, schema)
-    fresh = typed
-    if options.watermark:
-        stored = read_evolving(spark, path, schema)
-        fresh = incremental_extract(typed, stored, options.watermark)
-    rows = cut_lineage(_one_per_key(fresh, options))
-    merge_partitions(
-        rows, path, options.business_keys, partition_by, source_is_unique=True, small_source=True
-    )
+    schema, spark = as_schema(schema), source.sparkSession
+    whole = options.strategy != SCD_2
+    rows = placed_rows(_typed(source, schema, options, whole), options)
+    written = has_rows_written(spark, path)
+    if options.strategy == FULL_OVERWRITE:
+        replace_partitions(_one_per_key(rows, options), path, partition_by)
+    elif options.strategy == INCREMENTAL:
+        if options.watermark and written:
+            rows = incremental_extract(rows, read_evolving(spark, path, schema), options.watermark)
+        rows = _one_per_key(rows, options)
+        if written:
+            merge_partitions(
+                cut_lineage(rows), path, options.business_keys, partition_by, source_is_unique=True, small_source=True
+            )
+        else:
+            write_partitioned(rows, path, partition_by)
+    elif options.strategy == SCD_2:
+        if options.scd is None:
+            raise ValueError("SCD_2 needs column roles")
+        if not set(partition_by) <= set(options.scd.keys):
+            raise ValueError("partition columns must be part of the business key")
+        rows = cut_lineage(_one_per_key(rows, options))
+        whole_dim = read_evolving(spark, path, schema) if written else empty_frame(spark, schema)
+        touched = touched_partitions(rows, partition_by)
+        if touched is not None:
+            part = whole_dim.filter(touched).select(*schema.names)
+            new = scd_load(rows, part, options.scd, options.as_of, numbered_in=whole_dim)
+            replace_partitions(new, path, partition_by)
+        elif not written:
+            write_partitioned(whole_dim, path, partition_by)
+    else:
+        raise ValueError(f"unknown strategy: {options.strategy}")
     return read_evolving(spark, path, schema)
 
 
@@ -134,7 +204,8 @@ def execute_task(spark: SparkSession, context: dict) -> DataFrame:
     """Run one load from a context dictionary.
 
     source        SQL text or table name, with ``variables`` bound as parameters
-    target        path of the target table; ``schema`` its columns
+    target        path or catalog name of the target table; ``schema`` its columns
+    partition_by  columns of its folders, for a table loaded by partition
     business_keys, load_strategy and the other :class:`LoadOptions` by name
     """
     text = context["source"]
@@ -147,6 +218,8 @@ def execute_task(spark: SparkSession, context: dict) -> DataFrame:
         business_keys=tuple(context["business_keys"]),
         **{k: v for k, v in context.items() if k in names},
     )
+    if context.get("partition_by"):
+        return load_partitioned(source, context["target"], context["schema"], options, context["partition_by"])
     return load(source, context["target"], context["schema"], options)
 
 

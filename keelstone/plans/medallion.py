@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -14,6 +16,7 @@ from keelstone.functions.legacy import load_time
 from keelstone.operators.columns import (
     INGEST_COLUMNS,
     INGESTED_AT,
+    UNKNOWN_KEY,
     ColumnMapping,
     add_ingest_columns,
     enforce_schema,
@@ -22,11 +25,10 @@ from keelstone.operators.columns import (
 from keelstone.operators.dedupe import latest_per_key
 from keelstone.operators.keys import add_unknown_member, assign_surrogate_keys
 from keelstone.operators.lookup import Lookup, lookup
-from keelstone.operators.merge import merge
+from keelstone.operators.merge import merge, null_key_rows, placeable
 from keelstone.plans.facts import with_total
 from keelstone.session import cut_lineage
 from keelstone.sinks.partitions import (
-    append_evolving,
     merge_partitions,
     read_evolving,
     read_partitioned,
@@ -37,17 +39,20 @@ from keelstone.sinks.partitions import (
 from keelstone.sinks.tables import commit, empty_frame, has_rows_written, load_or_empty
 
 INGEST_DATE = "_ingestion_date"
+BATCH = "_batch_id"
 
 
 def bronze_ingest(source: DataFrame, path: str, source_system: str, as_of: str | None = None) -> DataFrame:
-    """Append the source with load time and origin, in a folder per load date.
+    """Add the source with load time and origin, in a folder per load date and run.
 
+    A run repeated with the same ``as_of`` replaces its own rows, no others.
     Returns bronze under the columns of this delivery; earlier ones may have had others,
     which :func:`keelstone.sinks.partitions.read_evolving` brings together.
     """
     stamped = add_ingest_columns(source, source_system, as_of)
-    stamped = stamped.withColumn(INGEST_DATE, F.to_date(INGESTED_AT))
-    append_evolving(stamped, path, [INGEST_DATE])
+    batch = re.sub(r"\W", "-", as_of) if as_of else uuid.uuid4().hex
+    stamped = stamped.withColumns({INGEST_DATE: F.to_date(INGESTED_AT), BATCH: F.lit(f"run-{batch}")})
+    replace_partitions(stamped, path, [INGEST_DATE, BATCH])
     return read_evolving(source.sparkSession, path, stamped.schema)
 
 
@@ -55,7 +60,7 @@ def added_since(bronze: DataFrame, as_of: str) -> DataFrame:
     """Bronze rows loaded at or after ``as_of``; folders of earlier dates are not opened."""
     since = load_time(as_of)
     added = bronze.filter((F.col(INGEST_DATE) >= F.to_date(since)) & (F.col(INGESTED_AT) >= since))
-    return added.drop(INGEST_DATE)
+    return added.drop(INGEST_DATE, BATCH)
 
 
 def silver_rows(
@@ -65,9 +70,14 @@ def silver_rows(
     mappings: Iterable[ColumnMapping] = (),
     newest_by: str = INGESTED_AT,
     mode: str = "strict",
+    on_null_key: str = "fail",
 ) -> DataFrame:
-    """Bronze -> latest row per key, cast to the silver schema, personal data masked."""
-    latest = latest_per_key(bronze, keys, newest_by)
+    """Bronze -> latest row per key, cast to the silver schema, personal data masked.
+
+    A NULL in the key fails the job; ``on_null_key="reject"`` is for callers that have put
+    such rows aside.
+    """
+    latest = latest_per_key(placeable(bronze, keys, on_null_key), keys, newest_by)
     if schema is None:
         typed = latest.drop(*INGEST_COLUMNS)
     else:
@@ -100,7 +110,7 @@ def gold_dimension(
     if target is None:
         schema = T.StructType([*silver.schema.fields, T.StructField(sk, T.LongType())])
         target = empty_frame(silver.sparkSession, schema)
-    keyed = assign_surrogate_keys(silver, target, keys, sk, source_is_unique=True)
+    keyed = assign_surrogate_keys(silver, target, keys, sk)
     return add_unknown_member(keyed, sk, keys)
 
 
@@ -127,9 +137,9 @@ class FactTable:
     """A fact of a run; ``references`` is fact column -> (dimension, its key column).
 
     With ``partition_by``, columns of the key, silver and gold are partitioned folders of
-    which a run reads and replaces those its rows touch. Untouched partitions keep the
-    dimension keys they were loaded with. Without it both are rewritten, and all lookups
-    repeated.
+    which a run reads and replaces those its rows touch, and those with a fact whose
+    dimension member has arrived since. Without it both are rewritten, and all lookups
+    repeated. The result is the same.
     """
 
     name: str
@@ -142,6 +152,17 @@ class FactTable:
     partition_by: tuple[str, ...] = ()
 
 
+def _late_members(gold: DataFrame, lookups: Sequence[Lookup], by: Sequence[str]) -> DataFrame:
+    """Partitions with facts of the unknown member whose own member is there now."""
+    found = gold.select(*by).limit(0)
+    for spec in lookups:
+        ((fk, key),), ((taken, sk),) = spec.on.items(), spec.take.items()
+        members = spec.dim.filter(F.col(taken) != UNKNOWN_KEY).select(F.col(key).alias(fk))
+        waiting = gold.filter(F.col(sk) == UNKNOWN_KEY).select(fk, *[c for c in by if c != fk])
+        found = found.unionByName(waiting.join(members, fk, "left_semi").select(*by))
+    return found.distinct()
+
+
 def _load_fact_partitions(
     rows: DataFrame, fact: FactTable, lookups: Sequence[Lookup], silver_path: str, gold_path: str
 ) -> DataFrame:
@@ -152,7 +173,10 @@ def _load_fact_partitions(
         merge_partitions(rows, silver_path, fact.keys, by, source_is_unique=True, small_source=True)
     else:
         write_partitioned(rows, silver_path, by)
-    touched = touched_partitions(rows, by)
+    changed = rows.select(*by)
+    if has_rows_written(spark, gold_path):
+        changed = changed.unionByName(_late_members(read_partitioned(gold_path, rows, by), lookups, by))
+    touched = touched_partitions(changed, by)
     if touched is not None:
         silver = read_partitioned(silver_path, rows, by).filter(touched)
         replace_partitions(gold_fact(silver, lookups, fact.quantity, fact.price), gold_path, by)
@@ -171,6 +195,7 @@ def run_layers(
     """Load every table through bronze, silver and gold: dimensions first, then facts.
 
     Returns the gold tables. Running it again on the same sources changes none of them.
+    Rows with a NULL in their key go to ``quarantine/<table>`` under the root.
     Silver reads what this run added to bronze, not the history.
     """
     as_of = as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
@@ -178,7 +203,10 @@ def run_layers(
 
     def new_rows(table: DimensionTable | FactTable) -> DataFrame:
         bronze = bronze_ingest(sources[table.name], f"{root}/bronze/{table.name}", source_system, as_of)
-        return silver_rows(added_since(bronze, as_of), table.keys, table.schema, table.mappings)
+        added = added_since(bronze, as_of)
+        aside = null_key_rows(added, table.keys).withColumn(INGEST_DATE, F.to_date(INGESTED_AT))
+        replace_partitions(aside, f"{root}/quarantine/{table.name}", [INGEST_DATE])
+        return silver_rows(added, table.keys, table.schema, table.mappings, on_null_key="reject")
 
     def to_silver(table: DimensionTable | FactTable) -> DataFrame:
         path = f"{root}/silver/{table.name}"

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,40 +45,40 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     )
 
 
+def _partition_text(partition_by: Sequence[str]) -> Column:
+    """One text per partition, NULLs being values like any other."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in partition_by]
+    return F.concat_ws("\x1f", *parts)
+
+
 def touched_partitions(source: DataFrame, partition_by: Sequence[str]) -> Column | None:
     """Predicate for the partitions ``source`` has rows in; None if it has none.
 
     The values come to the driver, where the file listing already has one entry per
-    partition folder; as literals they prune folders before the scan starts.
+    partition folder. They are one set of literals over partition columns alone, so
+    folders are chosen before the scan starts, however many there are.
     """
-    rows = source.select(*partition_by).distinct().collect()
-    if not rows:
-        return None
-    if len(partition_by) == 1 and all(r[0] is not None for r in rows):
-        return F.col(partition_by[0]).isin([r[0] for r in rows])
-    return reduce(
-        Column.__or__,
-        [
-            reduce(
-                Column.__and__,
-                [F.col(name).eqNullSafe(F.lit(value)) for name, value in zip(partition_by, row)],
-            )
-            for row in rows
-        ],
-    )
+    values = source.select(_partition_text(partition_by).alias("p")).distinct().collect()
+    return _partition_text(partition_by).isin([r.p for r in values]) if values else None
 
 
 def read_partitioned(path: str, like: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     """A partitioned folder with the partition columns typed as in ``like``.
 
-    Spark would read a text value such as 01 as a number and write it back as 1.
+    Spark would read a text value such as 01 as a number and write it back as 1. A folder
+    without files has the columns of ``like``.
     """
     spark = like.sparkSession
     types = {f.name: f.dataType for f in like.schema.fields}
-    stored = spark.read.parquet(path).schema
+    try:
+        stored = spark.read.parquet(path).schema.fields
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        kept = [f for f in like.schema.fields if f.name not in partition_by]
+        stored = [*kept, *[like.schema[c] for c in partition_by]]
     fields = [
-        T.StructField(f.name, types[f.name] if f.name in partition_by else f.dataType)
-        for f in stored.fields
+        T.StructField(f.name, types[f.name] if f.name in partition_by else f.dataType) for f in stored
     ]
     return spark.read.schema(T.StructType(fields)).parquet(path)
 

@@ -8,15 +8,19 @@ versions stay for rollback and change feeds.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelstone.session import scratch_path
 from keelstone.types import as_schema
 
 KEEP_VERSIONS = 2
+# Our choice: hours for which an older version may still be read.
+RETENTION_HOURS = 168
 _VERSION = "v="
 
 
@@ -47,8 +51,11 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def has_rows_written(spark: SparkSession, path: str) -> bool:
-    """Whether a write to the folder itself (not to a version of it) has finished."""
-    return bool(_found(spark, f"{path}/_SUCCESS"))
+    """Whether a write to the folder itself (not to a version of it) has finished.
+
+    Partitions that were moved in one by one have no marker but their folders.
+    """
+    return bool(_found(spark, f"{path}/_SUCCESS") or _found(spark, f"{path}/*=*"))
 
 
 def version_path(path: str, version: int) -> str:
@@ -88,9 +95,16 @@ def load_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 
 def commit(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), keep: int = KEEP_VERSIONS
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    keep: int = KEEP_VERSIONS,
+    retention_hours: float = RETENTION_HOURS,
 ) -> DataFrame:
-    """Write ``df`` as the next version, drop versions beyond ``keep``, return the new state.
+    """Write ``df`` as the next version, drop versions out of use, return the new state.
+
+    A version goes when it is not among the last ``keep`` and was replaced more than
+    ``retention_hours`` ago: frames that still read it have had that long.
 
     ``df`` may read the current version. One writer at a time: a state computed from an
     older version than the current one would undo what came between.
@@ -101,9 +115,16 @@ def commit(
     version = max(claimed, default=0) + 1
     rows = df.hint("rebalance", *partition_by) if partition_by else df
     rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(version_path(path, version))
-    for old in versions(spark, path)[: -max(keep, 1)]:
-        _delete_version(spark, path, old)
-    return read_version(spark, path, version)
+    markers = {_number(m.getParent()): m for m in _found(spark, f"{path}/{_VERSION}*/_SUCCESS")}
+    known = sorted(markers)
+    for old, replaced_by in list(zip(known, known[1:]))[: -max(keep - 1, 0) or None]:
+        _, fs = _hadoop_path(spark, path)
+        age = time.time() - fs.getFileStatus(markers[replaced_by]).getModificationTime() / 1000
+        if age >= retention_hours * 3600:
+            _delete_version(spark, path, old)
+    # The schema is known: a state without rows has no file to take it from.
+    fields = [f for f in df.schema.fields if f.name not in partition_by] + [df.schema[c] for c in partition_by]
+    return spark.read.schema(T.StructType(fields)).parquet(version_path(path, version))
 
 
 def roll_back(spark: SparkSession, path: str) -> DataFrame:
@@ -121,6 +142,35 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def publish_catalog_view(spark: SparkSession, name: str, query: str) -> DataFrame:
+    """A view kept by the catalog: its text, evaluated when it is read."""
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS {query}")
+    return spark.table(name)
+
+
+def is_table_name(target: str) -> bool:
+    """Whether a target names a catalog table; anything with a slash is a folder."""
+    return "/" not in target
+
+
+def commit_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Replace a catalog table, or create it (at ``path`` if one is given).
+
+    ``df`` may read the table: its rows are staged in the shared folder first. For the
+    moment of the replacement the table is incomplete, as it is without a table format;
+    running the load again repairs one that was cut short.
+    """
+    spark = df.sparkSession
+    staged = stage(df, scratch_path(spark, "staged"))
+    if spark.catalog.tableExists(name):
+        # By position, into the table's own columns and place.
+        staged.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+    else:
+        writer = staged.write.format("parquet")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
+    return spark.table(name)
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Replace a staging folder and read it back.
 

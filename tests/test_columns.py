@@ -132,11 +132,19 @@ def test_union_pads(spark):
 
 
 def test_marks_of_an_empty_target(spark):
-    source = spark.sql("SELECT 1L AS id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS t, DATE '2024-01-01' AS d")
+    source = spark.sql(
+        """SELECT * FROM VALUES (-9223372036854775808L, -5S, '', -1.5D, TIMESTAMP_NTZ '0001-01-01 00:00:00', DATE '0001-01-01', -0.1),
+                  (0L, 0S, 'b', 0D, TIMESTAMP_NTZ '2024-01-01 00:00:00', DATE '2024-01-01', 0.0),
+                  (9223372036854775807L, 7S, 'c', 2D, TIMESTAMP_NTZ '2024-01-02 00:00:00', DATE '2024-01-02', 0.1),
+                  (NULL, NULL, NULL, NULL, NULL, NULL, NULL) AS v (id, s, c, f, t, d, m)"""
+    )
     empty = empty_frame(spark, source.schema)
-    for column in ("id", "t", "d"):
-        assert I.incremental_extract(source, empty, column).count() == 1
-        assert I.incremental_extract(source, source, column).count() == 0
+    for column in source.columns:
+        assert I.incremental_extract(source, empty, column).count() == 3
+        assert I.unmarked_rows(source, column).count() == 1
+        kept = source.orderBy(F.col(column).asc_nulls_last()).limit(2)
+        assert I.incremental_extract(source, kept, column).count() == 1
+        assert I.incremental_extract(source, source, column).count() == (column == "id")
     assert I.high_water_mark(empty, "id").first()["mark"] == 0
 
 

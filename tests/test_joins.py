@@ -33,14 +33,14 @@ def keyed(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(skewed, keyed, how):
-    salted = keyed_join(skewed, keyed, ["k"], how, max_broadcast_bytes=0, rows_per_task=100)
+    salted = keyed_join(skewed, keyed, ["k"], how, rows_per_task=100)
     plain = skewed.join(keyed, "k", how).select(*salted.columns)
     assert rows(salted) == rows(plain)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_broadcast_join_equals_plain_join(skewed, keyed, how):
-    joined = keyed_join(skewed, keyed, ["k"], how)
+    joined = keyed_join(skewed, keyed, ["k"], how, broadcast=True)
     assert "BroadcastHashJoin" in plan(joined)
     assert rows(joined) == rows(skewed.join(keyed, "k", how).select(*joined.columns))
 

@@ -111,3 +111,19 @@ def test_difference_counts_copies(spark):
     two = spark.createDataFrame([(1, None), (2, "x"), (3, "y")], "a int, b string")
     assert difference_count(one, two).first()[0] == 2
     assert difference_count(one, one).first()[0] == 0
+
+
+def test_null_keys_of_an_update_are_no_duplicates(spark):
+    target = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
+    source = spark.createDataFrame([(1, "b"), (None, "x"), (None, "y")], "k int, v string")
+    assert rows(M.update_matched(target, source, ["k"])) == ["(1, 'b')", "(None, 'n')"]
+
+
+def test_change_feed_of_repeated_and_null_keys(spark):
+    before = spark.createDataFrame([(1, "a"), (None, "n"), (None, "n"), (None, "o")], "k int, v string")
+    after = spark.createDataFrame([(1, "b"), (None, "n"), (None, "p"), (None, "o")], "k int, v string")
+    assert rows(change_feed(before, after, ["k"])) == [
+        "(1, 'a', 'update_preimage')", "(1, 'b', 'update_postimage')", "(None, 'n', 'delete')", "(None, 'p', 'insert')",
+    ]
+    with pytest.raises(Exception, match="not unique by k"):
+        change_feed(before.unionByName(before), after, ["k"]).collect()

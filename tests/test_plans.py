@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pytest
 
@@ -33,7 +34,7 @@ def formatted(df) -> str:
 def test_extract_pushes_the_mark_into_the_scan(spark):
     part = table(spark, SMALL, "part")
     text = formatted(I.incremental_extract(part, part.filter("p_partkey < 50"), "p_partkey").select("p_name"))
-    assert "GreaterThan(p_partkey,ScalarSubquery" in text
+    assert "GreaterThanOrEqual(p_partkey,ScalarSubquery" in text
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string>" in text
 
 
@@ -64,10 +65,31 @@ def test_silver_load_shuffles_each_side_once(large):
 
 def test_numbering_has_no_single_partition_for_its_rows(large):
     text = plan(QUERIES["fact_load_default"](large, SMALL))
-    # The one single-partition exchange holds a row per partition, above an aggregate.
+    # The one single-partition exchange holds a row per range, above an aggregate.
     assert text.count("Exchange SinglePartition") == 1
     after = text.split("Exchange SinglePartition", 1)[1]
-    assert after.split("+-", 2)[1].strip().startswith("HashAggregate(keys=[_part")
+    assert after.split("+-", 2)[1].strip().startswith("HashAggregate(keys=[_range")
+
+
+def jobs_started(spark, build) -> int:
+    """Jobs that building a frame starts, before any action."""
+    group = f"plan-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "planning")
+    build()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_joins_measure_nothing_while_planning(spark):
+    for name in ("fact_stage", "lookup_default", "fact_load_star"):
+        QUERIES[name](spark, SMALL)  # schemas of the files are read here
+        files = jobs_started(spark, lambda: [table(spark, SMALL, n) for n in ("orders", "lineitem", "part", "supplier")])
+        assert jobs_started(spark, lambda: QUERIES[name](spark, SMALL)) <= 2 * max(files, 4), name
+
+
+def test_three_lookups_read_the_fact_once(large):
+    text = plan(QUERIES["fact_load_star"](large, SMALL))
+    assert text.count("lineitem.parquet") == 1
+    assert "CartesianProduct" not in text
 
 
 def test_referential_check_shrinks_the_fact_first(large):

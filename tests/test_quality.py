@@ -86,10 +86,17 @@ def test_referential_integrity_with_a_hot_orphan(spark):
 
 
 def test_profile_keys_and_candidates(spark):
-    assert R.candidate_keys(["order_id", "ZipCode", "amount"]) == [("order_id",), ("ZipCode",), ("order_id", "ZipCode")]
+    assert R.key_like(["order_id", "ZipCode", "amount"]) == ["order_id", "ZipCode"]
     df = spark.createDataFrame([(1, 1), (1, 2), (2, None)], "a_id int, b_id int")
     found = {r["candidate"]: (r["distinct_rows"], r["null_rows"], r["is_key"]) for r in R.profile_keys(df).collect()}
-    assert found == {"a_id": (2, 0, False), "b_id": (3, 1, False), "a_id,b_id": (3, 1, False)}
+    assert found == {"a_id": (2, 0, False), "b_id": (3, 1, False)}  # b_id has a NULL
+    wide = spark.range(60).selectExpr("id % 3 AS x_id", "id div 3 % 4 AS y_id", "id div 12 AS z_id", "id % 2 AS w_id", "'v' AS v")
+    found = {r["candidate"]: r["is_key"] for r in R.profile_keys(wide).collect()}
+    # 3 x 4 values cannot be unique over 60 rows: no pair is measured, and no wider key than needed.
+    assert found == {"x_id": False, "y_id": False, "z_id": False, "w_id": False, "x_id,y_id,z_id": True} | {
+        c: False for c in found if "w_id" in c and c != "w_id"
+    }
+    assert "Expand" not in plan(R.profile_table_type("t", wide))
     with pytest.raises(ValueError):
         R.profile_keys(spark.sql("SELECT 1 AS x"))
 

@@ -91,14 +91,14 @@ def test_mixed_load(spark, source, dim):
         (14, 8, "n", "g", 1, True),
         (15, 20, "n", "g", 1, True),
     ]
-    loaded = S.scd_load(source, dim, SPEC)
+    loaded = S.scd_load(source, dim, SPEC, on_null_key="reject")
     assert loaded.schema.simpleString() == dim.schema.simpleString()
     assert rows(loaded) == rows(spark.createDataFrame(expected, DIM))
-    assert difference_count(loaded, S.scd_load(source, loaded, SPEC)).first()[0] == 0
+    assert difference_count(loaded, S.scd_load(source, loaded, SPEC, on_null_key="reject")).first()[0] == 0
 
 
 def test_first_load(spark, source):
-    loaded = S.scd_load(source, empty_frame(spark, DIM), SPEC)
+    loaded = S.scd_load(source, empty_frame(spark, DIM), SPEC, on_null_key="reject")
     assert sorted((r["sk"], r["id"]) for r in loaded.collect()) == [
         (n + 1, i) for n, i in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 20])
     ]
@@ -106,10 +106,12 @@ def test_first_load(spark, source):
 
 def test_bad_inputs_fail(spark, source, dim):
     with pytest.raises(Exception, match="dimension source rows are not unique"):
-        S.scd_load(source.unionByName(source), dim, SPEC).collect()
+        S.scd_load(source.unionByName(source), dim, SPEC, on_null_key="reject").collect()
+    with pytest.raises(Exception, match="NULL in merge key"):
+        S.scd_load(source, dim, SPEC)
     two_current = dim.unionByName(dim.filter("sk = 1"))
     with pytest.raises(Exception, match="current dimension rows are not unique"):
-        S.scd_load(source, two_current, SPEC).collect()
+        S.scd_load(source, two_current, SPEC, on_null_key="reject").collect()
     with pytest.raises(ValueError):
         S.scd_load(source, dim, replace(SPEC, valid_from="f"))
 
