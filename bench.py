@@ -22,6 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from keelstone.operators.dedupe import first_per_key  # noqa: E402
 from keelstone.operators.columns import null_keys_to_unknown  # noqa: E402
+from keelstone.operators.keys import number_rows  # noqa: E402
 from keelstone.operators.lookup import lookup  # noqa: E402
 from keelstone.operators.quality import Check, run_suite, suite_from_mappings  # noqa: E402
 from keelstone.plans import facts as P  # noqa: E402
@@ -30,7 +31,7 @@ from keelstone.plans.catalog.base import table  # noqa: E402
 from keelstone.plans.catalog.facts import LINE_KEYS, product_lookup  # noqa: E402
 from keelstone.plans.catalog.quality import EMAIL  # noqa: E402
 from keelstone.plans.catalog.rows import CUSTOMER_MAPPINGS  # noqa: E402
-from keelstone.session import build_session  # noqa: E402
+from keelstone.session import build_session, clear_scratch  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -39,10 +40,12 @@ RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 # Headline query -> the table whose rows count as its input.
 HEADLINE = {
     "merge_upsert": "src_part",
+    "merge_composite_key": "bronze_lines",
     "dedupe_latest": "bronze_lines",
     "surrogate_keys": "src_part",
     "scd_mixed": "src_part",
     "fact_load_default": "lines_dirty",
+    "fact_load_star": "lines_dirty",
     "medallion_end_to_end": "lines_dirty",
     "dq_suite": "cust_raw",
 }
@@ -78,6 +81,19 @@ def naive_suite(spark, sf):
 NAIVE = {"surrogate_keys": naive_keys, "fact_load_default": naive_fact, "dq_suite": naive_suite}
 
 
+def large_cases(spark, rows: int = 20_000_000) -> dict[str, float]:
+    """Opt-in (BENCH_LARGE=1): numbering of many rows, a third of them under one key."""
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % (rows // 5))
+    skewed = spark.range(0, rows, 1, 64).select(key.alias("k"), "id")
+    window = Window.orderBy("k", "id")
+    cases = {
+        "number_rows": lambda *_: number_rows(skewed, ["k", "id"], "n"),
+        "number_one_window": lambda *_: skewed.withColumn("n", F.row_number().over(window)),
+        "latest_per_key": lambda *_: first_per_key(skewed, ["k"]),
+    }
+    return {name: timed(spark, f"large_{name}", case) for name, case in cases.items()}
+
+
 def timed(spark, group: str, function) -> float:
     """Best of the measured runs, plan building included; every row is produced."""
     best = float("inf")
@@ -132,6 +148,8 @@ def main() -> None:
     seconds = {name: timed(spark, name, QUERIES[name]) for name in HEADLINE}
     naive = {name: timed(spark, f"naive_{name}", function) for name, function in NAIVE.items()}
     rows = {name: table(spark, SF_DIR, source).count() for name, source in HEADLINE.items()}
+    large = large_cases(spark) if os.environ.get("BENCH_LARGE") else {}
+    clear_scratch(spark)
     spark.stop()
     written = shuffle_bytes(log_dir)
     print(
@@ -145,6 +163,7 @@ def main() -> None:
                 "rows_per_sec": {n: round(rows[n] / s) for n, s in seconds.items()},
                 "shuffle_bytes": {n: written.get(n, 0) for n in seconds},
                 "naive": naive,
+                "large": large,
                 "naive_shuffle_bytes": {n: written.get(f"naive_{n}", 0) for n in naive},
             }
         )

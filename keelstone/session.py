@@ -53,9 +53,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; the application's own are together."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written to scratch paths, when its frames are done with."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -28,6 +28,9 @@ def local_session():
 
 @pytest.fixture(scope="session")
 def spark():
+    from keelstone.session import clear_scratch
+
     session = local_session()
     yield session
+    clear_scratch(session)
     session.stop()
