@@ -50,7 +50,7 @@ class Agenda:
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece has a space mark inside: texts cannot be split at spaces")
         # Symbols: piece ids, then single characters that only occur inside pieces, then others.
-        singles = sorted({c for p in pieces for c in p} - pieces.keys())
+        self.singles = singles = sorted({c for p in pieces for c in p} - pieces.keys())
         symbols = pieces | {c: self.size + k for k, c in enumerate(singles)}
         self.other = self.size + len(singles)
         self.width = self.other + _CODES
@@ -183,15 +183,11 @@ class Agenda:
         outside = symbols >= self.size
         if not outside.any():
             return symbols.astype(np.uint32), counts
-        code_of = np.zeros(self.other - self.size, np.int64)
-        code_of[self.symbol_of[self.symbol_of < self.other][self.symbol_of[self.symbol_of < self.other] >= self.size] - self.size] = np.flatnonzero(
-            (self.symbol_of >= self.size) & (self.symbol_of < self.other)
-        )
         sizes = np.ones(len(symbols), np.int64)
         expanded = {}
         for s in np.unique(symbols[outside]).tolist():
-            code = s - self.other if s >= self.other else int(code_of[s - self.size])
-            expanded[s] = self.bytes[list(chr(code).encode())]
+            char = chr(s - self.other) if s >= self.other else self.singles[s - self.size]
+            expanded[s] = self.bytes[list(char.encode())]
         for place in np.flatnonzero(outside).tolist():
             sizes[place] = len(expanded[int(symbols[place])])
         starts = np.cumsum(sizes) - sizes
