@@ -55,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs, _ = scratch_table(stage(spark, docs, sf_dir), name)
+        docs = scratch_table(stage(spark, docs, sf_dir), name)
     return docs

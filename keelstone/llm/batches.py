@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelstone.session import scratch_path
-from keelstone.sinks.tables import _hadoop_path
 
 #: Text bytes that one step of numpy work takes at once; one longer text makes its own step.
 SLICE_BYTES = 4 << 20
@@ -70,15 +69,8 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def scratch_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Rows written to the shared folder and read back, and where: they survive lost executors."""
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read back: they survive lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop_scratch(spark: SparkSession, *paths: str) -> None:
-    """Remove what ``scratch_table`` wrote."""
-    for path in paths:
-        at, fs = _hadoop_path(spark, path)
-        fs.delete(at, True)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the smallest of both. A null id is linked with nothing, has no component and is kept. An
     empty table gives no rows; extra columns are ignored.
     """
-    signs, _ = scratch_table(signed(docs), "signs")
+    signs = scratch_table(signed(docs), "signs")
     linkable = signs.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # One document of each set: copies need no sketch and no comparison.
     firsts = linkable.groupBy("digest").agg(F.min("doc_id").alias("first"))

@@ -5,10 +5,11 @@ Anchors find what to compare. Of the hashes of all ``GRAM``-byte strings in a wi
 places, so a window can only be repeated where one of its anchors is.
 
 An anchor's snippet is the stretch that all windows around it cover. Of equal snippets, all
-but the first go whole. Snippets that share an anchor and differ are compared through their
-suffix order: the previous and next smaller position of a suffix in that order are the
-earlier places with the longest match, its longest previous factor. Where it reaches
-``LENGTH``, the window repeats an earlier one.
+but the first go whole; equal means that two 64-bit hashes agree, the anchor's and their
+own. Snippets that share an anchor and differ are compared through their suffix order: the
+previous and next smaller position of a suffix in that order are the earlier places with
+the longest match, its longest previous factor. Where it reaches ``LENGTH``, the window
+repeats an earlier one.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ GRAM = 32
 REACH = LENGTH - GRAM
 #: Snippets of one anchor that are one task's; more are compared in parts of this size.
 GROUP_SNIPPETS = 8192
+#: Places of one anchor that one task takes; documents of which one is looked at to find
+#: anchors with more.
+HOT_PLACES = 500_000
+HOT_SAMPLE = 64
 #: Snippet bytes whose suffixes are ordered at once.
 BLOCK_BYTES = 1 << 20
 _NULL_ID = (1 << 63) - 1
@@ -53,20 +59,6 @@ def _shifted(classes: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def prefix_classes(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of every suffix by its first ``length`` bytes, by prefix doubling.
-
-    Equal ranks mean equal stretches; a stretch cut off by the end ranks before its
-    continuations.
-    """
-    classes, have = data.astype(np.int64), 1
-    while have < length:
-        step = min(have, length - have)
-        later = _shifted(classes, step)
-        classes, have = _classes(classes * (later.max(initial=0) + 1) + later), have + step
-    return classes
-
-
 def smaller_before(values: np.ndarray) -> np.ndarray:
     """Nearest place before each with a strictly smaller value, -1 if none; by pointer jumping."""
     at = np.arange(-1, len(values) - 1)
@@ -120,24 +112,30 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, order: np.ndarray) ->
     """Which windows of ``LENGTH`` bytes also start earlier.
 
     ``starts`` are the windows' places in ``data``, ``order`` their places in the corpus:
-    windows of one place have equal values, an earlier one a smaller value.
+    windows of one place have equal values, an earlier one a smaller value. A window whose
+    hash occurs once has no previous factor of its length. The others are brought into
+    suffix order, one of each hash by its bytes; equal windows stand together there in the
+    order of their places, so the previous smaller position of a window is an equal one
+    exactly if the first of its stretch is earlier.
     """
-    # Eight bytes at once, then doubling: only whole windows are asked about.
-    padded = np.r_[data, np.zeros(8, np.uint8)]
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]
-    classes = _classes(np.ascontiguousarray(eight).view(">u8").reshape(-1).astype(np.uint64))
-    have = 8
-    while have * 2 <= LENGTH:
-        later = _shifted(classes, have)
-        classes, have = _classes(classes * (later.max(initial=0) + 1) + later), have * 2
-    # Two overlapping stretches cover the window and rank it by its bytes.
-    first, rest = classes[starts], classes[starts + LENGTH - have]
-    ranks = _classes(first * (classes.max(initial=0) + 1) + rest)
-    before, after = neighbours(ranks, order)
     found = np.zeros(len(starts), bool)
-    for near in (before, after):
-        has = near >= 0
-        found[has] |= ranks[near[has]] == ranks[has]
+    hashes = span_hashes(rolling(data), starts, starts + LENGTH)
+    _, example, group, size = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    asked = np.flatnonzero(size[group] > 1)
+    if not len(asked):
+        return found
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    kinds, of = np.unique(group[asked], return_inverse=True)
+    examples = np.ascontiguousarray(windows[starts[example[kinds]]])
+    if (windows[starts[asked]] != examples[of]).any():
+        raise ValueError("two windows share a hash")
+    rank = np.empty(len(kinds), np.int64)
+    rank[np.argsort(examples.view(f"S{LENGTH}").reshape(-1))] = np.arange(len(kinds))
+    suffixes = np.lexsort((order[asked], rank[of]))
+    ranks, places = rank[of][suffixes], order[asked][suffixes]
+    fresh = np.r_[True, ranks[1:] != ranks[:-1]]
+    first = places[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    found[asked[suffixes[places > first]]] = True
     return found
 
 
@@ -178,7 +176,7 @@ def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return row, chosen - ends[row], hashes[chosen], sums, ends
 
 
-PLACES = "anchor long, doc_id long, place int"
+PLACES = "anchor long, snippet long, doc_id long, place int"
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -186,32 +184,16 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with a hash of their snippets; ends cut off by the text are part of it."""
     for batch in slices(batches):
-        row, place, hashes, _, _ = anchors(batch.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes.view(np.int64)), pa.array(_ids(batch)[row]), pa.array(place.astype(np.int32))],
-            names=["anchor", "doc_id", "place"],
-        )
-
-
-SNIPPETS = "anchor long, snippet long, doc_id long, place int"
-
-
-def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor and snippet hashes at given places; cut off ends are part of the snippet."""
-    for batch in slices(batches):
-        data, ends = byte_view(texts_of(batch.column("text")))
-        sums = rolling(data)
-        lists = batch.column("places")
-        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row, place, hashes, sums, ends = anchors(batch.column("text"))
         at = ends[row] + place
         low, high = np.maximum(at - REACH, ends[row]), np.minimum(at + LENGTH, ends[row + 1])
         shape = (at - low).astype(np.uint64) * np.uint64(LENGTH + 1) + (high - at).astype(np.uint64)
         snippet = mixed(span_hashes(sums, low, high) + mixed(shape + np.uint64(1)))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(span_hashes(sums, at, at + GRAM).view(np.int64)),
+                pa.array(hashes.view(np.int64)),
                 pa.array(snippet.view(np.int64)),
                 pa.array(_ids(batch)[row]),
                 pa.array(place.astype(np.int32)),
@@ -220,26 +202,114 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: What a place of a repeated anchor is: a copy of an earlier snippet, the first of several
+#: different snippets, or the first of its snippet in one part of a hot anchor.
+COPY, DIFFERENT, PART = 0, 1, 2
+MATCHES = "kind int, anchor long, snippet long, doc_id long, place int"
+
+
+def _matched(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Whole runs of anchors, in the order of their places."""
+    anchor, snippet, doc_id, place, salted = columns
+    # A row that repeats a place is no second place.
+    fresh = np.ones(len(anchor), bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc_id[1:] != doc_id[:-1]) | (place[1:] != place[:-1])
+    anchor, snippet, doc_id, place, salted = (c[fresh] for c in columns)
+    order = np.lexsort((snippet, anchor))
+    a, s = anchor[order], snippet[order]
+    run = np.r_[True, a[1:] != a[:-1]]
+    first = run.copy()
+    first[1:] |= s[1:] != s[:-1]
+    starts = np.flatnonzero(run)
+    several = np.repeat(np.add.reduceat(first.astype(np.int64), starts) > 1, np.diff(np.r_[starts, len(a)]))
+    kind = np.where(~first, COPY, np.where(salted[order], PART, DIFFERENT))
+    keep = (kind != DIFFERENT) | several
+    order, kind = order[keep], kind[keep]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(kind.astype(np.int32)),
+            pa.array(anchor[order]),
+            pa.array(snippet[order]),
+            pa.array(doc_id[order]),
+            pa.array(place[order]),
+        ],
+        names=["kind", "anchor", "snippet", "doc_id", "place"],
+    )
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of anchors as they come by; the run at the end of a batch waits for the next."""
+    held: list[np.ndarray] | None = None
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = ("anchor", "snippet", "doc_id", "place", "salted")
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        salts = batch.column("salt").to_numpy(zero_copy_only=False)
+        if held is not None and (columns[0][0], salts[0]) != last:
+            yield _matched(held)
+            held = None
+        if held is not None:
+            columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            salts = np.concatenate([np.full(len(held[0]), last[1], salts.dtype), salts])
+        last = (columns[0][-1], salts[-1])
+        ends = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (salts[1:] != salts[:-1]))
+        cut = int(ends[-1]) + 1 if len(ends) else 0
+        # Parts of one anchor must not be taken as one run.
+        bounds = [0, *(np.flatnonzero((salts[1:cut] != salts[: max(cut - 1, 0)])) + 1).tolist(), cut]
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            if high > low:
+                yield _matched([c[low:high] for c in columns])
+        held = [c[cut:] for c in columns]
+    if held is not None and len(held[0]):
+        yield _matched(held)
+
+
+PACKED = "doc_id long, packed binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts on their way through a shuffle: a third smaller than the shuffle's own packing."""
+    work = zstandard.ZstdCompressor(level=1)
+    for batch in slices(batches):
+        packed = [work.compress(t.encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The id, the bytes of the text and further columns of every row."""
+    work = zstandard.ZstdDecompressor()
+    for batch in batches:
+        lists = [batch.column(c).to_pylist() for c in ("doc_id", "packed", *columns)]
+        for doc_id, packed, *more in zip(*lists, strict=True):
+            yield doc_id, work.decompress(packed) if packed else b"", *more
+
+
 CONTENT = "anchor long, doc_id long, place int, low int, content binary"
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of snippets at given places, with the anchors they were asked for."""
-    for batch in slices(batches):
-        out: list[tuple] = []
-        columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "asked"))
-        for doc_id, text, asked in zip(*columns, strict=True):
-            data = text.encode()
-            for x in asked:
-                low = max(0, x["place"] - REACH)
-                out.append((x["anchor"], doc_id, x["place"], low, data[low : x["place"] + LENGTH]))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=["anchor", "doc_id", "place", "low", "content"],
+    out: list[tuple] = []
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = ["anchor", "doc_id", "place", "low", "content"]
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names
         )
 
+    for doc_id, data, asked in _unpacked(batches, "asked"):
+        for x in asked:
+            low = max(0, x["place"] - REACH)
+            out.append((x["anchor"], doc_id, x["place"], low, data[low : x["place"] + LENGTH]))
+        if len(out) >= 20_000:
+            yield rows()
+            out = []
+    if out:
+        yield rows()
+
 
 # Comparison --------------------------------------------------------------------------------
 
@@ -364,25 +434,42 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the bytes of their spans."""
-    for batch in slices(batches):
-        out: list[tuple] = []
-        columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "lows", "highs"))
-        for doc_id, text, lows, highs in zip(*columns, strict=True):
-            data = np.frombuffer(text.encode(), np.uint8)
-            change = np.zeros(len(data) + 1, np.int64)
-            np.add.at(change, np.array(lows, np.int64), 1)
-            np.add.at(change, np.array(highs, np.int64), -1)
-            gone = np.cumsum(change[:-1]) > 0
-            runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            kept = data[~gone].tobytes()
-            out.append((doc_id, len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+    out: list[tuple] = []
+    held = 0
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names
         )
 
+    for doc_id, text, lows, highs in _unpacked(batches, "lows", "highs"):
+        data = np.frombuffer(text, np.uint8)
+        change = np.zeros(len(data) + 1, np.int64)
+        np.add.at(change, np.array(lows or [], np.int64), 1)
+        np.add.at(change, np.minimum(np.array(highs or [], np.int64), len(data)), -1)
+        gone = np.cumsum(change[:-1]) > 0
+        runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        kept = data[~gone].tobytes()
+        out.append((doc_id, len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
+        held += len(kept)
+        if held > 4 << 20:
+            yield rows()
+            out, held = [], 0
+    if out:
+        yield rows()
+
+
+def _hot_anchors(plain: DataFrame) -> DataFrame:
+    """Anchors that a task should not take alone, and their salts, estimated from some documents.
+
+    At most one for every ``HOT_PLACES`` places. Missing one costs time and changes nothing.
+    """
+    some = plain.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(_places, PLACES)
+    counts = some.groupBy("anchor").agg((F.count("*") * HOT_SAMPLE).alias("n")).filter(F.col("n") > HOT_PLACES)
+    return counts.select("anchor", F.ceil(F.col("n") / HOT_PLACES).cast("int").alias("salts"))
+
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row.
@@ -395,75 +482,45 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A null text is empty; texts under ``LENGTH`` bytes lose nothing. An id names one text:
     rows that repeat an id are the same text and get the same result, a null id counts as
     the largest. An empty table gives no rows; extra columns are ignored.
+
+    Places are shuffled once and come by in the order of anchor, id and place; a hot anchor
+    is dealt in parts, whose first snippets meet in a grouping. Texts are shuffled twice,
+    packed: for the snippets to compare, and for the result.
     """
-    spark = docs.sparkSession
-    tasks = parallelism(spark)
+    tasks = parallelism(docs.sparkSession)
     plain = keyed(docs, "doc_id", "text").select(
         F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
     places = plain.mapInArrow(_places, PLACES)
-    twice = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    asked = (
-        places.join(twice.hint("shuffle_hash"), "anchor")
-        .groupBy("doc_id")
-        .agg(F.collect_set("place").alias("places"))
-    )
-    # Texts are shuffled once; what has no repeated anchor is done.
-    met, _ = scratch_table(
-        plain.join(asked, "doc_id", "left").select(
-            "doc_id",
-            F.octet_length("text").cast("long").alias("n_bytes"),
-            F.when(F.col("places").isNull(), F.sha2("text", 256)).alias("sha"),
-            F.col("text"),
-            "places",
-        ),
-        "candidates",
+    hot = F.broadcast(cut_lineage(_hot_anchors(plain)))
+    salt = F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")
+    dealt = places.join(hot, "anchor", "left").select(
+        *places.columns, F.coalesce(salt, F.lit(0)).alias("salt"), F.col("salts").isNotNull().alias("salted")
     )
-    some = met.filter("places IS NOT NULL").select("doc_id", "text", "places")
-    snippets = some.select("doc_id", "text", "places").dropDuplicates(["doc_id"]).mapInArrow(_snippets, SNIPPETS)
-    snippets, _ = scratch_table(snippets, "snippets")
-    firsts = cut_lineage(
-        snippets.groupBy("anchor", "snippet").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+    ordered = dealt.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "place")
+    matches = scratch_table(ordered.mapInArrow(_matches, MATCHES), "matches")
+    # Hot anchors: the first of each snippet among the parts' firsts.
+    parts = matches.filter(F.col("kind") == PART)
+    earliest = parts.groupBy("anchor", "snippet").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+    several = earliest.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    later = parts.join(earliest, ["anchor", "snippet"]).filter(F.struct("doc_id", "place") != F.col("first"))
+    copies = matches.filter(F.col("kind") == COPY).select("doc_id", "place").unionByName(later.select("doc_id", "place"))
+    different = matches.filter(F.col("kind") == DIFFERENT).select("anchor", "doc_id", "place")
+    different = different.unionByName(
+        earliest.join(several, "anchor").select("anchor", "first.doc_id", "first.place")
     )
-    copies = (
-        snippets.join(firsts.filter("n > 1").select("anchor", "snippet", "first"), ["anchor", "snippet"])
-        .filter(F.struct("doc_id", "place") != F.col("first"))
-        .select(
+    sizes = cut_lineage(different.groupBy("anchor").agg(F.count("*").alias("n")))
+    asked = different.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
+    packed = plain.mapInArrow(_pack, PACKED)
+    content = packed.join(asked, "doc_id").mapInArrow(_contents, CONTENT)
+    found = scratch_table(_differing(content, sizes, tasks), "spans")
+    spans = found.unionByName(
+        copies.select(
             "doc_id",
             F.greatest(F.col("place") - REACH, F.lit(0)).alias("low"),
             (F.col("place") + LENGTH).alias("high"),
         )
     )
-    sizes = cut_lineage(firsts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
-    wanted = (
-        firsts.join(sizes.select("anchor"), "anchor")
-        .select("first.doc_id", F.struct("anchor", "first.place").alias("x"))
-        .groupBy("doc_id")
-        .agg(F.collect_list("x").alias("asked"))
-    )
-    texts = some.select("doc_id", "text").dropDuplicates(["doc_id"])
-    content, _ = scratch_table(texts.join(wanted, "doc_id").mapInArrow(_contents, CONTENT), "contents")
-    spans = copies.unionByName(_differing(content, sizes, tasks))
     gathered = spans.groupBy("doc_id").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    nothing = F.array().cast("array<int>")
-    cut = (
-        met.filter("places IS NOT NULL")
-        .select("doc_id", "text", "n_bytes")
-        .join(gathered, "doc_id", "left")
-        .select(
-            "doc_id",
-            "text",
-            F.coalesce("lows", nothing).alias("lows"),
-            F.transform(F.coalesce("highs", nothing), lambda h: F.least(h, F.col("n_bytes").cast("int"))).alias("highs"),
-        )
-        .mapInArrow(_cut, RESULT)
-    )
-    whole = met.filter("places IS NULL").select(
-        "doc_id",
-        "n_bytes",
-        F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"),
-        F.col("sha").alias("kept_sha256"),
-        F.encode("text", "utf-8").alias("kept"),
-    )
-    return whole.unionByName(cut).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NULL_ID)))
+    result = packed.join(gathered, "doc_id", "left").mapInArrow(_cut, RESULT)
+    return result.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NULL_ID)))
