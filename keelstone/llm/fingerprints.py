@@ -4,10 +4,12 @@
 hash of any span is a difference of two of them, brought to position 0: spans compare in
 constant time and the longest common extension of two positions is found by binary search.
 
-A fingerprint is the text's length, the hash of the whole text, and the smallest
-``SAMPLES`` hashes of its windows of ``WINDOW`` code points (all spans of one prefix
-array). Two fingerprints estimate the Dice coefficient of the two window sets, which is
-near the share of unchanged text; equal texts have equal fingerprints and likeness 1.
+A fingerprint is the text's length, the hash of the whole text, and for each of ``WIDTHS``
+the smallest ``SAMPLES`` hashes of its windows of so many code points (all spans of one
+prefix array). Two fingerprints estimate the Dice coefficient of two window sets, which is
+near the share of unchanged text; equal texts have equal fingerprints and likeness 1. The
+sets compared are those of the widest windows that the shorter text is ``WINDOWS_LONG``
+times as long as, so that an edit of a short text does not touch all of its windows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ from keelstone.llm.words import mixed
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 999979)
-WINDOW = 24
+#: Widths of the windows, and how many of them the shorter text must be long for a width;
+#: the narrowest is for any length.
+WIDTHS = (24, 6, 2)
+WINDOWS_LONG = 4
 SAMPLES = 64
 #: Documents of one key range; a range streams through one task.
 ROWS_PER_RANGE = 20_000
@@ -44,6 +49,11 @@ def _powers(base: int, prime: int, count: int) -> np.ndarray:
     return table[:count]
 
 
+def _modulo(values: np.ndarray, prime: np.uint64) -> np.ndarray:
+    """Remainders; numpy divides by one number faster than it takes remainders."""
+    return values - values // prime * prime
+
+
 class PrefixHash:
     """Prefix arrays of a sequence of codes; spans are half-open."""
 
@@ -52,28 +62,29 @@ class PrefixHash:
         self.sums = []
         for base, prime in zip(BASES, PRIMES, strict=True):
             p = np.uint64(prime)
-            terms = (codes.astype(np.uint64) + np.uint64(1)) * _powers(base, prime, len(codes)) % p
+            terms = _modulo((codes.astype(np.uint64) + np.uint64(1)) * _powers(base, prime, len(codes)), p)
             sums = np.zeros(len(codes) + 1, np.uint64)
             np.cumsum(terms, out=sums[1:])
-            self.sums.append(sums % p)
+            self.sums.append(_modulo(sums, p))
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """62-bit hash of every span."""
-        out = np.zeros(len(starts), np.uint64)
+    def span(self, start: int, end: int) -> int:
+        """62-bit hash of one span."""
+        out = 0
         for sums, base, prime in zip(self.sums, BASES, PRIMES, strict=True):
-            p = np.uint64(prime)
-            back = _powers(pow(base, -1, prime), prime, self.length + 1)[starts]
-            out = (out << np.uint64(31)) | ((sums[ends] + p - sums[starts]) % p * back % p)
+            back = int(_powers(pow(base, -1, prime), prime, self.length + 1)[start])
+            out = out << 31 | (int(sums[end]) - int(sums[start])) * back % prime
         return out
 
-    def span(self, start: int, end: int) -> int:
-        """Hash of one span."""
-        return int(self.spans(np.array([start]), np.array([end]))[0])
-
-    def windows(self, width: int) -> np.ndarray:
-        """Hashes of all spans of ``width`` codes."""
-        starts = np.arange(max(0, self.length - width + 1))
-        return self.spans(starts, starts + width)
+    def windows(self, width: int, first: int = 0) -> np.ndarray:
+        """Hashes of all spans of ``width`` codes, from the one at ``first`` on."""
+        count = max(0, self.length - width + 1 - first)
+        out = np.zeros(count, np.uint64)
+        for sums, base, prime in zip(self.sums, BASES, PRIMES, strict=True):
+            p = np.uint64(prime)
+            back = _powers(pow(base, -1, prime), prime, self.length + 1)[first : first + count]
+            low, high = sums[first : first + count], sums[first + width : first + width + count]
+            out = (out << np.uint64(31)) | _modulo((high + p - low) * back, p)
+        return out
 
     def common(self, start: int, other: PrefixHash, there: int) -> int:
         """Longest common extension of two positions, by binary search on span equality."""
@@ -92,41 +103,47 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def smallest(hashes: np.ndarray, count: int = SAMPLES) -> np.ndarray:
-    """The ``count`` smallest distinct values after mixing, ascending."""
-    values = mixed(hashes)
+def smallest(values: np.ndarray, count: int = SAMPLES) -> np.ndarray:
+    """The ``count`` smallest distinct values, ascending."""
     if len(values) > 8 * count:
-        few = np.unique(np.partition(values, 4 * count)[: 4 * count])
+        # Mixed values spread evenly, so about this many lie below the bound.
+        few = np.unique(values[values < np.uint64((1 << 64) // len(values) * 4 * count)])
         if len(few) >= count:
             return few[:count]
     return np.unique(values)[:count]
 
 
-def sampled(prefix: PrefixHash, windows: np.ndarray) -> np.ndarray:
-    """The window sample; a text shorter than a window is one window."""
-    if len(windows):
-        return smallest(windows)
-    whole = [prefix.span(0, prefix.length)] if prefix.length else []
-    return smallest(np.array(whole, np.uint64))
+def windows_of(prefix: PrefixHash, width: int, first: int = 0) -> np.ndarray:
+    """Mixed hashes of the windows; a text shorter than a window is one window."""
+    if 0 < prefix.length < width:
+        return mixed(np.array([prefix.span(0, prefix.length)], np.uint64))
+    return mixed(prefix.windows(width, first))
 
 
-def render(length: int, whole: int, sample: np.ndarray) -> str:
-    """Length, whole hash and sample as text."""
-    return f"{length}:{whole:016x}:" + ".".join(f"{v:016x}" for v in sample.tolist())
+def render(length: int, whole: int, samples: list[np.ndarray]) -> str:
+    """Length, whole hash and the samples of all widths as text."""
+    return ":".join([f"{length}", f"{whole:016x}", *(".".join([f"{v:016x}" for v in s.tolist()]) for s in samples)])
 
 
-def parse(fingerprint: str) -> tuple[int, str, np.ndarray]:
-    """The three parts of a fingerprint."""
-    length, whole, sample = fingerprint.split(":")
-    values = [int(v, 16) for v in sample.split(".") if v]
-    return int(length), whole, np.array(values, np.uint64)
+def parse(fingerprint: str) -> tuple[int, str, list[np.ndarray]]:
+    """Length, whole hash and the samples of all widths."""
+    length, whole, *samples = fingerprint.split(":")
+    return int(length), whole, [np.array([int(v, 16) for v in s.split(".") if v], np.uint64) for s in samples]
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1: estimated Dice coefficient of the window sets; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    return _dice(parse(a)[2], parse(b)[2])
+    (n, _, x), (m, _, y) = parse(a), parse(b)
+    return _near(n, x, m, y)
+
+
+def _near(n: int, a: list[np.ndarray], m: int, b: list[np.ndarray]) -> float:
+    """Likeness of the samples of two texts by the widest windows that suit the shorter one."""
+    fits = (k for k, width in enumerate(WIDTHS) if min(n, m) >= WINDOWS_LONG * width)
+    k = next(fits, len(WIDTHS) - 1)
+    return _dice(a[k], b[k])
 
 
 def _dice(a: np.ndarray, b: np.ndarray) -> float:
@@ -141,7 +158,8 @@ def _dice(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprint(text: str | None) -> str:
     """Fingerprint of a text; null is empty."""
     prefix = PrefixHash(codes_of(text or ""))
-    return render(prefix.length, prefix.span(0, prefix.length), sampled(prefix, prefix.windows(WINDOW)))
+    samples = [smallest(windows_of(prefix, width)) for width in WIDTHS]
+    return render(prefix.length, prefix.span(0, prefix.length), samples)
 
 
 class _Text:
@@ -150,9 +168,9 @@ class _Text:
     def __init__(self, doc_id, text: str) -> None:
         self.doc_id, self.codes = doc_id, codes_of(text)
         self.prefix = PrefixHash(self.codes)
-        self.windows = self.prefix.windows(WINDOW)
-        self.sample = sampled(self.prefix, self.windows)
-        self.print = render(self.prefix.length, self.prefix.span(0, self.prefix.length), self.sample)
+        self.windows = [windows_of(self.prefix, width) for width in WIDTHS]
+        self.samples = [smallest(w) for w in self.windows]
+        self.print = render(self.prefix.length, self.prefix.span(0, self.prefix.length), self.samples)
 
     def edited_by(self, following: _Text) -> tuple:
         """The row of this document; windows before the edit are not hashed again."""
@@ -160,11 +178,11 @@ class _Text:
         cut = n - n // 3
         edited = np.concatenate([self.codes[:cut], following.codes[: n // 3]])
         whole = PrefixHash(edited)
-        kept = max(0, cut - WINDOW + 1)
-        tail = PrefixHash(edited[kept:]).windows(WINDOW)
-        windows = np.concatenate([self.windows[:kept], tail])
-        sample = sampled(whole, windows)
-        edited_print = render(len(edited), whole.span(0, len(edited)), sample)
+        samples = []
+        for width, windows in zip(WIDTHS, self.windows, strict=True):
+            kept = max(0, cut - width + 1)
+            samples.append(smallest(np.concatenate([windows[:kept], windows_of(whole, width, kept)])))
+        edited_print = render(len(edited), whole.span(0, len(edited)), samples)
         text = edited.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
         return (
             self.doc_id,
@@ -172,8 +190,8 @@ class _Text:
             hashlib.sha256(text).hexdigest(),
             self.print,
             edited_print,
-            1.0 if edited_print == self.print else _dice(self.sample, sample),
-            1.0 if following.print == self.print else _dice(self.sample, following.sample),
+            1.0 if edited_print == self.print else _near(n, self.samples, len(edited), samples),
+            1.0 if following.print == self.print else _near(n, self.samples, len(following.codes), following.samples),
             self.prefix.common(0, whole, 0),
         )
 

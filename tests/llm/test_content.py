@@ -89,6 +89,27 @@ def test_fingerprints_of_one_none_repeated_and_unnamed_rows(spark):
     assert fingerprints.fingerprint_edits(twice, rows_per_range=2).count() == len(edge_texts()) + 2
 
 
+def test_edits_of_short_texts_leave_a_likeness(spark):
+    # Other letters in the text that the replaced third comes from.
+    letters = [chr(0x4E00 + 7919 * k % 20000) for k in range(2000)]
+    texts = [t for n in range(1, 121) for t in ("".join(letters[1000 : 1000 + n]), "".join(letters[:n]))]
+    rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(documents(spark, texts), rows_per_range=9).collect()}
+    for i, text in enumerate(texts[1:], 1):
+        row, n = rows[i], len(text)
+        width = next(w for w in (24, 6, 2, 0) if n >= 4 * w or w == 2)
+        edited = text[: n - n // 3] + texts[i - 1][: n // 3]
+        one, other = ({t[k : k + width] for k in range(max(1, len(t) - width + 1))} for t in (text, edited))
+        dice = 2 * len(one & other) / (len(one) + len(other))
+        assert row.near_edited == fingerprints.likeness(row.fingerprint, row.edited_fingerprint)
+        assert abs(row.near_edited - dice) < (1e-9 if len(one | other) <= fingerprints.SAMPLES else 0.25)
+        assert row.near_edited >= 0.4 and row.near_edited > row.near_next
+        assert row.edited_fingerprint == fingerprints.fingerprint(edited)
+    # A short text beside a long one: nothing shared, some shared.
+    long = fingerprints.fingerprint(prose(3, 3000) + " q7z9k")
+    assert fingerprints.likeness(fingerprints.fingerprint("Q7Z9K"), long) == 0
+    assert fingerprints.likeness(fingerprints.fingerprint("q7z9k"), fingerprints.fingerprint("see q7z9k")) > 0.5
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("ab", max_size=30), st.text("ab", max_size=30))
 def test_prefix_hashes(a, b):
