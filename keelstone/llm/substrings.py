@@ -60,13 +60,23 @@ def _shifted(classes: np.ndarray, by: int) -> np.ndarray:
 
 
 def smaller_before(values: np.ndarray) -> np.ndarray:
-    """Nearest place before each with a strictly smaller value, -1 if none; by pointer jumping."""
+    """Nearest place before each with a strictly smaller value, -1 if none.
+
+    Where the value just before is not smaller, by halving over the least values of stretches.
+    """
     at = np.arange(-1, len(values) - 1)
-    while True:
-        wrong = np.flatnonzero((at >= 0) & (values[np.maximum(at, 0)] >= values))
-        if not len(wrong):
-            return at
-        at[wrong] = at[at[wrong]]
+    wrong = np.flatnonzero((at >= 0) & (values[np.maximum(at, 0)] >= values))
+    least = [values]  # least[k][i]: of the 2**k values from i on
+    while len(wrong) and 2 << (len(least) - 1) <= len(values):
+        half = 1 << (len(least) - 1)
+        least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+    # All values of end .. wrong - 1 are at least as large.
+    end, own = wrong.copy(), values[wrong]
+    for k in range(len(least) - 1, -1, -1):
+        size = 1 << k
+        end -= size * ((end >= size) & (least[k][np.maximum(end - size, 0)] >= own))
+    at[wrong] = end - 1
+    return at
 
 
 def neighbours(classes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,10 +123,9 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, order: np.ndarray) ->
 
     ``starts`` are the windows' places in ``data``, ``order`` their places in the corpus:
     windows of one place have equal values, an earlier one a smaller value. A window whose
-    hash occurs once has no previous factor of its length. The others are brought into
-    suffix order, one of each hash by its bytes; equal windows stand together there in the
-    order of their places, so the previous smaller position of a window is an equal one
-    exactly if the first of its stretch is earlier.
+    hash occurs once has no previous factor of its length. The others are ranked as suffixes,
+    one of each hash by its bytes; a window has a previous factor of its length if one of its
+    neighbours, the previous or next smaller position in suffix order, has its rank.
     """
     found = np.zeros(len(starts), bool)
     hashes = span_hashes(rolling(data), starts, starts + LENGTH)
@@ -131,11 +140,10 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, order: np.ndarray) ->
         raise ValueError("two windows share a hash")
     rank = np.empty(len(kinds), np.int64)
     rank[np.argsort(examples.view(f"S{LENGTH}").reshape(-1))] = np.arange(len(kinds))
-    suffixes = np.lexsort((order[asked], rank[of]))
-    ranks, places = rank[of][suffixes], order[asked][suffixes]
-    fresh = np.r_[True, ranks[1:] != ranks[:-1]]
-    first = places[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    found[asked[suffixes[places > first]]] = True
+    classes = rank[of]
+    for near in neighbours(classes, order[asked]):
+        has = np.flatnonzero(near >= 0)
+        found[asked[has[classes[has] == classes[near[has]]]]] = True
     return found
 
 

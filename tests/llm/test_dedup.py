@@ -133,3 +133,35 @@ def test_longest_previous_factors(data):
 
     wanted = [max((match(j, i) for j in range(i)), default=0) for i in range(len(data))]
     assert substrings.longest_previous_factors(np.frombuffer(data, np.uint8)).tolist() == wanted
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=40))
+def test_nearest_smaller_values(values):
+    wanted = [max((j for j in range(i) if values[j] < v), default=-1) for i, v in enumerate(values)]
+    assert substrings.smaller_before(np.array(values, np.int64)).tolist() == wanted
+
+
+def test_windows_repeat_by_their_previous_factors(monkeypatch):
+    asked = []
+
+    def seen(classes, order, real=substrings.neighbours):
+        asked.append(len(classes))
+        return real(classes, order)
+
+    monkeypatch.setattr(substrings, "neighbours", seen)
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 100, 130).astype(np.uint8)
+    data = np.concatenate([np.r_[rng.integers(97, 123, 60).astype(np.uint8), passage[k:]] for k in range(9)])
+    starts = np.arange(len(data) - substrings.LENGTH + 1)
+    # The corpus has these windows in another order, one of them twice.
+    order = rng.permutation(len(starts))
+    starts, order = np.r_[starts, starts[7]], np.r_[order, order[7]]
+    found = substrings.repeated_windows(data, starts, order)
+    first: dict[bytes, int] = {}
+    windows = [data[s : s + substrings.LENGTH].tobytes() for s in starts]
+    for window, place in zip(windows, order.tolist(), strict=True):
+        first[window] = min(place, first.get(window, place))
+    assert found.tolist() == [place > first[w] for w, place in zip(windows, order.tolist(), strict=True)]
+    assert found.any()
+    assert len(asked) == 1 and 0 < asked[0] < len(starts)
