@@ -25,6 +25,11 @@ from pyspark.sql import DataFrame
 from keelstone.llm.batches import byte_view, keyed, slices, texts_of
 
 ROUNDS = 8
+#: Letters beyond ASCII in addresses: of alphabets written with spaces, and of any script.
+_ALPHABETS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u058f\u1e00-\u1fff"
+_SCRIPTS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u1fff\u2c00-\u2dff\u3040-\ud7ff\uf900-\ufdff\ufe70-\ufefc\uff10-\uffdc\U00010000-\U0001efff\U00020000-\U0003ffff"
+#: Country calling codes; no one begins another. What is not listed has three digits.
+_CALLING = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # up to 2099-12-31
 
 
@@ -66,6 +71,13 @@ def luhn_digit(body: str) -> int:
     return -total % 10
 
 
+def _email_pattern(letters: str) -> str:
+    """Addresses with these letters beside the ASCII ones."""
+    word = rf"\w{letters}"
+    plain = f"A-Za-z0-9{letters}"
+    return rf"(?<![{word}.+-])[{plain}][{word}.+-]{{0,63}}@(?:[{plain}-]+\.)+[A-Za-z{letters}]{{2,}}"
+
+
 def _refill(text: str, digits: str) -> str:
     """The digits of a text replaced one by one, everything else kept."""
     following = iter(digits)
@@ -77,22 +89,32 @@ class Pseudonyms:
 
     Kinds, in the order in which they claim a place: ``email``, ``iban``, ``card``, ``ssn``,
     ``phone``, ``date``, ``ipv4``. ``backwards`` restores.
+
+    Addresses may have letters beyond ASCII, which stay as they are; scripts written without
+    spaces are part of an address only where no other address is found. Dates are written
+    with the year first (a time may follow after a ``T``) or last, their days and months
+    with one digit or two. Phones are North American ones, or begin with ``+`` and have 7
+    to 15 digits in any grouping, of which the longest run counts.
     """
 
     def __init__(self, key: bytes, backwards: bool = False) -> None:
         self.key, self.backwards = key, backwards
         # Notations of personal data.
         kinds: list[tuple[str, str, Callable[[str], str | None | list[tuple[int, int, str]]]]] = [
-            ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", self._email),
+            ("email", _email_pattern(_ALPHABETS), self._email),
+            ("email", _email_pattern(_SCRIPTS), self._email),
             ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", self._iban),
             ("card", r"(?<![\w.])\d(?:[ -]?\d){12,}(?!\w)", self._cards),
             ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", self._ssn),
             ("phone", r"(?<!\w)\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)", self._phone),
             ("phone", r"(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)", self._phone),
             ("phone", r"(?<![\w.+-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])", self._phone),
-            ("date", r"(?<![\w./-])\d{4}([-/.])\d{2}\1\d{2}(?![\w/-])", self._iso_date),
+            ("date", r"(?<![\w./-])\d{4}([-/.])\d{2}\1\d{2}(?=[Tt]\d\d|(?![\w/-]))", self._iso_date),
             ("date", r"(?<![\w./-])\d{2}([-/.])\d{2}\1\d{4}(?![\w/-])", self._day_date),
             ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", self._ipv4),
+            ("date", r"(?<![\w./-])\d{4}([-/.])\d{1,2}\1\d{1,2}(?=[Tt]\d\d|(?![\w/-]|\.\d))", self._short_iso_date),
+            ("date", r"(?<![\w./-])\d{1,2}([-/.])\d{1,2}\1\d{4}(?![\w/-]|\.\d)", self._short_day_date),
+            ("phone", r"(?<![\w+])\+\(?\d(?:(?:[ ./-]|[ .-]?\(|\)[ .-]?)?\d){6,14}(?!\w)", self._international),
         ]
         self.kinds = [(name, re.compile(pattern, re.ASCII), rule) for name, pattern, rule in kinds]
 
@@ -177,6 +199,26 @@ class Pseudonyms:
         rest = text[len(kept) :]
         return kept + _refill(rest, self._digits(re.sub(r"[^0-9]", "", rest), f"phone{kept}"))
 
+    def _international(self, text: str) -> str:
+        """The country code stays.
+
+        A number that no other kind takes becomes such a number, so that no other kind takes
+        it on the way back.
+        """
+        code = re.match(r"\+\(?\d{1,3}(?=[^0-9])", text) or re.match(_CALLING, text) or re.match(r"\+\(", text)
+        kept, rest = code.group(), text[code.end() :]
+        shape = f"phone{kept}|{re.sub('[0-9]', '0', rest)}|"
+        digits, other = re.sub("[^0-9]", "", rest), self._other_kind(text)
+        while True:
+            digits = self._digits(digits, shape)
+            new = kept + _refill(rest, digits)
+            if self._other_kind(new) == other:
+                return new
+
+    def _other_kind(self, text: str) -> bool:
+        """Whether a kind before the last takes some of a text."""
+        return any(rule(m.group()) for _, pattern, rule in self.kinds[:-1] for m in pattern.finditer(text))
+
     def _dated(self, year: str, month: str, day: str) -> datetime.date | None:
         try:
             value = datetime.date(int(year), int(month), int(day)).toordinal() - _FIRST_DAY
@@ -208,17 +250,51 @@ class Pseudonyms:
             found = self._dated(year, month, day)
             return f"{found.day:02d}{sign}{found.month:02d}{sign}{found.year:04d}"
         # Days 13 and later written month first: permuted among such dates of all years.
-        start, days = 13, 19
-        value = ((own.year - 1900) * 12 + own.month - 1) * days + own.day - start
+        own = self._among(own, range(1, 13), range(13, 32), "month first")
+        return f"{own.month:02d}{sign}{own.day:02d}{sign}{own.year:04d}"
+
+    def _among(self, own: datetime.date, months: range, days: range, kind: str) -> datetime.date:
+        """Permuted among the dates of these months and days of all years."""
+        value = ((own.year - 1900) * len(months) + own.month - months[0]) * len(days) + own.day - days[0]
         while True:
-            value = self._number(value, 200 * 12 * days, "month first")
-            rest, day_at = divmod(value, days)
-            year_at, month_at = divmod(rest, 12)
+            value = self._number(value, 200 * len(months) * len(days), kind)
+            rest, day_at = divmod(value, len(days))
+            year_at, month_at = divmod(rest, len(months))
             try:
-                own = datetime.date(1900 + year_at, month_at + 1, start + day_at)
+                return datetime.date(1900 + year_at, months[month_at], days[day_at])
             except ValueError:
                 continue
-            return f"{own.month:02d}{sign}{own.day:02d}{sign}{own.year:04d}"
+
+    def _short(self, year: str, month: str, day: str, kind: str, least_day: int = 1) -> datetime.date | None:
+        """Permuted among the dates of which day and month have as many digits.
+
+        One digit is 1 to 9; two digits may begin with a zero.
+        """
+        try:
+            own = datetime.date(int(year), int(month), int(day))
+        except ValueError:
+            return None
+        if not 1900 <= own.year <= 2099:
+            return None
+        months = range(1, 10 if len(month) == 1 else 13)
+        days = range(least_day, 10 if len(day) == 1 else 32)
+        return self._among(own, months, days, f"{kind}{len(month)}{len(day)}")
+
+    def _short_iso_date(self, text: str) -> str | None:
+        sign = text[4]
+        year, month, day = text.split(sign)
+        found = self._short(year, month, day, "year first")
+        return found and f"{found.year:04d}{sign}{found.month:0{len(month)}d}{sign}{found.day:0{len(day)}d}"
+
+    def _short_day_date(self, text: str) -> str | None:
+        """Day first; where the second number is no month, month first."""
+        sign = re.search("[^0-9]", text).group()
+        a, b, year = text.split(sign)
+        if int(b) <= 12:
+            found = self._short(year, b, a, "day first")
+            return found and f"{found.day:0{len(a)}d}{sign}{found.month:0{len(b)}d}{sign}{found.year:04d}"
+        found = self._short(year, a, b, "month first", 13)
+        return found and f"{found.month:0{len(a)}d}{sign}{found.day:0{len(b)}d}{sign}{found.year:04d}"
 
     def _ipv4(self, text: str) -> str | None:
         parts = text.split(".")

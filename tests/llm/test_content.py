@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from keelstone.llm import contamination, fingerprints, privacy, revisits, toxicity
@@ -154,6 +154,53 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert privacy.pseudonymise(no_documents(spark), "k").count() == 0
 
 
+NOTATIONS = [
+    "2024-02-29T10:00:00Z", "2024-2-9", "2024/12/5", "3/14/1999", "14/3/1999", "1/2/1999", "1.12.1999", "05.3.1999", "3/05/1999",
+    "+34 612 345 678", "+44 20 7946 0958", "+4915112345678", "+44 (0)20 7946 0958", "+33 6 12 34 56 78", "+353-1-234-5678", "+1234567", "+49151 1234567",
+    "josé.34@mail7.example.com", "x@münchen.de", "jose\u0301phine@example.com", "éa1@example.com", "ольга7@почта.рф", "用户1@例子.广告",
+]
+NOT_PERSONAL = ["2024-2-30T10:00", "0/3/1999", "32/1/1999", "1/2/1899", "1/2-1999", "1/2/1999/3", "+123456", "+12345678901234567", "a+491511234567", "2024-1-2x"]
+
+
+def test_pseudonyms_of_further_notations():
+    there, back = privacy.Pseudonyms(b"k"), privacy.Pseudonyms(b"k", backwards=True)
+    for text in NOTATIONS:
+        new, found = there.replace(f"see {text}, please")
+        assert new != f"see {text}, please" and found.total() == 1, text
+        assert len(new) == len(text) + 12 and there.replace(f"and {text}")[0] == f"and {new[4:-8]}"
+        # What is no ASCII letter or digit stays where it is.
+        assert all(a == b or (a + b).isascii() and (a + b).isalnum() for a, b in zip(new[4:-8], text, strict=True))
+        assert back.replace(new)[0] == f"see {text}, please"
+    for text in NOT_PERSONAL:
+        assert there.replace(f"see {text} please") == (f"see {text} please", {}), text
+    # Letters before an address without a space: scripts that have none are not part of it.
+    assert there.replace("请联系abc@example.com谢谢")[0] == f"请联系{there.replace('abc@example.com')[0]}谢谢"
+    assert there.replace("on 2024-02-29T10:00:00Z")[0].endswith("T10:00:00Z")
+    assert there.replace("+4915112345679")[0].startswith("+49")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.from_regex(r"\+[1-9][0-9]([ .-]?[0-9]{1,5}){2,4}", fullmatch=True))
+def test_phones_in_any_grouping_come_back(text):
+    there, back = privacy.Pseudonyms(b"k"), privacy.Pseudonyms(b"k", backwards=True)
+    new, found = there.replace(text)
+    assume(7 <= sum(c.isdigit() for c in text) <= 15)
+    assert found
+    if set(found) == {"phone"}:
+        assert found.total() == 1 and new[:2] == text[:2]
+        assert back.replace(new)[0] == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dates(min_value=__import__("datetime").date(1900, 1, 1), max_value=__import__("datetime").date(2099, 12, 31)))
+def test_dates_of_one_digit_parts_come_back(day):
+    there, back = privacy.Pseudonyms(b"k"), privacy.Pseudonyms(b"k", backwards=True)
+    for text in (f"{day.day}/{day.month}/{day.year}", f"{day.month}.{day.day}.{day.year}", f"{day.year}-{day.month}-{day.day}"):
+        new, found = there.replace(text)
+        assert (len(new), found.total()) == (len(text), 1)
+        assert back.replace(new)[0] == text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dates(min_value=__import__("datetime").date(1900, 1, 1), max_value=__import__("datetime").date(2099, 12, 31)))
 def test_dates_come_back(day):
