@@ -34,10 +34,8 @@ GRAM = 32
 REACH = LENGTH - GRAM
 #: Snippets of one anchor that are one task's; more are compared in parts of this size.
 GROUP_SNIPPETS = 8192
-#: Places of one anchor that one task takes; documents of which one is looked at to find
-#: anchors with more.
+#: Places of one anchor that one task takes.
 HOT_PLACES = 500_000
-HOT_SAMPLE = 64
 #: Snippet bytes whose suffixes are ordered at once.
 BLOCK_BYTES = 1 << 20
 _NULL_ID = (1 << 63) - 1
@@ -340,7 +338,7 @@ class _Block:
         self.place = np.array(low, np.int64)[self.row] + self.starts - first[self.row]
         pairs = np.lexsort((self.place, self.doc_id))
         fresh = np.r_[True, (np.diff(self.doc_id[pairs]) != 0) | (np.diff(self.place[pairs]) != 0)]
-        self.order = np.empty(len(pairs), np.int64)
+        self.order = np.empty(len(pairs), np.int32)
         self.order[pairs] = np.cumsum(fresh[: len(pairs)])
         self.repeated = repeated_windows(self.data, self.starts, self.order) if len(pairs) else np.zeros(0, bool)
 
@@ -469,13 +467,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often every anchor of a slice occurs there."""
+    for batch in slices(batches):
+        hashes, counts = np.unique(anchors(batch.column("text"))[2], return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["anchor", "n"]
+        )
+
+
 def _hot_anchors(plain: DataFrame) -> DataFrame:
-    """Anchors that a task should not take alone, and their salts, estimated from some documents.
+    """Anchors that a task should not take alone, and their salts, counted in all documents.
 
-    At most one for every ``HOT_PLACES`` places. Missing one costs time and changes nothing.
+    At most one for every ``HOT_PLACES`` places.
     """
-    some = plain.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(_places, PLACES)
-    counts = some.groupBy("anchor").agg((F.count("*") * HOT_SAMPLE).alias("n")).filter(F.col("n") > HOT_PLACES)
+    counts = plain.select("text").mapInArrow(_counts, "anchor long, n long")
+    counts = counts.groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_PLACES)
     return counts.select("anchor", F.ceil(F.col("n") / HOT_PLACES).cast("int").alias("salts"))
 
 
@@ -501,7 +508,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     places = plain.mapInArrow(_places, PLACES)
     hot = F.broadcast(cut_lineage(_hot_anchors(plain)))
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")
+    salt = F.pmod(F.xxhash64("doc_id", "place"), F.col("salts")).cast("int")
     dealt = places.join(hot, "anchor", "left").select(
         *places.columns, F.coalesce(salt, F.lit(0)).alias("salt"), F.col("salts").isNotNull().alias("salted")
     )

@@ -118,6 +118,30 @@ def test_repeats_equal_brute_force(spark, monkeypatch, group):
     assert [r.kept_sha256 for r in found] == [hashlib.sha256(w[3]).hexdigest() for w in wanted]
 
 
+def test_hot_anchors_are_dealt_by_place(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_PLACES", 50)
+    passage = prose(98, 40)
+    # One long run of a byte has one anchor; a passage is in many texts.
+    texts = [*edge_texts(), "x" * 3000, *(prose(k, 15) + passage + prose(k + 70, 15) for k in range(60))]
+    docs = documents(spark, texts)
+    places = docs.selectExpr("doc_id", "coalesce(text, '') AS text").mapInArrow(substrings._places, substrings.PLACES)
+    counted = {r.anchor: r["count"] for r in places.groupBy("anchor").count().collect()}
+    hot = {r.anchor: r.salts for r in substrings._hot_anchors(docs.select("doc_id", "text")).collect()}
+    assert hot == {a: -(-n // 50) for a, n in counted.items() if n > 50}
+    assert max(hot.values()) > 50 and len(hot) > 2
+    dealt = []
+
+    def seen(self, parts, *columns, real=type(docs).repartition):
+        if columns == ("anchor", "salt"):
+            dealt.extend(r["count"] for r in self.groupBy("anchor", "salt").count().collect())
+        return real(self, parts, *columns)
+
+    monkeypatch.setattr(type(docs), "repartition", seen)
+    found = sorted(substrings.remove_repeats(docs).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found] == repeats(texts)
+    assert max(dealt) < 2 * 50
+
+
 def test_repeats_of_nothing(spark):
     assert substrings.remove_repeats(no_documents(spark)).count() == 0
 
