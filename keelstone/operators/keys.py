@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,9 +13,9 @@ from keelstone.operators.joins import keyed_join, unique_or_fail
 
 UNKNOWN_TEXT = "Unknown"
 
-# Our choice: sampled rows per range of keys, and the most ranges.
+# Our choice: sampled rows per range of keys, and up to how many ranges a task gets several.
 SAMPLE_PER_RANGE = 32
-MOST_RANGES = 256
+SPREAD_RANGES = 256
 
 
 def max_key(frame: DataFrame, column: str) -> Column:
@@ -37,16 +37,17 @@ def number_rows(
     """
     order = list(order_by)
     after = F.lit(after).cast("bigint") if isinstance(after, int) else after
-    # Some ranges for every task, as their hashes do not spread evenly.
-    ranges = min(MOST_RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Some ranges for every task, as their hashes do not spread evenly; one at least.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(tasks, min(SPREAD_RANGES, 4 * tasks))
     borders = _borders(df, order, ranges)
     if not borders:
         # Fewer rows than the sample would hold.
         number = F.row_number().over(Window.orderBy(*order))
         return df.withColumn(name, (after + number).cast("bigint"))
-    placed = df.withColumn("_range", _range_of(F.struct(*order), borders))
+    placed = df.withColumn("_range", _range_of(df, order, borders))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    # One row per range: this window and broadcast are bounded by MOST_RANGES.
+    # One row per range: this window and broadcast are as small as the number of tasks.
     sizes = placed.select("_range").groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
@@ -55,7 +56,7 @@ def number_rows(
     return numbered.select(*df.columns, number.alias(name))
 
 
-def _borders(df: DataFrame, order: list[str], ranges: int) -> list[Column]:
+def _borders(df: DataFrame, order: list[str], ranges: int) -> list[Row]:
     """Keys that cut the rows into near equal ranges; none where all rows fit a sample."""
     sample = SAMPLE_PER_RANGE * ranges
     keys = df.select(*order)
@@ -63,20 +64,25 @@ def _borders(df: DataFrame, order: list[str], ranges: int) -> list[Column]:
     rows = keys.orderBy(F.xxhash64(*order)).limit(sample).orderBy(*order).collect()
     if len(rows) < sample:
         return []
-    types = {f.name: f.dataType for f in keys.schema.fields}
     cuts = [rows[i * sample // ranges] for i in range(1, ranges)]
-    distinct = [cut for i, cut in enumerate(cuts) if not i or cut != cuts[i - 1]]
-    return [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order]) for r in distinct]
+    return [cut for i, cut in enumerate(cuts) if not i or cut != cuts[i - 1]]
 
 
-def _range_of(key: Column, borders: Sequence[Column], first: int = 0) -> Column:
-    """How many borders lie at or below the key, by halving; NULLs come first, as in sorting."""
-    if not borders:
-        return F.lit(first)
-    middle = len(borders) // 2
-    below = _range_of(key, borders[:middle], first)
-    above = _range_of(key, borders[middle + 1 :], first + middle + 1)
-    return F.when(key < borders[middle], below).otherwise(above)
+def _range_of(df: DataFrame, order: list[str], borders: Sequence[Row]) -> Column:
+    """How many borders lie at or below the key, by halving; NULLs come first, as in sorting.
+
+    The borders are one constant array, so that the code run does not grow with them.
+    """
+    types = {f.name: f.dataType for f in df.select(*order).schema.fields}
+    array = F.array(*[F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order]) for r in borders])
+    steps = [1 << k for k in reversed(range(len(borders).bit_length()))]
+    key = F.struct(*order)
+
+    def further(at: Column, step: Column) -> Column:
+        to = at + step
+        return F.when((to <= len(borders)) & (F.get(array, to - 1) <= key), to).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
 
 
 def assign_surrogate_keys(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keelstone.operators import keys
 from keelstone.operators.keys import add_unknown_member, assign_surrogate_keys, number_rows
 from keelstone.sinks.tables import empty_frame
 from tests.util import rows
@@ -35,6 +36,26 @@ def test_numbering_uses_several_tasks(spark):
     assert len(used) > 4 and max(r["count"] for r in used) < 20000 / 2
 
 
+def test_ranges_follow_the_shuffle_partitions(spark, monkeypatch):
+    monkeypatch.setattr(keys, "SAMPLE_PER_RANGE", 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "700")
+    try:
+        df = spark.range(0, 20000, 1, 4).select(F.when(F.col("id") % 9 > 0, F.col("id") % 70).alias("a"), F.col("id").cast("decimal(20,0)").alias("b"))
+        borders = keys._borders(df, ["a", "b"], 700)
+        sizes = df.groupBy(keys._range_of(df, ["a", "b"], borders).alias("r")).count().collect()
+        numbered = number_rows(df, ["a", "b"], "n")
+        text = numbered._jdf.queryExecution().optimizedPlan().toString()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        expected = df.withColumn("n", F.row_number().over(Window.orderBy("a", "b")).cast("bigint"))
+        assert rows(numbered) == rows(expected)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["r"] for r in sizes} == set(range(len(borders) + 1))
+    assert len(sizes) > 600 and sum(r["count"] for r in sizes) == 20000
+    assert text.count("CASE WHEN") < 10  # not one for every border
+
+
 def test_numbering_writes_no_checkpoint(spark):
     folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
     before = set(folder.rglob("part-*"))
