@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelstone.session import scratch_path
 
 #: Text bytes that one step of numpy work takes at once; one longer text makes its own step.
-SLICE_BYTES = 4 << 20
+#: A step holds some fifty bytes for each, so this bounds what a worker needs.
+SLICE_BYTES = 1 << 20
+#: Text bytes after which a worker gives freed memory back to the machine.
+TIDY_BYTES = 8 << 20
 
 
 def texts_of(array: pa.Array) -> pa.LargeStringArray:
@@ -37,16 +42,31 @@ def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
     """The rows of the batches, in order, in slices of at most ``limit`` bytes of a column."""
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, ends = byte_view(texts_of(batch.column(column)))
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(ends, ends[at] + limit, "right")) - 1
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
+            done += int(ends[to] - ends[at])
             at = to
+            if done > TIDY_BYTES:
+                tidy()
+                done = 0
+
+
+def tidy() -> None:
+    """Give freed memory back: a worker serves many tasks, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

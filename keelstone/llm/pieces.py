@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from keelstone.llm.batches import byte_view, keyed, ragged, slices, texts_of
-from keelstone.llm.segments import SegmentTable, per_text
+from keelstone.llm.segments import LOOKUP_BYTES, SegmentTable, per_text
 
 MARK = "▁"
 LONG_SYMBOLS = 96
@@ -250,7 +250,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=LOOKUP_BYTES):
             ids, at = encode_texts(model_path, batch.column("text"))
             library = model(model_path)[0].library
             lists = [ids[a:b].tolist() for a, b in itertools.pairwise(at.tolist())]
@@ -279,7 +279,7 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agenda, _ = model(model_path)
         names = [str(i) for i in range(agenda.size)]
-        for batch in slices(batches):
+        for batch in slices(batches, limit=LOOKUP_BYTES):
             ids, at = encode_texts(model_path, batch.column("text"))
             coded, decoded = [], []
             for a, b in itertools.pairwise(at.tolist()):

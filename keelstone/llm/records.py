@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelstone.llm.batches import byte_view, keyed, parallelism, slices, texts_of
-from keelstone.llm.segments import SegmentTable, per_text
+from keelstone.llm.segments import LOOKUP_BYTES, SegmentTable, per_text
 from keelstone.llm.words import lower_ascii, word_bounds
 
 _HEAD = struct.Struct("<QI")
@@ -156,8 +157,8 @@ def write_records(
         coder = encoder(tokenizer_path)
         kind = np.dtype("<u2" if coder.id_bytes == 2 else "<u4")
         end = np.array([] if end_id is None else [end_id], kind)
-        offsets, tokens, at, out = [], 0, 0, None
-        for batch in slices(batches):
+        offsets, tokens, at, out = array("Q"), 0, 0, None
+        for batch in slices(batches, limit=LOOKUP_BYTES):
             out = out or store.open_output_stream(f"{own}.rec", compression=None, buffer_size=1 << 20)
             ids, ends = coder.encode(batch.column("text"))
             ids = ids.astype(kind)
@@ -173,14 +174,15 @@ def write_records(
             return
         out.close()
         with store.open_output_stream(f"{own}.idx", compression=None) as index:
-            index.write(np.array([*offsets, at], "<u8").tobytes())
+            offsets.append(at)
+            index.write(np.frombuffer(offsets, np.uint64).astype("<u8").tobytes())
         for kind_of in ("idx", "rec"):
             store.move(f"{own}.{kind_of}", f"{name}.{kind_of}")
         yield pa.RecordBatch.from_pydict(
             {
                 "shard": pa.array([shard], pa.int32()),
                 "path": [f"{folder}/part-{shard:06d}"],
-                "records": pa.array([len(offsets)], pa.int64()),
+                "records": pa.array([len(offsets) - 1], pa.int64()),
                 "tokens": pa.array([tokens], pa.int64()),
                 "bytes": pa.array([at], pa.int64()),
                 "id_bytes": pa.array([coder.id_bytes], pa.int32()),
@@ -266,22 +268,22 @@ def record_digests(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, path, id_bytes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, sizes, checks = [], [], []
+                rows, inside = [], 0
                 for _, key, ids in _records(path, id_bytes, None):
-                    keys.append(key)
-                    sizes.append(len(ids))
-                    checks.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                n = np.array(sizes, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([shard] * len(n), pa.int32()),
-                        pa.array(keys, pa.int64()),
-                        pa.array(np.cumsum(n) - n),
-                        pa.array(n),
-                        pa.array(checks, pa.int64()),
-                    ],
-                    names=["shard", "doc_id", "_inside", "n_tokens", "ids_crc32"],
-                )
+                    rows.append((shard, key, inside, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    inside += len(ids)
+                    if len(rows) >= 8192:
+                        yield digests(rows)
+                        rows = []
+                if rows:
+                    yield digests(rows)
+
+    def digests(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), *[pa.int64()] * 4)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+            names=["shard", "doc_id", "_inside", "n_tokens", "ids_crc32"],
+        )
 
     schema = "shard int, doc_id long, _inside long, n_tokens long, ids_crc32 long"
     found = _per_shard(manifest).mapInArrow(read, schema)

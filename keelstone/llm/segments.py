@@ -19,15 +19,19 @@ from keelstone.llm.batches import ragged
 Encoded = tuple[np.ndarray, np.ndarray]
 
 
+#: Text bytes whose segments are looked up together: a look-up costs a pass over the table.
+LOOKUP_BYTES = 3 << 20
+
+
 class SegmentTable:
     """Memory is bounded by ``limit`` segments, each of at most ``longest`` bytes."""
 
     def __init__(
-        self, encode: Callable[[pa.LargeStringArray], Encoded], limit: int = 400_000, longest: int = 64
+        self, encode: Callable[[pa.LargeStringArray], Encoded], limit: int = 1_000_000, longest: int = 64
     ) -> None:
         self.encode, self.limit, self.longest = encode, limit, longest
         self.known = pa.array([], pa.large_string())
-        self.flat, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.flat, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> Encoded:
         """Ids of the segments between consecutive ``bounds`` of UTF-8 ``data``."""
@@ -45,14 +49,14 @@ class SegmentTable:
         fresh = distinct.take(pa.array(missing))
         new_flat, new_counts = self.encode(fresh)
         flat = np.concatenate([self.flat, new_flat])
-        all_counts = np.concatenate([self.counts, new_counts])
-        all_starts = np.cumsum(all_counts) - all_counts
+        all_counts = np.concatenate([self.counts, new_counts.astype(np.int32)])
+        all_starts = np.cumsum(all_counts, dtype=np.int64) - all_counts
         place = hit.astype(np.int64)
         place[missing] = len(self.counts) + np.arange(len(missing))
         self._keep(fresh, new_flat, new_counts)
         used = place[coded.indices.to_numpy(zero_copy_only=False)]
         counts = all_counts[used]
-        return flat[ragged(all_starts[used], counts)], counts
+        return flat[ragged(all_starts[used], counts)], counts.astype(np.int64)
 
     def _keep(self, fresh: pa.LargeStringArray, flat: np.ndarray, counts: np.ndarray) -> None:
         room = self.limit - len(self.known)
@@ -62,7 +66,7 @@ class SegmentTable:
         short = short[:room]
         starts = np.cumsum(counts) - counts
         self.flat = np.concatenate([self.flat, flat[ragged(starts[short], counts[short])]])
-        self.counts = np.concatenate([self.counts, counts[short]])
+        self.counts = np.concatenate([self.counts, counts[short].astype(np.int32)])
         self.known = pa.concat_arrays([self.known, fresh.take(pa.array(short))])
 
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelstone.llm.batches import byte_view, keyed, parallelism, ragged, scratch_table, slices, texts_of
+from keelstone.llm.batches import SLICE_BYTES, byte_view, keyed, parallelism, ragged, scratch_table, slices, texts_of
 from keelstone.llm.words import mixed, rolling, span_hashes
 from keelstone.session import cut_lineage
 
@@ -34,10 +34,10 @@ GRAM = 32
 REACH = LENGTH - GRAM
 #: Snippets of one anchor that are one task's; more are compared in parts of this size.
 GROUP_SNIPPETS = 8192
-#: Places of one anchor that one task takes.
-HOT_PLACES = 500_000
+#: Snippets a task remembers, each in the slot of its hash, to tell later copies of them.
+REMEMBERED = 1 << 16
 #: Snippet bytes whose suffixes are ordered at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _NULL_ID = (1 << 63) - 1
 
 
@@ -134,8 +134,9 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, order: np.ndarray) ->
     windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
     kinds, of = np.unique(group[asked], return_inverse=True)
     examples = np.ascontiguousarray(windows[starts[example[kinds]]])
-    if (windows[starts[asked]] != examples[of]).any():
-        raise ValueError("two windows share a hash")
+    for at in range(0, len(asked), 1 << 16):
+        if (windows[starts[asked[at : at + (1 << 16)]]] != examples[of[at : at + (1 << 16)]]).any():
+            raise ValueError("two windows share a hash")
     rank = np.empty(len(kinds), np.int64)
     rank[np.argsort(examples.view(f"S{LENGTH}").reshape(-1))] = np.arange(len(kinds))
     classes = rank[of]
@@ -157,16 +158,16 @@ def _running(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[:-rest], values[rest:]) if rest else values
 
 
-def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in the row and hash of every anchor; byte prefix sums and row offsets.
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the row and hash of every anchor, and byte prefix sums.
 
-    Windows across two rows may add anchors; they take none away.
+    ``data`` holds the bytes of all rows, ``ends`` their ``n + 1`` offsets. Windows across
+    two rows may add anchors; they take none away.
     """
-    data, ends = byte_view(texts_of(texts))
     sums = rolling(data)
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, np.zeros(0, np.uint64), sums, ends
+        return none, none, np.zeros(0, np.uint64), sums
     at = np.arange(len(data) - GRAM + 1)
     hashes = span_hashes(sums, at, at + GRAM)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -179,97 +180,160 @@ def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     row = np.searchsorted(ends, chosen, "right") - 1
     fits = (chosen + GRAM <= ends[row + 1]) & (ends[row + 1] - ends[row] >= LENGTH)
     chosen, row = chosen[fits], row[fits]
-    return row, chosen - ends[row], hashes[chosen], sums, ends
+    return row, chosen - ends[row], hashes[chosen], sums
 
 
-PLACES = "anchor long, snippet long, doc_id long, place int"
+#: Columns of places: the anchor's hash, its snippet's, and where it is.
+Places = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("doc_id").to_numpy(zero_copy_only=False)
+def _snippets(data: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> Places:
+    """Anchors with a hash of their snippets; ends cut off by the text are part of it."""
+    row, place, hashes, sums = anchors(data, ends)
+    at = ends[row] + place
+    low, high = np.maximum(at - REACH, ends[row]), np.minimum(at + LENGTH, ends[row + 1])
+    shape = (at - low).astype(np.uint64) * np.uint64(LENGTH + 1) + (high - at).astype(np.uint64)
+    return hashes, mixed(span_hashes(sums, low, high) + mixed(shape + np.uint64(1))), ids[row], place
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors with a hash of their snippets; ends cut off by the text are part of it."""
-    for batch in slices(batches):
-        row, place, hashes, sums, ends = anchors(batch.column("text"))
-        at = ends[row] + place
-        low, high = np.maximum(at - REACH, ends[row]), np.minimum(at + LENGTH, ends[row + 1])
-        shape = (at - low).astype(np.uint64) * np.uint64(LENGTH + 1) + (high - at).astype(np.uint64)
-        snippet = mixed(span_hashes(sums, low, high) + mixed(shape + np.uint64(1)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(hashes.view(np.int64)),
-                pa.array(snippet.view(np.int64)),
-                pa.array(_ids(batch)[row]),
-                pa.array(place.astype(np.int32)),
-            ],
-            names=["anchor", "snippet", "doc_id", "place"],
-        )
+def _places_of(data: np.ndarray, ends: np.ndarray, ids: np.ndarray, step: int = SLICE_BYTES) -> Iterator[Places]:
+    """Places of some texts; a text far longer than ``step`` goes by in stretches.
+
+    A stretch sees what every window and snippet around its own bytes covers, so it finds
+    the anchors, and their snippets, that the whole text has.
+    """
+    if len(ids) > 1 or len(data) <= 2 * step:
+        yield _snippets(data, ends, ids)
+        return
+    margin = 2 * LENGTH
+    for low in range(0, len(data), step):
+        first, last = max(0, low - margin), min(len(data), low + step + margin)
+        hashes, snippet, doc_id, place = _snippets(data[first:last], np.array([0, last - first]), ids)
+        own = (place + first >= low) & (place + first < low + step)
+        yield hashes[own], snippet[own], doc_id[own], place[own] + first
+
+
+class _Seen:
+    """The first places of the snippets a task came across, as far as there are slots for them."""
+
+    def __init__(self) -> None:
+        self.anchor = np.zeros(REMEMBERED, np.uint64)
+        self.snippet = np.zeros(REMEMBERED, np.uint64)
+        self.doc_id = np.zeros(REMEMBERED, np.int64)
+        self.place = np.full(REMEMBERED, -1, np.int64)
+
+    def copies(self, anchor: np.ndarray, snippet: np.ndarray, doc_id: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which places have an equal snippet at an earlier one seen so far; none does so wrongly."""
+        slot = (mixed(anchor ^ snippet) % np.uint64(REMEMBERED)).astype(np.int64)
+        known = (self.place[slot] >= 0) & (self.anchor[slot] == anchor) & (self.snippet[slot] == snippet)
+        after = (self.doc_id[slot] < doc_id) | ((self.doc_id[slot] == doc_id) & (self.place[slot] < place))
+        out = known & after
+        new = np.flatnonzero(~out)
+        _, one = np.unique(slot[new], return_index=True)
+        new, at = new[one], slot[new[one]]
+        self.anchor[at], self.snippet[at], self.doc_id[at], self.place[at] = (c[new] for c in (anchor, snippet, doc_id, place))
+        return out
+
+
+PLACES = "anchor long, snippet long, doc_id long, place int"
 
 
-#: What a place of a repeated anchor is: a copy of an earlier snippet, the first of several
-#: different snippets, or the first of its snippet in one part of a hot anchor.
-COPY, DIFFERENT, PART = 0, 1, 2
-MATCHES = "kind int, anchor long, snippet long, doc_id long, place int"
-
-
-def _matched(columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Whole runs of anchors, in the order of their places."""
-    anchor, snippet, doc_id, place, salted = columns
-    # A row that repeats a place is no second place.
-    fresh = np.ones(len(anchor), bool)
-    fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc_id[1:] != doc_id[:-1]) | (place[1:] != place[:-1])
-    anchor, snippet, doc_id, place, salted = (c[fresh] for c in columns)
-    order = np.lexsort((snippet, anchor))
-    a, s = anchor[order], snippet[order]
-    run = np.r_[True, a[1:] != a[:-1]]
-    first = run.copy()
-    first[1:] |= s[1:] != s[:-1]
-    starts = np.flatnonzero(run)
-    several = np.repeat(np.add.reduceat(first.astype(np.int64), starts) > 1, np.diff(np.r_[starts, len(a)]))
-    kind = np.where(~first, COPY, np.where(salted[order], PART, DIFFERENT))
-    keep = (kind != DIFFERENT) | several
-    order, kind = order[keep], kind[keep]
+def _place_batch(columns: Places) -> pa.RecordBatch:
+    anchor, snippet, doc_id, place = columns
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(kind.astype(np.int32)),
-            pa.array(anchor[order]),
-            pa.array(snippet[order]),
-            pa.array(doc_id[order]),
-            pa.array(place[order]),
+            pa.array(anchor.view(np.int64)),
+            pa.array(snippet.view(np.int64)),
+            pa.array(doc_id),
+            pa.array(place.astype(np.int32)),
         ],
-        names=["kind", "anchor", "snippet", "doc_id", "place"],
+        names=["anchor", "snippet", "doc_id", "place"],
+    )
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of a task's anchors.
+
+    A place whose snippet the task has seen at an earlier one is a copy for sure. It does not
+    have to meet the others: its anchor is its own place's hash, and its place below zero. So
+    what is everywhere comes to its anchor's task about once for every task of this stage.
+    """
+    seen = _Seen()
+    for batch in slices(batches):
+        data, ends = byte_view(texts_of(batch.column("text")))
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for columns in _places_of(data, ends, ids):
+            order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+            anchor, snippet, doc_id, place = (c[order] for c in columns)
+            first = np.ones(len(anchor), bool)
+            first[1:] = (anchor[1:] != anchor[:-1]) | (snippet[1:] != snippet[:-1])
+            # A row that repeats a place is no second place.
+            again = np.zeros(len(anchor), bool)
+            again[1:] = ~first[1:] & (doc_id[1:] == doc_id[:-1]) & (place[1:] == place[:-1])
+            copy = ~first
+            lead = np.flatnonzero(first)
+            copy[lead] = seen.copies(anchor[lead], snippet[lead], doc_id[lead], place[lead])
+            own = mixed(mixed(doc_id.view(np.uint64)) + place.astype(np.uint64))
+            anchor = np.where(copy, own, anchor)
+            place = np.where(copy, -1 - place, place)
+            yield _place_batch(tuple(c[~again] for c in (anchor, snippet, doc_id, place)))
+
+
+#: What a place of a repeated anchor is: a copy of an earlier snippet, or the first of
+#: several different snippets.
+COPY, DIFFERENT = 0, 1
+MATCHES = "kind int, anchor long, doc_id long, place int"
+
+
+def _match_batch(kind: int, anchor: np.ndarray, doc_id: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(anchor), kind, np.int32)), pa.array(anchor), pa.array(doc_id), pa.array(place)],
+        names=["kind", "anchor", "doc_id", "place"],
     )
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of anchors as they come by; the run at the end of a batch waits for the next."""
-    held: list[np.ndarray] | None = None
-    last: tuple | None = None
+    """What the places are, as they come by in the order of anchor, snippet, id and place.
+
+    Only the last place and the last first of a snippet wait for the next batch, however
+    many places an anchor has.
+    """
+    names = ("anchor", "snippet", "doc_id", "place")
+    last: list[np.ndarray] | None = None  # the last place, one row
+    waiting: list[np.ndarray] | None = None  # the last first of a snippet, one row
+    several = False  # whether an earlier snippet has its anchor
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = ("anchor", "snippet", "doc_id", "place", "salted")
         columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        salts = batch.column("salt").to_numpy(zero_copy_only=False)
-        if held is not None and (columns[0][0], salts[0]) != last:
-            yield _matched(held)
-            held = None
-        if held is not None:
-            columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
-            salts = np.concatenate([np.full(len(held[0]), last[1], salts.dtype), salts])
-        last = (columns[0][-1], salts[-1])
-        ends = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (salts[1:] != salts[:-1]))
-        cut = int(ends[-1]) + 1 if len(ends) else 0
-        # Parts of one anchor must not be taken as one run.
-        bounds = [0, *(np.flatnonzero((salts[1:cut] != salts[: max(cut - 1, 0)])) + 1).tolist(), cut]
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            if high > low:
-                yield _matched([c[low:high] for c in columns])
-        held = [c[cut:] for c in columns]
-    if held is not None and len(held[0]):
-        yield _matched(held)
+        sure = columns[3] < 0
+        if sure.any():
+            anchor, _, doc_id, place = (c[sure] for c in columns)
+            yield _match_batch(COPY, anchor, doc_id, -1 - place)
+            columns = [c[~sure] for c in columns]
+        if not len(columns[0]):
+            continue
+        joined = columns if last is None else [np.concatenate(c) for c in zip(last, columns, strict=True)]
+        anchor, snippet, doc_id, place = joined
+        first = np.ones(len(anchor), bool)
+        first[1:] = (anchor[1:] != anchor[:-1]) | (snippet[1:] != snippet[:-1])
+        copy = ~first
+        copy[1:] &= (doc_id[1:] != doc_id[:-1]) | (place[1:] != place[:-1])
+        if last is not None:
+            first[0] = False
+            copy[0] = False
+        last = [c[-1:] for c in joined]
+        yield _match_batch(COPY, anchor[copy], doc_id[copy], place[copy])
+        firsts = [c[first] for c in (anchor, doc_id, place)]
+        if waiting is not None:
+            firsts = [np.concatenate(c) for c in zip(waiting, firsts, strict=True)]
+        if not len(firsts[0]):
+            continue
+        same = firsts[0][1:] == firsts[0][:-1]
+        shared = np.r_[several, same] | np.r_[same, False]
+        yield _match_batch(DIFFERENT, *(c[:-1][shared[:-1]] for c in firsts))
+        several = bool(shared[-1])
+        waiting = [c[-1:] for c in firsts]
+    if waiting is not None and several:
+        yield _match_batch(DIFFERENT, *waiting)
 
 
 PACKED = "doc_id long, packed binary"
@@ -283,13 +347,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """The id, the bytes of the text and further columns of every row."""
+def _unpacked(batches: Iterator[pa.RecordBatch], *lists: str) -> Iterator[tuple]:
+    """The id, the bytes of the text and the numbers of further list columns of every row."""
     work = zstandard.ZstdDecompressor()
-    for batch in batches:
-        lists = [batch.column(c).to_pylist() for c in ("doc_id", "packed", *columns)]
-        for doc_id, packed, *more in zip(*lists, strict=True):
-            yield doc_id, work.decompress(packed) if packed else b"", *more
+    for batch in slices(batches, "packed"):
+        ids, packed = (batch.column(c).to_pylist() for c in ("doc_id", "packed"))
+        more = [batch.column(c) for c in lists]
+        for k, doc_id in enumerate(ids):
+            own = [_numbers(c[k]) for c in more]
+            yield doc_id, work.decompress(packed[k]) if packed[k] else b"", *own
+
+
+def _numbers(item: pa.ListScalar) -> np.ndarray:
+    return item.values.to_numpy(zero_copy_only=False) if item.is_valid else np.zeros(0, np.int64)
 
 
 CONTENT = "anchor long, doc_id long, place int, low int, content binary"
@@ -297,24 +367,21 @@ CONTENT = "anchor long, doc_id long, place int, low int, content binary"
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of snippets at given places, with the anchors they were asked for."""
-    out: list[tuple] = []
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    names = ["anchor", "doc_id", "place", "low", "content"]
-
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names
-        )
-
-    for doc_id, data, asked in _unpacked(batches, "asked"):
-        for x in asked:
-            low = max(0, x["place"] - REACH)
-            out.append((x["anchor"], doc_id, x["place"], low, data[low : x["place"] + LENGTH]))
-        if len(out) >= 20_000:
-            yield rows()
-            out = []
-    if out:
-        yield rows()
+    for doc_id, data, anchor, place in _unpacked(batches, "anchors", "places"):
+        for at in range(0, len(place), 4096):
+            spots = place[at : at + 4096]
+            low = np.maximum(spots - REACH, 0)
+            content = [data[a : b + LENGTH] for a, b in zip(low.tolist(), spots.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(anchor[at : at + 4096]),
+                    pa.array(np.full(len(spots), doc_id, np.int64)),
+                    pa.array(spots),
+                    pa.array(low.astype(np.int32)),
+                    pa.array(content, pa.binary()),
+                ],
+                names=["anchor", "doc_id", "place", "low", "content"],
+            )
 
 
 # Comparison --------------------------------------------------------------------------------
@@ -453,39 +520,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for doc_id, text, lows, highs in _unpacked(batches, "lows", "highs"):
         data = np.frombuffer(text, np.uint8)
         change = np.zeros(len(data) + 1, np.int64)
-        np.add.at(change, np.array(lows or [], np.int64), 1)
-        np.add.at(change, np.minimum(np.array(highs or [], np.int64), len(data)), -1)
+        np.add.at(change, lows.astype(np.int64), 1)
+        np.add.at(change, np.minimum(highs.astype(np.int64), len(data)), -1)
         gone = np.cumsum(change[:-1]) > 0
         runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         kept = data[~gone].tobytes()
         out.append((doc_id, len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
         held += len(kept)
-        if held > 4 << 20:
+        if held > 1 << 20:
             yield rows()
             out, held = [], 0
     if out:
         yield rows()
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often every anchor of a slice occurs there."""
-    for batch in slices(batches):
-        hashes, counts = np.unique(anchors(batch.column("text"))[2], return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["anchor", "n"]
-        )
-
-
-def _hot_anchors(plain: DataFrame) -> DataFrame:
-    """Anchors that a task should not take alone, and their salts, counted in all documents.
-
-    At most one for every ``HOT_PLACES`` places.
-    """
-    counts = plain.select("text").mapInArrow(_counts, "anchor long, n long")
-    counts = counts.groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_PLACES)
-    return counts.select("anchor", F.ceil(F.col("n") / HOT_PLACES).cast("int").alias("salts"))
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row.
 
@@ -498,34 +546,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows that repeat an id are the same text and get the same result, a null id counts as
     the largest. An empty table gives no rows; extra columns are ignored.
 
-    Places are shuffled once and come by in the order of anchor, id and place; a hot anchor
-    is dealt in parts, whose first snippets meet in a grouping. Texts are shuffled twice,
-    packed: for the snippets to compare, and for the result.
+    Places are shuffled once and go by in order, none being held; sure copies stay away from
+    their anchor's task. Texts are shuffled twice, packed: for the snippets to compare, and
+    for the result. A text far longer than a slice is anchored in stretches.
     """
     tasks = parallelism(docs.sparkSession)
     plain = keyed(docs, "doc_id", "text").select(
         F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
     places = plain.mapInArrow(_places, PLACES)
-    hot = F.broadcast(cut_lineage(_hot_anchors(plain)))
-    salt = F.pmod(F.xxhash64("doc_id", "place"), F.col("salts")).cast("int")
-    dealt = places.join(hot, "anchor", "left").select(
-        *places.columns, F.coalesce(salt, F.lit(0)).alias("salt"), F.col("salts").isNotNull().alias("salted")
-    )
-    ordered = dealt.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "place")
+    ordered = places.repartition(tasks, "anchor").sortWithinPartitions("anchor", "snippet", "doc_id", "place")
     matches = scratch_table(ordered.mapInArrow(_matches, MATCHES), "matches")
-    # Hot anchors: the first of each snippet among the parts' firsts.
-    parts = matches.filter(F.col("kind") == PART)
-    earliest = parts.groupBy("anchor", "snippet").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    several = earliest.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    later = parts.join(earliest, ["anchor", "snippet"]).filter(F.struct("doc_id", "place") != F.col("first"))
-    copies = matches.filter(F.col("kind") == COPY).select("doc_id", "place").unionByName(later.select("doc_id", "place"))
+    copies = matches.filter(F.col("kind") == COPY).select("doc_id", "place")
     different = matches.filter(F.col("kind") == DIFFERENT).select("anchor", "doc_id", "place")
-    different = different.unionByName(
-        earliest.join(several, "anchor").select("anchor", "first.doc_id", "first.place")
-    )
     sizes = cut_lineage(different.groupBy("anchor").agg(F.count("*").alias("n")))
     asked = different.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
+    asked = asked.select("doc_id", F.col("asked.anchor").alias("anchors"), F.col("asked.place").alias("places"))
     packed = plain.mapInArrow(_pack, PACKED)
     content = packed.join(asked, "doc_id").mapInArrow(_contents, CONTENT)
     found = scratch_table(_differing(content, sizes, tasks), "spans")

@@ -14,18 +14,20 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Multiplier of the word hashes and its inverse modulo 2**64.
 _BASE = 0xD1342543DE82EF95
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Bytes whose powers are tabled; those of later places are a block's times one within it.
+_BLOCK = 1 << 16
 
 
-def powers(base: int, count: int) -> np.ndarray:
-    """``base ** 0 .. base ** (count - 1)`` modulo 2**64; the longest table is kept."""
-    table = _powers.get(base)
-    if table is None or len(table) < count:
-        size = 1 << max(10, int(count).bit_length())
-        table = np.full(size, np.uint64(base))
-        table[0] = 1
-        _powers[base] = np.cumprod(table)
-    return _powers[base][:count]
+def _table(base: int, count: int) -> np.ndarray:
+    """``base ** 0 .. base ** (count - 1)`` modulo 2**64."""
+    table = np.full(max(count, 1), np.uint64(base))
+    table[0] = 1
+    return np.cumprod(table)[:count]
+
+
+_within, _within_inverse = _table(_BASE, _BLOCK), _table(_BASE_INVERSE, _BLOCK)
+_NEXT_BLOCK = pow(_BASE, _BLOCK, 1 << 64)
+_NEXT_BLOCK_INVERSE = pow(_BASE_INVERSE, _BLOCK, 1 << 64)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -41,16 +43,30 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 def rolling(data: np.ndarray) -> np.ndarray:
     """Prefix sums ``S`` of byte hashes: ``(S[j] - S[i]) * base**-i`` is the hash of ``i..j``."""
-    codes = mixed(np.arange(1, 257, dtype=np.uint64))[data]
-    codes *= powers(_BASE, len(data))
+    byte = mixed(np.arange(1, 257, dtype=np.uint64))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes, out=sums[1:])
+    steps = _table(_NEXT_BLOCK, len(data) // _BLOCK + 1)
+    for step, at in zip(steps, range(0, len(data), _BLOCK), strict=False):
+        codes = byte[data[at : at + _BLOCK]]
+        codes *= _within[: len(codes)]
+        codes *= step
+        block = sums[at + 1 : at + 1 + len(codes)]
+        np.cumsum(codes, out=block)
+        block += sums[at]
     return sums
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of every byte span, independent of where it stands."""
-    return mixed((sums[ends] - sums[starts]) * powers(_BASE_INVERSE, len(sums))[starts])
+    blocks = _table(_NEXT_BLOCK_INVERSE, len(sums) // _BLOCK + 1)
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), _BLOCK):
+        low, high = starts[at : at + _BLOCK], ends[at : at + _BLOCK]
+        value = sums[high] - sums[low]
+        value *= _within_inverse[low & (_BLOCK - 1)]
+        value *= blocks[low >> 16]
+        out[at : at + _BLOCK] = mixed(value)
+    return out
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -118,28 +118,54 @@ def test_repeats_equal_brute_force(spark, monkeypatch, group):
     assert [r.kept_sha256 for r in found] == [hashlib.sha256(w[3]).hexdigest() for w in wanted]
 
 
-def test_hot_anchors_are_dealt_by_place(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_PLACES", 50)
+def test_copies_stay_away_from_the_task_of_their_anchor(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "REMEMBERED", 1 << 12)
     passage = prose(98, 40)
     # One long run of a byte has one anchor; a passage is in many texts.
     texts = [*edge_texts(), "x" * 3000, *(prose(k, 15) + passage + prose(k + 70, 15) for k in range(60))]
-    docs = documents(spark, texts)
+    docs = documents(spark, texts).repartition(2)
     places = docs.selectExpr("doc_id", "coalesce(text, '') AS text").mapInArrow(substrings._places, substrings.PLACES)
-    counted = {r.anchor: r["count"] for r in places.groupBy("anchor").count().collect()}
-    hot = {r.anchor: r.salts for r in substrings._hot_anchors(docs.select("doc_id", "text")).collect()}
-    assert hot == {a: -(-n // 50) for a, n in counted.items() if n > 50}
-    assert max(hot.values()) > 50 and len(hot) > 2
-    dealt = []
-
-    def seen(self, parts, *columns, real=type(docs).repartition):
-        if columns == ("anchor", "salt"):
-            dealt.extend(r["count"] for r in self.groupBy("anchor", "salt").count().collect())
-        return real(self, parts, *columns)
-
-    monkeypatch.setattr(type(docs), "repartition", seen)
+    counted = [r["count"] for r in places.groupBy("anchor").count().collect()]
+    copies = places.filter("place < 0").count()
+    assert copies > 3000
+    # An anchor meets its own snippets only: as many as there are, once for each task.
+    assert max(counted) < 400
     found = sorted(substrings.remove_repeats(docs).collect(), key=lambda r: r.doc_id)
     assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found] == repeats(texts)
-    assert max(dealt) < 2 * 50
+
+
+def test_matches_do_not_depend_on_the_batches():
+    rng = np.random.default_rng(7)
+    rows = {(int(a), int(s), int(d), int(p)) for a, s, d, p in rng.integers(0, [6, 3, 5, 40], (300, 4))}
+    # A place has one anchor and one snippet.
+    place = {(d, p): (a, s, d, p) for a, s, d, p in rows}
+    rows = sorted(place.values()) + sorted(place.values())[:1]
+    rows = sorted([*rows, *[(9, 9, 9, -1 - k) for k in range(4)]])
+    firsts, wanted = {}, set()
+    for a, s, d, p in rows:
+        if p < 0:
+            wanted.add((0, a, d, -1 - p))
+        elif firsts.setdefault((a, s), (d, p)) != (d, p):
+            wanted.add((0, a, d, p))
+    for (a, s), (d, p) in firsts.items():
+        if sum(b == a for b, _ in firsts) > 1:
+            wanted.add((1, a, d, p))
+    for size in (1, 2, 7, 1000):
+        columns = [np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int64,) * 3 + (np.int32,), strict=True)]
+        batches = [
+            substrings.pa.RecordBatch.from_arrays([substrings.pa.array(c[k : k + size]) for c in columns], names=["anchor", "snippet", "doc_id", "place"])
+            for k in range(0, len(rows), size)
+        ]
+        found = [tuple(r.values()) for b in substrings._matches(iter(batches)) for r in b.to_pylist()]
+        assert sorted(found) == sorted(wanted)
+
+
+def test_long_texts_are_anchored_in_stretches():
+    data = np.frombuffer((prose(5, 3000) * 2 + "y" * 500).encode(), np.uint8)
+    ends, ids = np.array([0, len(data)]), np.array([3])
+    whole = substrings._snippets(data, ends, ids)
+    parts = [np.concatenate(c) for c in zip(*substrings._places_of(data, ends, ids, 1000), strict=True)]
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
 def test_repeats_of_nothing(spark):
