@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelstone.llm import captures, contamination, fingerprints, neardup, pieces, privacy, records, revisits, sharding, substrings, toxicity
+from keelstone.llm import (
+    captures,
+    codes,
+    contamination,
+    fingerprints,
+    forced,
+    middles,
+    neardup,
+    pieces,
+    privacy,
+    records,
+    revisits,
+    sharding,
+    substrings,
+    toxicity,
+)
 from keelstone.session import scratch_path
 
 
@@ -82,6 +97,21 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, cut between lines, as digests."""
+    return middles.middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return forced.word_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_repeated_substrings": op2_repeated_substrings,
@@ -93,5 +123,12 @@ QUERIES = {
     "op8_byte_shards": op8_byte_shards,
     "op9_fingerprints": op9_fingerprints,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_forced_bpe": op13_forced_bpe,
+}
+ORACLES = {
+    "op4_revisits": captures.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
+    "op12_fill_in_middle": middles.ORACLE,
 }
-ORACLES = {"op4_revisits": captures.ORACLE}
