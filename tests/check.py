@@ -14,14 +14,11 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
-
-
 def duck(sf_dir: str):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
-    for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    for table in sorted(Path(sf_dir).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {table.stem} AS SELECT * FROM read_parquet('{table}')")
     return con
 
 
