@@ -2,7 +2,7 @@
 
 A segment is a stretch of text that a tokenizer encodes independently of its neighbours.
 Natural text repeats its segments, so each distinct one of a slice is encoded once, and the
-first ``limit`` of a worker are kept for later slices.
+first ``limit`` of a worker are kept for later slices: some 30 MB, whatever the texts are.
 """
 
 from __future__ import annotations
