@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keelstone.operators import audit as A
 from keelstone.operators.dedupe import aggregate
 from keelstone.operators.lookup import lookup, lookup_rejects
+from keelstone.operators.scd import ScdSpec
 from keelstone.plans import load as L
 from keelstone.plans import medallion as M
 from keelstone.plans.catalog.base import AS_OF, query, table
@@ -204,6 +205,60 @@ def load_null_keys(spark, sf):
     return spark.createDataFrame(counts, "way string, run int, n_rows bigint, n_aside bigint")
 
 
+# Texts that are, or look like, something else as a folder name.
+AWKWARD = """CASE productid % 8 WHEN 0 THEN '' WHEN 1 THEN '%' WHEN 2 THEN 'a/b' WHEN 3 THEN '01'
+    WHEN 4 THEN '__HIVE_DEFAULT_PARTITION__' WHEN 5 THEN '~' WHEN 6 THEN ' =x ' ELSE 'plain' END"""
+FOLDERED = f"SELECT productid AS id, {AWKWARD} AS part, unitprice, productid % 3 AS day FROM src_part"
+
+
+@query(
+    "partition_key_values",
+    """SELECT 'incremental' AS way, id, part, CASE WHEN day > 0 THEN unitprice + 1 ELSE unitprice END AS amount, TRUE AS flag
+       FROM foldered
+       UNION ALL SELECT 'history', id, part, unitprice, day <> 1 FROM foldered
+       UNION ALL SELECT 'history', id, part, unitprice + 1, TRUE FROM foldered WHERE day = 1
+       UNION ALL SELECT 'layers', id, part, CASE WHEN day > 0 THEN unitprice + 1 ELSE unitprice END, TRUE FROM foldered""",
+    "src_part",
+    foldered=FOLDERED,
+)
+def partition_key_values(spark, sf):
+    """Every text is a partition of its own, in two increments, a history and a layered run."""
+    rows = spark.sql(FOLDERED.replace("src_part", "{src_part}"), src_part=table(spark, sf, "src_part"))
+    amount = (F.col("unitprice") + F.col("run")).cast("decimal(19,4)").alias("unitprice")
+    # The second delivery has other days, most of them again.
+    first = rows.withColumn("run", F.lit(0)).filter("day < 2").select("id", "part", amount)
+    second = rows.withColumn("run", F.lit(1)).filter("day > 0").select("id", "part", amount)
+    schema, by = "id bigint, unitprice decimal(19,4), part string", ["part"]
+
+    path = scratch_path(spark, "awkward")
+    options = L.LoadOptions(L.INCREMENTAL, ("id", "part"))
+    L.load_partitioned(first, path, schema, options, by)
+    merged = L.load_partitioned(second, path, schema, options, by)
+
+    path = scratch_path(spark, "awkward-history")
+    spec = ScdSpec("sk", ("id", "part"), historical=("unitprice",))
+    options = L.LoadOptions(L.SCD_2, spec.keys, scd=spec)
+    held = "sk bigint, id bigint, unitprice decimal(19,4), flag boolean, part string"
+    whole = rows.select("id", "part", "unitprice")
+    L.load_partitioned(whole, path, held, options, by)
+    history = L.load_partitioned(second.join(rows.filter("day = 1").select("id", "part"), ["id", "part"]), path, held, options, by)
+
+    root = scratch_path(spark, "awkward-layers")
+    for day, delivered in (("01", first), ("02", second)):
+        sales = delivered.withColumn("qty", F.lit(1).cast("smallint"))
+        fact = M.FactTable("sales", ("id", "part"), partition_by=("part",))
+        gold = M.run_layers(spark, {"sales": sales}, [], [fact], root, "erp", f"2024-02-{day} 00:00:00")
+
+    def shown(df, way, flag=F.lit(True)):
+        return df.select(F.lit(way).alias("way"), "id", "part", F.col("unitprice").alias("amount"), flag.alias("flag"))
+
+    return (
+        shown(merged, "incremental")
+        .unionByName(shown(history, "history", F.col("flag")))
+        .unionByName(shown(gold["sales"], "layers"))
+    )
+
+
 MARKED = "SELECT productid AS id, CASE WHEN productid % 5 = 4 THEN NULL ELSE productid - 3 END AS mark FROM src_part"
 
 

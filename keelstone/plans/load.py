@@ -18,7 +18,7 @@ from keelstone.operators.scd import ScdSpec, scd_load
 from keelstone.session import cut_lineage
 from keelstone.sinks.partitions import (
     merge_partitions,
-    read_evolving,
+    read_known,
     replace_partitions,
     touched_partitions,
     write_partitioned,
@@ -86,10 +86,16 @@ def placed_rows(rows: DataFrame, options: LoadOptions) -> DataFrame:
     if options.strategy == INCREMENTAL and options.watermark:
         reason = reason.when(F.col(options.watermark).isNull(), "NULL watermark")
     if options.quarantine is None:
-        found = rows.select(reason.alias(REASON)).filter(F.col(REASON).isNotNull()).limit(1).collect()
-        if found:
-            raise ValueError(f"{found[0][0]} in a source row, and no quarantine folder")
-        return rows
+        # In the values themselves, so that the source is read once: a filter on the mark
+        # has to look at every row, and every row that is written has its key.
+        error = F.raise_error(F.concat(reason, F.lit(" in a source row, and no quarantine folder")))
+        types = {f.name: f.dataType for f in rows.schema.fields}
+        checked = [*options.business_keys]
+        if options.strategy == INCREMENTAL and options.watermark and options.watermark not in checked:
+            checked.append(options.watermark)
+        return rows.withColumns(
+            {c: F.when(reason.isNotNull(), error.cast(types[c])).otherwise(F.col(c)) for c in checked}
+        )
     aside = rows.withColumn(REASON, reason).filter(F.col(REASON).isNotNull())
     aside.write.mode("append").parquet(options.quarantine)
     return rows.filter(reason.isNull())
@@ -173,7 +179,8 @@ def load_partitioned(
         replace_partitions(_one_per_key(rows, options), path, partition_by)
     elif options.strategy == INCREMENTAL:
         if options.watermark and written:
-            rows = incremental_extract(rows, read_evolving(spark, path, schema), options.watermark)
+            stored = read_known(spark, path, schema, partition_by)
+            rows = incremental_extract(rows, stored, options.watermark)
         rows = _one_per_key(rows, options)
         if written:
             merge_partitions(
@@ -187,7 +194,7 @@ def load_partitioned(
         if not set(partition_by) <= set(options.scd.keys):
             raise ValueError("partition columns must be part of the business key")
         rows = cut_lineage(_one_per_key(rows, options))
-        whole_dim = read_evolving(spark, path, schema) if written else empty_frame(spark, schema)
+        whole_dim = read_known(spark, path, schema, partition_by) if written else empty_frame(spark, schema)
         touched = touched_partitions(rows, partition_by)
         if touched is not None:
             part = whole_dim.filter(touched).select(*schema.names)
@@ -197,7 +204,7 @@ def load_partitioned(
             write_partitioned(whole_dim, path, partition_by)
     else:
         raise ValueError(f"unknown strategy: {options.strategy}")
-    return read_evolving(spark, path, schema)
+    return read_known(spark, path, schema, partition_by)
 
 
 def execute_task(spark: SparkSession, context: dict) -> DataFrame:

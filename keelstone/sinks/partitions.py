@@ -1,4 +1,8 @@
-"""Partitioned, appending and partition-replacing writes."""
+"""Partitioned, appending and partition-replacing writes.
+
+Text values name their folders as :mod:`keelstone.sinks.folders` says; read such a table with
+:func:`read_partitioned` or :func:`read_known`.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import types as T
 
 from keelstone.operators.columns import enforce_schema
 from keelstone.operators.merge import merge
+from keelstone.sinks.folders import from_folders, to_folders
 from keelstone.types import as_schema
 
 
@@ -28,7 +33,8 @@ def write_partitioned(
     file, and splits a value that is larger than the advisory partition size over
     several tasks.
     """
-    df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    rows = to_folders(df, partition_by).hint("rebalance", *partition_by)
+    rows.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
@@ -37,7 +43,8 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     Files are staged and moved in when the job commits, so ``df`` may read ``path``.
     """
     (
-        df.hint("rebalance", *partition_by)
+        to_folders(df, partition_by)
+        .hint("rebalance", *partition_by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
@@ -80,7 +87,14 @@ def read_partitioned(path: str, like: DataFrame, partition_by: Sequence[str]) ->
     fields = [
         T.StructField(f.name, types[f.name] if f.name in partition_by else f.dataType) for f in stored
     ]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    return read_known(spark, path, T.StructType(fields), partition_by)
+
+
+def read_known(
+    spark: SparkSession, path: str, schema: T.StructType | str, partition_by: Sequence[str]
+) -> DataFrame:
+    """A partitioned folder whose columns are known, without a look at its files."""
+    return from_folders(spark.read.schema(as_schema(schema)).parquet(path), partition_by)
 
 
 def merge_partitions(
@@ -103,17 +117,23 @@ def merge_partitions(
 
 def append_evolving(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Append; columns may be missing or new compared with earlier appends."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    to_folders(df, partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def read_evolving(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_evolving(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    partition_by: Sequence[str] = (),
+) -> DataFrame:
     """All appends under one schema, absent columns being NULL.
 
-    Naming the schema saves reading every file footer.
+    Naming the schema saves reading every file footer; naming the columns of the folders
+    brings back empty texts, which Spark would take for NULL.
     """
     if schema is not None:
-        return spark.read.schema(as_schema(schema)).parquet(path)
-    return spark.read.option("mergeSchema", "true").parquet(path)
+        return read_known(spark, path, schema, partition_by)
+    return from_folders(spark.read.option("mergeSchema", "true").parquet(path), partition_by)
 
 
 def append_fixed(df: DataFrame, path: str, schema: T.StructType | str) -> None:

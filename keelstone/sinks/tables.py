@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelstone.session import scratch_path
+from keelstone.sinks.folders import from_folders, to_folders
 from keelstone.types import as_schema
 
 KEEP_VERSIONS = 2
@@ -68,12 +69,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return bool(versions(spark, path))
 
 
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """The latest committed version."""
+def read_current(spark: SparkSession, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """The latest committed version; ``partition_by`` as it was committed."""
     committed = versions(spark, path)
     if not committed:
         raise FileNotFoundError(f"no committed version under {path}")
-    return spark.read.parquet(version_path(path, committed[-1]))
+    return from_folders(spark.read.parquet(version_path(path, committed[-1])), partition_by)
 
 
 def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
@@ -113,7 +114,7 @@ def commit(
     # Folders of failed writes keep their number: the next one is above all of them.
     claimed = [_number(folder) for folder in _found(spark, f"{path}/{_VERSION}*")]
     version = max(claimed, default=0) + 1
-    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    rows = to_folders(df, partition_by).hint("rebalance", *partition_by) if partition_by else df
     rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(version_path(path, version))
     markers = {_number(m.getParent()): m for m in _found(spark, f"{path}/{_VERSION}*/_SUCCESS")}
     known = sorted(markers)
@@ -124,7 +125,7 @@ def commit(
             _delete_version(spark, path, old)
     # The schema is known: a state without rows has no file to take it from.
     fields = [f for f in df.schema.fields if f.name not in partition_by] + [df.schema[c] for c in partition_by]
-    return spark.read.schema(T.StructType(fields)).parquet(version_path(path, version))
+    return from_folders(spark.read.schema(T.StructType(fields)).parquet(version_path(path, version)), partition_by)
 
 
 def roll_back(spark: SparkSession, path: str) -> DataFrame:
