@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelstone.operators.columns import UNKNOWN_KEY, any_null
 from keelstone.operators.joins import keyed_join, unique_or_fail
+from keelstone.session import scratch_table
 
 UNKNOWN_TEXT = "Unknown"
 
-# Our choice: sampled rows per range of keys, and up to how many ranges a task gets several.
-SAMPLE_PER_RANGE = 32
-SPREAD_RANGES = 256
+# Our choice: rows of new members that one task numbers; their count is measured.
+ONE_TASK_ROWS = 200_000
+_AT, _RANGE = "_at", "_range"
 
 
 def max_key(frame: DataFrame, column: str) -> Column:
@@ -24,65 +25,29 @@ def max_key(frame: DataFrame, column: str) -> Column:
     return frame.agg(largest.alias("max_key")).scalar()
 
 
-def number_rows(
-    df: DataFrame, order_by: Sequence[str], name: str, after: Column | int = 0
-) -> DataFrame:
+def number_rows(df: DataFrame, order_by: Sequence[str], name: str, after: Column | int = 0) -> DataFrame:
     """Add ``name`` = after + 1, after + 2, ... in the order of ``order_by``.
 
     Same numbers as ``row_number()`` over an unpartitioned window, without its single task.
-    Borders over whole keys, taken from a bounded sample, cut the rows into ranges; a row's
-    range is an expression of its keys, so a recomputed task finds the same one. Rows are
-    counted per range, numbered within it, and shifted by the ranges before. ``order_by``
-    should be unique; equal rows get neighbouring numbers in no particular order.
+    The rows are shuffled into key ranges, sorted, and written once with their places; what
+    precedes is not evaluated again. The ranges are counted on the places alone, a narrow
+    column of the written files, and a place is shifted by the ranges before its own. The
+    plan does not grow with the number of ranges. ``order_by`` should be unique; equal rows
+    get neighbouring numbers in no particular order.
     """
     order = list(order_by)
     after = F.lit(after).cast("bigint") if isinstance(after, int) else after
-    # Some ranges for every task, as their hashes do not spread evenly; one at least.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(tasks, min(SPREAD_RANGES, 4 * tasks))
-    borders = _borders(df, order, ranges)
-    if not borders:
-        # Fewer rows than the sample would hold.
-        number = F.row_number().over(Window.orderBy(*order))
-        return df.withColumn(name, (after + number).cast("bigint"))
-    placed = df.withColumn("_range", _range_of(df, order, borders))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    # One row per range: this window and broadcast are as small as the number of tasks.
-    sizes = placed.select("_range").groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    numbered = placed.withColumn("_inside", inside).join(F.broadcast(offsets), "_range")
-    number = (after + F.col("_offset") + F.col("_inside")).cast("bigint")
-    return numbered.select(*df.columns, number.alias(name))
-
-
-def _borders(df: DataFrame, order: list[str], ranges: int) -> list[Row]:
-    """Keys that cut the rows into near equal ranges; none where all rows fit a sample."""
-    sample = SAMPLE_PER_RANGE * ranges
-    keys = df.select(*order)
-    # The smallest hashes are a fair sample of the keys; the sample is bounded.
-    rows = keys.orderBy(F.xxhash64(*order)).limit(sample).orderBy(*order).collect()
-    if len(rows) < sample:
-        return []
-    cuts = [rows[i * sample // ranges] for i in range(1, ranges)]
-    return [cut for i, cut in enumerate(cuts) if not i or cut != cuts[i - 1]]
-
-
-def _range_of(df: DataFrame, order: list[str], borders: Sequence[Row]) -> Column:
-    """How many borders lie at or below the key, by halving; NULLs come first, as in sorting.
-
-    The borders are one constant array, so that the code run does not grow with them.
-    """
-    types = {f.name: f.dataType for f in df.select(*order).schema.fields}
-    array = F.array(*[F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order]) for r in borders])
-    steps = [1 << k for k in reversed(range(len(borders).bit_length()))]
-    key = F.struct(*order)
-
-    def further(at: Column, step: Column) -> Column:
-        to = at + step
-        return F.when((to <= len(borders)) & (F.get(array, to - 1) <= key), to).otherwise(at)
-
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    # A place is the number of its range and, in the lower 33 bits, the row inside it.
+    frozen = scratch_table(ranged.withColumn(_AT, F.monotonically_increasing_id()), "numbered")
+    range_of = F.shiftright(_AT, 33)
+    sizes = frozen.groupBy(range_of.alias(_RANGE)).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as there are ranges, which are shuffle partitions.
+    offsets = sizes.select(_RANGE, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = frozen.join(F.broadcast(offsets), range_of == F.col(_RANGE))
+    inside = F.col(_AT).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.select(*df.columns, (after + F.col("_offset") + inside).cast("bigint").alias(name))
 
 
 def assign_surrogate_keys(
@@ -94,9 +59,10 @@ def assign_surrogate_keys(
     """Source rows with their surrogate key: the target's where the business key is known,
     else the next free numbers in business-key order.
 
-    Only distinct new business keys are numbered, so the work grows with the news and a
-    second run over its own result numbers nothing. Rows with a NULL in the business key
-    get no surrogate key.
+    Source and target meet in one join, whose result is written once. Only the distinct
+    business keys that it missed are numbered and joined again, so the work after it grows
+    with the news, and a second run over its own result numbers nothing. Rows with a NULL in
+    the business key get no surrogate key.
     """
     keys = list(keys)
     types = {f.name: f.dataType for f in source.schema.fields}
@@ -107,11 +73,18 @@ def assign_surrogate_keys(
         keys,
         "target surrogate keys",
     )
-    wanted = source.filter(~any_null(keys)).select(*keys).distinct()
-    unknown = keyed_join(wanted, known.select(*keys), keys, "left_anti")
-    fresh = number_rows(unknown, keys, sk, max_key(target, sk))
-    keyed = known.unionByName(fresh)
-    return keyed_join(source, keyed, keys, "left")
+    missed = F.col(sk).isNull() & ~any_null(keys)
+    counted = Observation()
+    joined = keyed_join(source, known, keys, "left").observe(counted, F.count_if(missed).alias("misses"))
+    met = scratch_table(joined, "met")
+    news = met.filter(missed).drop(sk)
+    after = max_key(target, sk)
+    # An attempt that was lost may count twice: too many misses, never too few.
+    if counted.get["misses"] <= ONE_TASK_ROWS:
+        news = news.withColumn(sk, (after + F.dense_rank().over(Window.orderBy(*keys))).cast("bigint"))
+    else:
+        news = keyed_join(news, number_rows(news.select(*keys).distinct(), keys, sk, after), keys, "left")
+    return met.filter(~missed).unionByName(news.select(*met.columns))
 
 
 def unknown_row(dim: DataFrame, sk: str, keys: Sequence[str], overrides: Mapping[str, object] | None = None) -> DataFrame:

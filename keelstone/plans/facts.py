@@ -55,8 +55,9 @@ def fact_load(
 
     NULL foreign keys that go to a defaulting lookup become the unknown key first, so
     they can be part of the business key. Lines are reduced to one per business key,
-    looked up, and numbered in business-key order. With a ``target`` known lines keep
-    their number and the result is the merged fact table.
+    numbered in business-key order and looked up; the lookups left by then keep every line,
+    so they run once, on the lines that numbering has written. With a ``target`` known lines
+    keep their number and the result is the merged fact table.
     """
     defaulted = dict.fromkeys(fk for spec in lookups if spec.miss == "default" for fk in spec.on)
     lines = null_keys_to_unknown(staged, *defaulted, unknown=UNKNOWN_KEY)
@@ -67,8 +68,10 @@ def fact_load(
         lines = latest_per_key(lines, business_keys, newest_by)
     else:
         lines = first_per_key(lines, business_keys)
-    lines = lookup_many(lines, {str(i): spec for i, spec in enumerate(lookups) if spec.miss != "drop"})
+    keeping = {str(i): spec for i, spec in enumerate(lookups) if spec.miss != "drop"}
+    taken = [name for spec in keeping.values() for name in spec.take.values()]
+    numbered = number_rows(lines, business_keys, sk) if target is None else assign_surrogate_keys(lines, target, business_keys, sk)
+    facts = lookup_many(numbered, keeping).select(*lines.columns, *taken, sk)
     if target is None:
-        return number_rows(lines, business_keys, sk)
-    keyed = assign_surrogate_keys(lines, target, business_keys, sk)
-    return merge(target, keyed.filter(~any_null(business_keys)), business_keys, source_is_unique=True)
+        return facts
+    return merge(target, facts.filter(~any_null(business_keys)), business_keys, source_is_unique=True)

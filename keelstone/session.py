@@ -62,6 +62,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read back: computed once, kept when executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove what this application has written to scratch paths, when its frames are done with."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))

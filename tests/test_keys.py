@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-from pathlib import Path
-
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -9,7 +7,7 @@ from pyspark.sql import functions as F
 from keelstone.operators import keys
 from keelstone.operators.keys import add_unknown_member, assign_surrogate_keys, number_rows
 from keelstone.sinks.tables import empty_frame
-from tests.util import rows
+from tests.util import plan, rows
 
 DIM = "sk bigint, code string, name string, price decimal(9,2), since date, live boolean"
 
@@ -36,31 +34,29 @@ def test_numbering_uses_several_tasks(spark):
     assert len(used) > 4 and max(r["count"] for r in used) < 20000 / 2
 
 
-def test_ranges_follow_the_shuffle_partitions(spark, monkeypatch):
-    monkeypatch.setattr(keys, "SAMPLE_PER_RANGE", 4)
+def test_plan_does_not_grow_with_the_ranges(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "700")
+    df = spark.range(0, 20000, 1, 4).select(F.when(F.col("id") % 9 > 0, F.col("id") % 70).alias("a"), F.col("id").cast("decimal(20,0)").alias("b"))
+    plans = {}
     try:
-        df = spark.range(0, 20000, 1, 4).select(F.when(F.col("id") % 9 > 0, F.col("id") % 70).alias("a"), F.col("id").cast("decimal(20,0)").alias("b"))
-        borders = keys._borders(df, ["a", "b"], 700)
-        sizes = df.groupBy(keys._range_of(df, ["a", "b"], borders).alias("r")).count().collect()
-        numbered = number_rows(df, ["a", "b"], "n")
-        text = numbered._jdf.queryExecution().optimizedPlan().toString()
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-        expected = df.withColumn("n", F.row_number().over(Window.orderBy("a", "b")).cast("bigint"))
-        assert rows(numbered) == rows(expected)
+        for partitions in ("8", "2000"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            numbered = number_rows(df, ["a", "b"], "n")
+            plans[partitions] = len(numbered._jdf.queryExecution().optimizedPlan().toString())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert {r["r"] for r in sizes} == set(range(len(borders) + 1))
-    assert len(sizes) > 600 and sum(r["count"] for r in sizes) == 20000
-    assert text.count("CASE WHEN") < 10  # not one for every border
+    expected = df.withColumn("n", F.row_number().over(Window.orderBy("a", "b")).cast("bigint"))
+    assert rows(numbered) == rows(expected)
+    assert abs(plans["8"] - plans["2000"]) < 50
 
 
-def test_numbering_writes_no_checkpoint(spark):
-    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
-    before = set(folder.rglob("part-*"))
-    assert number_rows(spark.range(0, 20000, 1, 4), ["id"], "n").filter("n <> id + 1").count() == 0
-    assert set(folder.rglob("part-*")) == before
+def test_numbering_evaluates_its_input_once_more_at_most(spark):
+    """The rows are written once; what reads the result does not go back to the input."""
+    numbered = number_rows(spark.range(0, 20000, 1, 4), ["id"], "n")
+    text = plan(numbered)
+    assert "Range (" not in text and text.count("Scan parquet") == 2  # the rows, and their places alone
+    assert "ReadSchema: struct<_at:bigint>" in text
+    assert numbered.filter("n <> id + 1").count() == 0
 
 
 def test_null_keys_are_numbered_first(spark):
@@ -84,6 +80,21 @@ def test_keys_stay_and_new_ones_follow(spark):
     assert rows(assign_surrogate_keys(source, grown, ["code"], "sk")) == rows(keyed)
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_source_and_target_meet_once(spark, monkeypatch, most):
+    monkeypatch.setattr(keys, "ONE_TASK_ROWS", most)
+    target = spark.range(0, 900, 3).select((F.col("id") + 1).alias("sk"), F.col("id").alias("a"), F.lit("x").alias("b"))
+    source = spark.range(0, 1000).select(
+        F.when(F.col("id") % 50 > 0, F.col("id") - F.col("id") % 2).alias("a"), F.lit("x").alias("b"), F.col("id").alias("v")
+    )
+    keyed = assign_surrogate_keys(source, target, ["a", "b"], "sk")
+    assert "Range (0, 1000" not in plan(keyed)  # the source is not read again
+    new = sorted({r.a for r in source.collect() if r.a is not None and r.a % 3})
+    new += [a for a in {r.a for r in source.collect() if r.a is not None} if not a % 3 and a >= 900]
+    number = {a: 898 + k + 1 for k, a in enumerate(sorted(new))} | {a: a + 1 for a in range(0, 900, 3)}
+    assert rows(keyed) == sorted(repr((r.a, "x", r.v, number.get(r.a))) for r in source.collect())
+
+
 def test_first_key_is_one(spark):
     source = spark.createDataFrame([("y",), ("x",)], "code string")
     for target in (
