@@ -77,14 +77,24 @@ def assign_surrogate_keys(
     counted = Observation()
     joined = keyed_join(source, known, keys, "left").observe(counted, F.count_if(missed).alias("misses"))
     met = scratch_table(joined, "met")
-    news = met.filter(missed).drop(sk)
-    after = max_key(target, sk)
-    # An attempt that was lost may count twice: too many misses, never too few.
-    if counted.get["misses"] <= ONE_TASK_ROWS:
-        news = news.withColumn(sk, (after + F.dense_rank().over(Window.orderBy(*keys))).cast("bigint"))
+    return number_missing(met, missed, keys, sk, max_key(target, sk), counted.get["misses"])
+
+
+def number_missing(
+    rows: DataFrame, missed: Column, order_by: Sequence[str], sk: str, after: Column, most: int
+) -> DataFrame:
+    """Written rows, those that are ``missed`` with the next numbers, equal keys with one.
+
+    ``most`` is how many are missed, as counted when the rows were written. An attempt that
+    was lost may have counted twice: too many, never too few. Few are numbered by one task.
+    """
+    order = list(order_by)
+    news = rows.filter(missed).drop(sk)
+    if most <= ONE_TASK_ROWS:
+        news = news.withColumn(sk, (after + F.dense_rank().over(Window.orderBy(*order))).cast("bigint"))
     else:
-        news = keyed_join(news, number_rows(news.select(*keys).distinct(), keys, sk, after), keys, "left")
-    return met.filter(~missed).unionByName(news.select(*met.columns))
+        news = keyed_join(news, number_rows(news.select(*order).distinct(), order, sk, after), order, "left")
+    return rows.filter(~missed).unionByName(news.select(*rows.columns))
 
 
 def unknown_row(dim: DataFrame, sk: str, keys: Sequence[str], overrides: Mapping[str, object] | None = None) -> DataFrame:

@@ -37,6 +37,8 @@ class ScdSpec:
     historical   differences expire it and start a new version
     fixed        differences are reported and otherwise ignored
     valid_from, valid_to   optional half-open validity interval beside the flag
+    confirmed    optional array of further times at which a version was delivered, for
+                 histories that are spliced (:mod:`keelstone.operators.history`)
     """
 
     sk: str
@@ -47,6 +49,7 @@ class ScdSpec:
     flag: str = "flag"
     valid_from: str | None = None
     valid_to: str | None = None
+    confirmed: str | None = None
 
     @property
     def attributes(self) -> tuple[str, ...]:

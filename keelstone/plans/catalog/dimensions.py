@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from keelstone.operators import scd as S
 from keelstone.operators.columns import null_keys_to_unknown
 from keelstone.operators.keys import add_unknown_member, assign_surrogate_keys
+from keelstone.plans import load as L
 from keelstone.plans.catalog.base import AS_OF, query, table
+from keelstone.session import scratch_path
 
 SPEC = S.ScdSpec(
     sk="productkey",
@@ -195,3 +197,44 @@ def inferred_members(spark, sf):
     return S.add_inferred_members(
         table(spark, sf, "dim_part"), table(spark, sf, "lines_dirty"), "l_partkey", SPEC
     )
+
+
+# A customer's orders as states that hold from their day on; the status has no history.
+STATES = """SELECT o_custkey AS custid, o_orderpriority AS priority, o_orderstatus AS status,
+                   CAST(o_orderdate AS DATE) AS since, o_orderkey % 3 AS delivery FROM orders"""
+STATE_SPEC = S.ScdSpec(
+    "sk", ("custid",), changing=("status",), historical=("priority",), valid_from="valid_from", valid_to="valid_to", confirmed="confirmed"
+)
+
+
+@query(
+    "scd2_history",
+    """SELECT custid, priority, status, valid_from,
+              LEAD(valid_from) OVER (PARTITION BY custid ORDER BY valid_from) AS valid_to,
+              LEAD(valid_from) OVER (PARTITION BY custid ORDER BY valid_from) IS NULL AS flag, n_confirmed, TRUE AS keyed
+       FROM (SELECT custid, version, ANY_VALUE(priority) AS priority, ANY_VALUE(last_status) AS status,
+                    MIN(since) AS valid_from, COUNT(*) - 1 AS n_confirmed
+             FROM (SELECT *, SUM(begins) OVER (PARTITION BY custid ORDER BY since) AS version FROM (
+                       SELECT custid, priority, since,
+                              LAST_VALUE(status) OVER (PARTITION BY custid ORDER BY since
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_status,
+                              CASE WHEN LAG(priority) OVER (PARTITION BY custid ORDER BY since) IS NOT DISTINCT FROM priority
+                                   THEN 0 ELSE 1 END AS begins
+                       FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY custid, since
+                                 ORDER BY priority DESC, status DESC) AS rn FROM states) r WHERE rn = 1) e) v
+             GROUP BY custid, version) w""",
+    states=STATES,
+)
+def scd2_history(spark, sf):
+    """Three deliveries whose states interleave; the last one brings the earliest orders of many."""
+    states = spark.sql(STATES.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders"))
+    path = scratch_path(spark, "history")
+    schema = "sk bigint, custid bigint, priority string, status string, valid_from date, valid_to date, flag boolean, confirmed array<date>"
+    options = L.LoadOptions(L.SCD_2, ("custid",), scd=STATE_SPEC, effective="since")
+    for delivery in (1, 0, 2):
+        held = L.load(states.filter(F.col("delivery") == delivery).drop("delivery"), path, schema, options)
+    # Every version has a surrogate key of its own.
+    unique = held.agg(F.count_distinct("sk") == F.count(F.lit(1))).scalar()
+    return held.select(
+        "custid", "priority", "status", "valid_from", "valid_to", "flag", (F.size("confirmed")).cast("bigint").alias("n_confirmed"), unique.alias("keyed")
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from keelstone.operators.columns import any_null, enforce_schema
 from keelstone.operators.dedupe import first_per_key, latest_per_key
+from keelstone.operators.history import splice_history
 from keelstone.operators.incremental import incremental_extract
 from keelstone.operators.joins import unique_or_fail
 from keelstone.operators.merge import merge
@@ -47,6 +48,9 @@ class LoadOptions:
     strategy            FULL_OVERWRITE replaces it, INCREMENTAL merges rows above the
                         target's ``watermark`` (all rows without one: the source is the
                         increment), SCD_2 keeps history as ``scd`` says
+    effective           of SCD_2, the source's column of the time from which a row holds: a
+                        key may then have several rows, and late ones cut the intervals
+                        they fall into. Without it a row holds from ``as_of`` on
     ignore_duplicates   keep one source row per key, the newest by ``newest_by`` or
                         ``watermark`` if named; otherwise a duplicate key fails the load
     strict_types        a value that does not fit the target type, or is longer than
@@ -62,6 +66,7 @@ class LoadOptions:
     watermark: str | None = None
     newest_by: str | None = None
     scd: ScdSpec | None = None
+    effective: str | None = None
     ignore_duplicates: bool = False
     strict_types: bool = True
     as_of: str | None = None
@@ -73,6 +78,9 @@ def _typed(source: DataFrame, schema: T.StructType, options: LoadOptions, whole:
     """Source rows under the target's types; ``whole`` wants every column of it."""
     if not whole:
         schema = T.StructType([f for f in schema.fields if f.name in source.columns])
+    if options.effective and options.effective not in schema.names:
+        (at,) = [f for f in schema.fields if f.name == options.scd.valid_from] or [source.schema[options.effective]]
+        schema = T.StructType([*schema.fields, T.StructField(options.effective, at.dataType)])
     lengths = {c: n for c, n in (options.lengths or {}).items() if c in schema.names}
     return enforce_schema(source, schema, "strict" if options.strict_types else "permissive", lengths)
 
@@ -85,14 +93,17 @@ def placed_rows(rows: DataFrame, options: LoadOptions) -> DataFrame:
     reason = F.when(any_null(options.business_keys), "NULL key")
     if options.strategy == INCREMENTAL and options.watermark:
         reason = reason.when(F.col(options.watermark).isNull(), "NULL watermark")
+    if options.effective:
+        reason = reason.when(F.col(options.effective).isNull(), "NULL effective time")
     if options.quarantine is None:
         # In the values themselves, so that the source is read once: a filter on the mark
         # has to look at every row, and every row that is written has its key.
         error = F.raise_error(F.concat(reason, F.lit(" in a source row, and no quarantine folder")))
         types = {f.name: f.dataType for f in rows.schema.fields}
         checked = [*options.business_keys]
-        if options.strategy == INCREMENTAL and options.watermark and options.watermark not in checked:
-            checked.append(options.watermark)
+        marks = {INCREMENTAL: options.watermark, SCD_2: options.effective}
+        if marks.get(options.strategy):
+            checked = list(dict.fromkeys([*checked, marks[options.strategy]]))
         return rows.withColumns(
             {c: F.when(reason.isNotNull(), error.cast(types[c])).otherwise(F.col(c)) for c in checked}
         )
@@ -135,6 +146,8 @@ def next_state(
     if options.strategy == SCD_2:
         if options.scd is None:
             raise ValueError("SCD_2 needs column roles")
+        if options.effective:
+            return splice_history(source, target, options.scd, options.effective)
         return scd_load(_one_per_key(source, options), target, options.scd, options.as_of)
     raise ValueError(f"unknown strategy: {options.strategy}")
 
@@ -193,12 +206,15 @@ def load_partitioned(
             raise ValueError("SCD_2 needs column roles")
         if not set(partition_by) <= set(options.scd.keys):
             raise ValueError("partition columns must be part of the business key")
-        rows = cut_lineage(_one_per_key(rows, options))
+        rows = cut_lineage(rows if options.effective else _one_per_key(rows, options))
         whole_dim = read_known(spark, path, schema, partition_by) if written else empty_frame(spark, schema)
         touched = touched_partitions(rows, partition_by)
         if touched is not None:
             part = whole_dim.filter(touched).select(*schema.names)
-            new = scd_load(rows, part, options.scd, options.as_of, numbered_in=whole_dim)
+            if options.effective:
+                new = splice_history(rows, part, options.scd, options.effective, numbered_in=whole_dim)
+            else:
+                new = scd_load(rows, part, options.scd, options.as_of, numbered_in=whole_dim)
             replace_partitions(new, path, partition_by)
         elif not written:
             write_partitioned(whole_dim, path, partition_by)
