@@ -7,14 +7,18 @@ published with :mod:`keelstone.sinks.tables`.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelstone.operators.changes import AFTER, BEFORE, CHANGE_TYPE, INSERT
 from keelstone.operators.columns import any_null
 from keelstone.operators.joins import fits_broadcast, keyed_join, unique_or_fail
 
 NULL_KEY_POLICIES = ("reject", "fail")
+# What a row of a tagged merge belongs to: the new state, or the feed of what changed.
+PART, STATE, FEED = "_part", "state", "feed"
 
 
 def null_key_rows(source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,6 +63,69 @@ def merge(
     increment, cheap to read twice) its size is measured, and if it fits a broadcast
     the target is rewritten without being shuffled at all.
     """
+    joined, result, _, _ = _met(
+        target, source, keys, update_columns, insert_columns, on_null_key, source_is_unique, small_source
+    )
+    # Target rows with a NULL key match nothing: pass them by the join, so that they
+    # do not all meet in one task.
+    return joined.select(*result).unionByName(target.filter(any_null(list(keys))))
+
+
+def merge_tagged(
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    update_columns: Sequence[str] | None = None,
+    insert_columns: Sequence[str] | None = None,
+    on_null_key: str = "reject",
+    source_is_unique: bool = False,
+    small_source: bool = False,
+) -> DataFrame:
+    """The upsert of :func:`merge` and its change feed, as rows of one join.
+
+    Rows whose ``_part`` is ``state`` are the new target. Those of the ``feed`` have a change
+    type: an inserted row, or the old and the new row of an update that changed anything.
+    :func:`keelstone.sinks.tables.commit_tagged` writes both at once.
+    """
+    joined, result, in_source, in_target = _met(
+        target, source, keys, update_columns, insert_columns, on_null_key, source_is_unique, small_source
+    )
+    rest = [c for c in target.columns if c not in keys]
+    old = F.struct(*[F.col(c) for c in target.columns])
+    new = F.struct(*result)
+    met = joined.select(old.alias("_old"), new.alias("_new"), in_source.alias("_s"), in_target.alias("_t"))
+    same = reduce(Column.__and__, [F.col("_old")[c].eqNullSafe(F.col("_new")[c]) for c in rest], F.lit(True))
+
+    def row(part: str, kind: str | None, values: str) -> Column:
+        return F.struct(
+            F.lit(part).alias(PART), F.lit(kind).cast("string").alias(CHANGE_TYPE), F.col(values).alias("_row")
+        )
+
+    state = row(STATE, None, "_new")
+    rows = (
+        F.when(~F.col("_t"), F.array(state, row(FEED, INSERT, "_new")))
+        .when(F.col("_s") & ~same, F.array(state, row(FEED, BEFORE, "_old"), row(FEED, AFTER, "_new")))
+        .otherwise(F.array(state))
+    )
+    tagged = met.select(F.explode(rows).alias("_r"))
+    tagged = tagged.select(
+        *[F.col("_r")["_row"][c].alias(c) for c in target.columns], F.col("_r")[CHANGE_TYPE].alias(CHANGE_TYPE), F.col("_r")[PART].alias(PART)
+    )
+    unkeyed = target.filter(any_null(list(keys)))
+    return tagged.unionByName(unkeyed.withColumns({CHANGE_TYPE: F.lit(None).cast("string"), PART: F.lit(STATE)}))
+
+
+def _met(
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    update_columns: Sequence[str] | None,
+    insert_columns: Sequence[str] | None,
+    on_null_key: str,
+    source_is_unique: bool,
+    small_source: bool,
+) -> tuple[DataFrame, list[Column], Column, Column]:
+    """Target and source side by side, the merged columns, and which side has a row."""
     keys = list(keys)
     shared = [c for c in target.columns if c in source.columns and c not in keys]
     updates = set(shared if update_columns is None else update_columns)
@@ -94,9 +161,7 @@ def merge(
             if name in inserts:
                 value = F.when(~in_target, new).otherwise(value)
         result.append(value.alias(name))
-    # Target rows with a NULL key match nothing: pass them by the join, so that they
-    # do not all meet in one task.
-    return joined.select(*result).unionByName(target.filter(any_null(keys)))
+    return joined, result, in_source, in_target
 
 
 def _unshuffled_outer_join(keyed: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

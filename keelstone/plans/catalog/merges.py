@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keelstone.operators import merge as M
+from keelstone.operators.aggregates import AggregateSpec
+from keelstone.operators.changes import CHANGE_TYPE, difference_count
 from keelstone.operators.changes import change_feed as changes_between
-from keelstone.operators.changes import difference_count
 from keelstone.operators.dedupe import latest_per_key
 from keelstone.operators.scd import scd_load
+from keelstone.plans import load as L
 from keelstone.plans.catalog.base import query, table
 from keelstone.plans.catalog.dimensions import SPEC, classified_ctes, versions_sql
+from keelstone.plans.gold import refresh_aggregate
+from keelstone.session import scratch_path
+from keelstone.sinks import tables
 from keelstone.sinks.tables import load_or_empty
 
 PRODUCT = ["productid", "productname", "supplierid", "categoryid", "unitprice", "discontinued"]
@@ -125,6 +130,64 @@ def keyed_update(spark, sf):
     )
 
 
+@query(
+    "merge_change_feed",
+    """SELECT l_orderkey, l_linenumber, r.kind AS change_type, r.l_partkey, r.qty, r.price FROM (
+           SELECT n.l_orderkey, n.l_linenumber, unnest(CASE WHEN b.l_orderkey IS NULL
+                      THEN [{'kind': 'insert', 'l_partkey': n.l_partkey, 'qty': n.qty, 'price': n.price}]
+                      ELSE [{'kind': 'update_preimage', 'l_partkey': b.l_partkey, 'qty': b.qty, 'price': b.price},
+                            {'kind': 'update_postimage', 'l_partkey': n.l_partkey, 'qty': n.qty, 'price': n.price}] END) AS r
+           FROM latest n LEFT JOIN silver_before b ON b.l_orderkey = n.l_orderkey AND b.l_linenumber = n.l_linenumber
+           WHERE b.l_orderkey IS NULL OR b.l_partkey IS DISTINCT FROM n.l_partkey OR b.qty IS DISTINCT FROM n.qty
+              OR b.price IS DISTINCT FROM n.price) x
+       UNION ALL SELECT l_orderkey, l_linenumber, 'state', l_partkey, qty, price FROM merged""",
+    "bronze_lines",
+    "silver_before",
+    latest=LATEST_LINES,
+    merged=MERGED_LINES,
+)
+def merge_change_feed(spark, sf):
+    """The new state and what changed, from one join and one write."""
+    keys, path = ["l_orderkey", "l_linenumber"], scratch_path(spark, "with-feed")
+    before = tables.commit(table(spark, sf, "silver_before"), path)
+    latest = latest_per_key(table(spark, sf, "bronze_lines"), keys, "_ingestion_timestamp")
+    state = tables.commit_tagged(M.merge_tagged(before, latest, keys, source_is_unique=True), path)
+    feed = tables.read_feed(spark, path, tables.versions(spark, path)[0])
+    kind = F.col(CHANGE_TYPE).alias("change_type")
+    return feed.select(*keys, kind, "l_partkey", "qty", "price").unionByName(
+        state.select(*keys, F.lit("state").alias("change_type"), "l_partkey", "qty", "price")
+    )
+
+
+PART_SALES = AggregateSpec(("l_partkey",), {"qty": "qty", "amount": "price"}, {"least_price": "price"}, {"most_qty": "qty"})
+
+
+@query(
+    "gold_increment",
+    """SELECT l_partkey, COUNT(*) AS n_rows, CAST(SUM(qty) AS BIGINT) AS qty, CAST(SUM(price) AS DECIMAL(29,4)) AS amount,
+              MIN(price) AS least_price, MAX(qty) AS most_qty
+       FROM merged GROUP BY l_partkey""",
+    "bronze_lines",
+    "silver_before",
+    merged=MERGED_LINES,
+)
+def gold_increment(spark, sf):
+    """Sums and extremes by product after two increments, of which only the changes are added."""
+    keys, path, gold = ["l_orderkey", "l_linenumber"], scratch_path(spark, "facts"), scratch_path(spark, "sums")
+    tables.commit(table(spark, sf, "silver_before"), path)
+    refresh_aggregate(spark, path, gold, PART_SALES)
+    latest = latest_per_key(table(spark, sf, "bronze_lines"), keys, "_ingestion_timestamp")
+    # What comes first is put right by the second delivery: extremes move both ways.
+    early = latest.filter("l_orderkey % 5 < 3").withColumns(
+        {"qty": (F.col("qty") + 90).cast("smallint"), "price": (F.col("price") / 1000).cast("decimal(19,4)")}
+    )
+    schema = "l_orderkey bigint, l_linenumber int, l_partkey bigint, qty smallint, price decimal(19,4)"
+    for source in (early, latest):
+        L.load(source, path, schema, L.LoadOptions(L.INCREMENTAL, tuple(keys), change_feed=True))
+        sums = refresh_aggregate(spark, path, gold, PART_SALES)
+    return sums
+
+
 DIFFERENT = " OR ".join(f"b.{c} IS DISTINCT FROM a.{c}" for c in PRODUCT[1:])
 FEED_COLUMNS = ["productkey", *PRODUCT, "flag"]
 

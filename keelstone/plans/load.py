@@ -14,7 +14,7 @@ from keelstone.operators.dedupe import first_per_key, latest_per_key
 from keelstone.operators.history import splice_history
 from keelstone.operators.incremental import incremental_extract
 from keelstone.operators.joins import unique_or_fail
-from keelstone.operators.merge import merge
+from keelstone.operators.merge import merge, merge_tagged
 from keelstone.operators.scd import ScdSpec, scd_load
 from keelstone.session import cut_lineage
 from keelstone.sinks.partitions import (
@@ -27,6 +27,7 @@ from keelstone.sinks.partitions import (
 from keelstone.sinks.tables import (
     commit,
     commit_table,
+    commit_tagged,
     empty_frame,
     has_rows_written,
     is_table_name,
@@ -56,6 +57,8 @@ class LoadOptions:
     strict_types        a value that does not fit the target type, or is longer than
                         ``lengths`` allows, fails the load; otherwise it becomes NULL
                         (an over-long text stays)
+    change_feed         an INCREMENTAL load into a committed folder keeps what it changed,
+                        for :func:`keelstone.sinks.tables.read_feed`
     quarantine          folder for rows that cannot be placed: a NULL in the business key,
                         or in the watermark of an INCREMENTAL load. Without a folder such a
                         row fails the load. First and later loads treat them alike
@@ -71,6 +74,7 @@ class LoadOptions:
     strict_types: bool = True
     as_of: str | None = None
     lengths: Mapping[str, int] | None = None
+    change_feed: bool = False
     quarantine: str | None = None
 
 
@@ -125,7 +129,10 @@ def _one_per_key(rows: DataFrame, options: LoadOptions) -> DataFrame:
 def next_state(
     source: DataFrame, target: DataFrame, options: LoadOptions, first_load: bool = False
 ) -> DataFrame:
-    """The table after the load; the table itself is not written."""
+    """The table after the load; the table itself is not written.
+
+    With a change feed the rows are those of a tagged merge.
+    """
     if options.strategy == FULL_OVERWRITE:
         return _one_per_key(source, options)
     if options.strategy == INCREMENTAL:
@@ -136,7 +143,7 @@ def next_state(
         if not first_load:
             # Kept once, so that measuring and merging do not repeat the extract.
             rows = cut_lineage(rows)
-        return merge(
+        return (merge_tagged if options.change_feed else merge)(
             target,
             rows,
             options.business_keys,
@@ -164,11 +171,16 @@ def load(
     schema, spark = as_schema(schema), source.sparkSession
     rows = placed_rows(_typed(source, schema, options, options.strategy == FULL_OVERWRITE), options)
     if is_table_name(target):
+        if options.change_feed:
+            raise ValueError("a change feed needs a committed folder")
         present = spark.catalog.tableExists(target)
         current = spark.read.table(target) if present else empty_frame(spark, schema)
         return commit_table(next_state(rows, current, options, not present), target)
+    if options.change_feed and options.strategy != INCREMENTAL:
+        raise ValueError("a change feed needs an INCREMENTAL load")
     current = load_or_empty(spark, target, schema)
-    return commit(next_state(rows, current, options, not table_exists(spark, target)), target)
+    new = next_state(rows, current, options, not table_exists(spark, target))
+    return commit_tagged(new, target) if options.change_feed else commit(new, target)
 
 
 def load_partitioned(

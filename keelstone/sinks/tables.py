@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelstone.operators.changes import CHANGE_TYPE
+from keelstone.operators.merge import FEED, PART, STATE
 from keelstone.session import scratch_path
 from keelstone.sinks.folders import from_folders, to_folders
 from keelstone.types import as_schema
@@ -22,6 +24,7 @@ from keelstone.types import as_schema
 KEEP_VERSIONS = 2
 # Our choice: hours for which an older version may still be read.
 RETENTION_HOURS = 168
+FEED_VERSION = "_version"
 _VERSION = "v="
 
 
@@ -74,14 +77,47 @@ def read_current(spark: SparkSession, path: str, partition_by: Sequence[str] = (
     committed = versions(spark, path)
     if not committed:
         raise FileNotFoundError(f"no committed version under {path}")
-    return from_folders(spark.read.parquet(version_path(path, committed[-1])), partition_by)
+    return from_folders(read_version(spark, path, committed[-1]), partition_by)
 
 
 def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
     """One kept version, for rollback or a change feed."""
+    if _has_feed(spark, path, version):
+        return spark.read.parquet(f"{version_path(path, version)}/{PART}={STATE}").drop(CHANGE_TYPE)
     return spark.read.parquet(version_path(path, version))
 
 
+def _has_feed(spark: SparkSession, path: str, version: int) -> bool:
+    return bool(_found(spark, f"{version_path(path, version)}/{PART}=*"))
+
+
+def read_feed(spark: SparkSession, path: str, after: int) -> DataFrame | None:
+    """What changed in the versions after one, in any order, beside their numbers.
+
+    None where one of them was not committed with its feed, or is not kept any more.
+    """
+    committed = versions(spark, path)
+    wanted = [v for v in committed if v > after]
+    if not committed or not all(_has_feed(spark, path, v) for v in wanted):
+        return None
+    # Numbers of failed writes are left out; a version that is gone is older than the first.
+    if committed[0] > after:
+        return None
+    state = read_version(spark, path, committed[-1])
+    schema = T.StructType([*state.schema.fields, T.StructField(CHANGE_TYPE, T.StringType())])
+    feeds = empty_frame(spark, schema).withColumn(FEED_VERSION, F.lit(0))
+    for v in wanted:
+        feed = spark.read.schema(schema).parquet(*_feed_paths(spark, path, v)) if _feed_paths(spark, path, v) else None
+        if feed is not None:
+            feeds = feeds.unionByName(feed.withColumn(FEED_VERSION, F.lit(v)))
+    return feeds
+
+
+def _feed_paths(spark: SparkSession, path: str, version: int) -> list[str]:
+    """The folder of a version's changes; none if nothing changed."""
+    return [str(p) for p in _found(spark, f"{version_path(path, version)}/{PART}={FEED}")]
+
+
 def empty_frame(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
     """No rows under a schema, in a form the optimizer sees through: joins with it fold away."""
     nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in as_schema(schema).fields]
@@ -128,6 +164,20 @@ def commit(
     return from_folders(spark.read.schema(T.StructType(fields)).parquet(version_path(path, version)), partition_by)
 
 
+def commit_tagged(tagged: DataFrame, path: str) -> DataFrame:
+    """Commit the state of a tagged merge and its change feed as one version, by one write.
+
+    Both are visible with the version's marker or not at all. ``read_feed`` returns what
+    changed; all else treats such a version as any other. An empty state keeps its schema.
+    """
+    spark = tagged.sparkSession
+    columns = T.StructType([f for f in tagged.schema.fields if f.name not in (PART, CHANGE_TYPE)])
+    commit(tagged, path, [PART])
+    version = versions(spark, path)[-1]
+    state = f"{version_path(path, version)}/{PART}={STATE}"
+    return spark.read.schema(columns).parquet(state) if _found(spark, state) else empty_frame(spark, columns)
+
+
 def roll_back(spark: SparkSession, path: str) -> DataFrame:
     """Drop the latest version and return the one before it."""
     committed = versions(spark, path)
