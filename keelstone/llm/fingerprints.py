@@ -32,8 +32,6 @@ BASES = (1000003, 999979)
 WIDTHS = (24, 6, 2)
 WINDOWS_LONG = 4
 SAMPLES = 64
-#: Documents of one key range; a range streams through one task.
-ROWS_PER_RANGE = 20_000
 
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
@@ -235,7 +233,19 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> dict:
     return dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True))
 
 
-def fingerprint_edits(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def _heads(plain: DataFrame, ranges: int) -> np.ndarray:
+    """The highest key of every range, ascending: one for each shuffle partition at most.
+
+    Keys alone are range-partitioned, so what comes here depends on the cluster, not on the
+    number of documents.
+    """
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_key")
+    ranged = plain.select(key).repartitionByRange(ranges, "_key")
+    found = ranged.groupBy(F.spark_partition_id().alias("_p")).agg(F.max("_key").alias("head")).toArrow()
+    return np.sort(found.column("head").to_numpy())
+
+
+def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Per document: fingerprints of its text and of its edited text, and their likenesses.
 
     The edited text has its last ``floor(n / 3)`` code points replaced by the first as many
@@ -246,22 +256,16 @@ def fingerprint_edits(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) ->
     keys stand in the order of their texts; a single row is its own next; an empty table
     gives no rows. Extra columns are ignored.
 
-    Keys are cut into ranges at quantiles that are keys themselves, so each range needs one
-    more row, the head of the range after it. Texts are shuffled once.
+    Keys are cut into ranges, as many as the session has shuffle partitions, whose borders
+    are keys themselves, so each range needs one more row, the head of the range after it.
+    A range streams through its task. Texts are shuffled once.
     """
     spark = docs.sparkSession
     plain = keyed(docs, "doc_id", "text")
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    count = plain.count()
-    if not count:
-        return spark.createDataFrame([], RESULT)
-    ranges = max(parallelism(spark), -(-count // rows_per_range))
-    cuts = [i / ranges for i in range(1, ranges)] or [0.5]
-    found = plain.agg(
-        F.percentile_approx(key, cuts, F.lit(20 * ranges)).alias("c"), F.max(key).alias("top")
-    ).first()
     # heads[k] is the highest key of range k; the ranges descend.
-    heads = np.array(sorted({found.top, *found.c}, reverse=True) if ranges > 1 else [found.top], np.int64)
+    heads = _heads(plain, ranges or parallelism(spark))[::-1].copy()
+    if not len(heads):
+        return spark.createDataFrame([], RESULT)
     last = len(heads) - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
