@@ -27,6 +27,8 @@ from keelstone.llm.batches import byte_view, keyed, ragged, slices, texts_of
 from keelstone.llm.segments import LOOKUP_BYTES, SegmentTable, per_text
 
 MARK = "▁"
+#: What other normalisations would change: composed and wide letters, capitals, white space.
+_PROBE = "  A  e\u0301 \u00e9 \ufb01 \uff21 \u2460\t b\n\u3000c  "
 LONG_SYMBOLS = 96
 _NEVER = np.iinfo(np.int64).max
 _CODES = 0x110000
@@ -40,6 +42,8 @@ class Agenda:
 
         self.library = library = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.size = library.get_piece_size()
+        if library.normalize(_PROBE) != (MARK + _PROBE).replace(" ", MARK):
+            raise ValueError("a model that changes texts, or their white space, before it splits them")
         pieces = {}
         self.bytes = np.zeros(256, np.int64)
         for i in range(self.size):
@@ -245,8 +249,9 @@ ENCODED = "doc_id long, text string, ids array<int>, decoded string"
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, text, ids, decoded``: ids of the whole text and what they decode to.
 
-    A null text counts as empty: no ids, decoded ''. Repeated rows stay; an empty table
-    gives no rows; extra columns are ignored. ``model_path`` is read on every executor.
+    A null text counts as empty: no ids, decoded ''. Repeated rows stay, and rows without an
+    id; an empty table gives no rows; extra columns are ignored. Of pairs with equal scores
+    the leftmost is merged. ``model_path`` is read on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

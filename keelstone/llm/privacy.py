@@ -375,7 +375,8 @@ def pseudonymise(docs: DataFrame, key: str, backwards: bool = False) -> DataFram
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """The rows with personal values of their text permuted in place, all columns kept.
 
-    Formats and so lengths stay as they are.
+    Formats and so lengths stay as they are. A null text stays null; rows that repeat, or
+    have no id, are each treated alike; an empty table stays empty.
     """
     secret = key.encode()
 

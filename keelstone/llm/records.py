@@ -10,6 +10,7 @@ seek away, so a shard can be read in any order.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from array import array
@@ -68,18 +69,48 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+# How a file says that case and white space do not count and words end at marks.
+WORD_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+WORD_SPLITTER = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+
+
+def splits_at_words(file: dict) -> bool:
+    """Whether a tokenizer file encodes words, and signs after letters, on their own."""
+    splitter = file["pre_tokenizer"] or {}
+    first = splitter.get("pretokenizers", [splitter])[0]
+    added = [t for t in file["added_tokens"] if not t["content"].startswith("<|") or t["normalized"] or t["lstrip"] or t["rstrip"]]
+    return file["normalizer"] == WORD_NORMALIZER and first == WORD_SPLITTER and not added and not file["model"].get("dropout")
+
+
 class WordEncoder:
     """The tokenizers library over the distinct words of a slice.
 
     White space and the change from a letter to ``. , ; : ! ?`` always end a token, so
     words and such signs are encoded on their own; capitals followed by ASCII are lowered
     first, as the vocabulary's normaliser does. Slices that hold ``<|`` stay as they are.
+    Files that do not say so encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            self.by_words = splits_at_words(json.load(file))
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.table = SegmentTable(self._encode)
 
@@ -96,6 +127,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of whole texts and their ``n + 1`` offsets."""
+        if not self.by_words:
+            ids, counts = self._encode(texts_of(texts))
+            return ids, np.r_[0, np.cumsum(counts)]
         data, ends = byte_view(texts_of(texts))
         if b"<|" not in data.tobytes():
             plain = np.zeros(len(data), bool)

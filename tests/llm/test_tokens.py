@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import zlib
 
 import numpy as np
@@ -114,3 +115,57 @@ def test_shards(spark):
         slots[row.shard] += 1
         at += size
     assert sharding.shard_by_bytes(no_documents(spark)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizer_files_encode_whole_texts(spark, tmp_path, name):
+    path = vocabulary(name)
+    texts = [*edge_texts(), "It's  A\ttest. <|endoftext|> x", "Mixed CASE, and\n\nlines"]
+    library = Tokenizer.from_file(path)
+    manifest = records.write_records(documents(spark, texts), str(tmp_path / "r"), path, end_id=None, shards=3)
+    found = {r.doc_id: r.ids for r in records.read_records(manifest).collect()}
+    assert found == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert records.WordEncoder(path).by_words == (name == "word_bpe_49k.json")
+
+
+@pytest.mark.parametrize(
+    ("part", "value"),
+    [
+        ("normalizer", {"type": "NFC"}),
+        ("normalizer", None),
+        ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+        ("pre_tokenizer", {"type": "Whitespace"}),
+        ("truncation", {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}),
+    ],
+)
+def test_changed_tokenizer_files_encode_as_the_library(tmp_path, part, value):
+    with open(WORDS, encoding="utf-8") as file:
+        changed = json.load(file)
+    changed[part] = value
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(changed))
+    texts = ["It's  A test, of UPPER words", "naïve Œuvre  two", ""]
+    library = Tokenizer.from_file(str(path))
+    library.no_truncation()
+    ids, first = records.WordEncoder(str(path)).encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[first[k] : first[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_models_that_normalise_are_refused(monkeypatch):
+    class Changing:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def normalize(self, text):
+            return self.real.normalize(text).lower()
+
+    import sentencepiece
+
+    real = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", lambda model_file: Changing(real))
+    with pytest.raises(ValueError, match="changes texts"):
+        pieces.Agenda("any")
