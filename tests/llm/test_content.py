@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +41,21 @@ def test_items_equal_brute_force(spark):
         prose(8, 40) + " " + edited + " end",
         item[: len(item) // 2],
         item + " " + prose(9, 10) + " " + item,
-        "short one",
+        "Short\n one",
+        "a short one, and (short one) again",
+        "unshort one or short ones",
+        prose(10, 9) + " twenty-four small lettars and more",
+        prose(11, 9) + " twenty-four small lettars!",
     ]
-    items = [(1, item), (2, "short one"), (3, None), (4, " "), (5, item), (6, prose(77, 40))]
+    items = [(1, item), (2, "short one"), (3, None), (4, " "), (5, item), (6, prose(77, 40)), (7, "twenty-four small letters")]
     frame = spark.createDataFrame(items, "item_id long, text string")
     wanted = []
     for i, text in enumerate(texts):
         plain = contamination.normal(text)
         for number, raw in items:
             own = contamination.normal(raw)
-            if own and len(own) < contamination.LEAST_PIECE:
-                wanted += [(i, number, 0)] * (plain == own)
+            if own and not contamination.budget(len(own)):
+                wanted += [(i, number, 0)] * bool(re.search(rf"\b{re.escape(own)}\b", plain))
             elif own and len(plain) < 5000 and (d := distance(own, plain)) <= contamination.budget(len(own)):
                 wanted.append((i, number, d))
     for block in (1 << 20, 200):
@@ -60,13 +66,25 @@ def test_items_equal_brute_force(spark):
         assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {w[0] for w in wanted}
     assert contamination.find_items(no_documents(spark), frame).count() == 0
     assert contamination.find_items(documents(spark, texts), frame.limit(0)).count() == 0
-    assert len({w[0] for w in wanted}) == 4
+    assert len({w[0] for w in wanted}) == 7
+    assert sum(w[1] == 2 for w in wanted) == 2 and sum(w[1:] == (7, 1) for w in wanted) == 2
+    # Another rate: no edits at all.
+    exact = contamination.find_items(documents(spark, texts), frame, rate=0.0).collect()
+    assert sorted((r.doc_id, r.item_id) for r in exact) == sorted(w[:2] for w in wanted if not w[2])
+
+
+def test_the_driver_holds_one_block_of_items_at_a_time(spark, monkeypatch):
+    frame = spark.createDataFrame([(k, prose(k, 20)) for k in range(40)], "item_id long, text string")
+    blocks = contamination._blocks(frame, 1000)
+    assert iter(blocks) is blocks
+    sizes = [sum(len(t) for _, t in block) for block in blocks]
+    assert len(sizes) > 3 and max(sizes) < 4000
 
 
 def test_fingerprints_equal_brute_force(spark):
     texts = edge_texts()
     docs = documents(spark, texts)
-    rows = sorted(fingerprints.fingerprint_edits(docs, rows_per_range=3).collect(), key=lambda r: r.doc_id)
+    rows = sorted(fingerprints.fingerprint_edits(docs, ranges=6).collect(), key=lambda r: r.doc_id)
     assert [r.doc_id for r in rows] == list(range(len(texts)))
     for i, row in enumerate(rows):
         text, following = texts[i] or "", texts[i - 1] or ""
@@ -86,14 +104,14 @@ def test_fingerprints_of_one_none_repeated_and_unnamed_rows(spark):
     assert [(r.n_chars, r.near_next) for r in one] == [(6, 1.0)]
     assert fingerprints.fingerprint_edits(no_documents(spark)).count() == 0
     twice = documents(spark, edge_texts(), repeat=True).selectExpr("nullif(doc_id, 3) AS doc_id", "text")
-    assert fingerprints.fingerprint_edits(twice, rows_per_range=2).count() == len(edge_texts()) + 2
+    assert fingerprints.fingerprint_edits(twice, ranges=9).count() == len(edge_texts()) + 2
 
 
 def test_edits_of_short_texts_leave_a_likeness(spark):
     # Other letters in the text that the replaced third comes from.
     letters = [chr(0x4E00 + 7919 * k % 20000) for k in range(2000)]
     texts = [t for n in range(1, 121) for t in ("".join(letters[1000 : 1000 + n]), "".join(letters[:n]))]
-    rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(documents(spark, texts), rows_per_range=9).collect()}
+    rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(documents(spark, texts), ranges=27).collect()}
     for i, text in enumerate(texts[1:], 1):
         row, n = rows[i], len(text)
         width = next(w for w in (24, 6, 2, 0) if n >= 4 * w or w == 2)
@@ -252,6 +270,97 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert np.array_equal(a.weights, b.weights)
 
 
+def test_only_confirmed_labels_are_used(spark):
+    texts, toxic = toxic_texts(200)
+    docs = documents(spark, texts)
+
+    def fitted(rows):
+        return toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+
+    a = fitted(list(enumerate(toxic)))
+    b = fitted([(i, t) for i, t in enumerate(toxic) if t])  # no negative label at all
+    assert a.bias == b.bias
+    assert np.array_equal(a.weights, b.weights)
+
+
+def small_rows():
+    rng = np.random.default_rng(5)
+    length = np.array([3, 1, 0, 4, 2, 2])
+    total = int(length.sum())
+    return toxicity.Rows(rng.integers(0, 4, total), rng.random(total), np.cumsum(length) - length, length), rng.normal(size=4)
+
+
+@pytest.mark.parametrize(("prior", "bias"), [(0.1, 0.3), (0.9, 3.0), (0.4, -1.0)])
+def test_risk_and_gradient(prior, bias):
+    rows, weights = small_rows()
+    p, u = np.array([0, 3]), np.array([0, 1, 2, 4, 5])
+
+    def margin(k):
+        own = range(int(rows.begin[k]), int(rows.begin[k] + rows.length[k]))
+        return sum(weights[rows.column[i]] * rows.value[i] for i in own) + bias
+
+    def mean(ks, sign):
+        return sum(math.log1p(math.exp(-sign * margin(k))) for k in ks) / len(ks)
+
+    corrected = mean(u, -1) - prior * mean(p, -1)
+    step, risk, part = rows.risk(p, u, prior, weights, bias)
+    assert part == pytest.approx(corrected)
+    assert risk == pytest.approx(prior * mean(p, 1) + max(0, corrected))
+
+    def value(w, b):
+        _, whole, inner = rows.risk(p, u, prior, w, b)
+        return whole if corrected >= 0 else -inner
+
+    for k in range(5):
+        up, down = (np.r_[weights, bias] + np.eye(5)[k] * h for h in (1e-6, -1e-6))
+        slope = (value(up[:4], up[4]) - value(down[:4], down[4])) / 2e-6
+        assert step[k] == pytest.approx(slope, abs=1e-6)
+
+
+def test_the_correction_turns_negative_in_one_of_the_cases():
+    rows, weights = small_rows()
+    p, u = np.array([0, 3]), np.array([0, 1, 2, 4, 5])
+    signs = {rows.risk(p, u, prior, weights, bias)[2] < 0 for prior, bias in [(0.1, 0.3), (0.9, 3.0), (0.4, -1.0)]}
+    signs |= {rows.risk(np.array([3]), np.array([2]), 0.99, np.full(4, 3.0), 0.0)[2] < 0}
+    assert signs == {True, False}
+
+
+@pytest.mark.parametrize("share", [0.05, 0.3])
+def test_class_prior_is_found_without_negatives(share):
+    rng = np.random.default_rng(11)
+    texts, positive, unlabelled = [], [], []
+    for k in range(1600):
+        bad = k < 400 or rng.random() < share
+        words = prose(k, 40).split() + [f"vile{'ness' if rng.random() < 0.5 else 'st'}"] * (3 if bad else 0)
+        texts.append(" ".join(words))
+        positive.append(k < 400)
+        unlabelled.append(k >= 400)
+    features = toxicity.featurise(pa.array(texts))
+    found = toxicity.class_prior(features, np.array(positive), np.array(unlabelled))
+    assert abs(found - share) < 0.04
+
+
+def test_scores_equal_a_plain_loop():
+    texts = ["", "Vile vileness, VILE", "ünkind wörds and kindness " * 3, prose(4, 50), "x"]
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=toxicity.DIMENSIONS).astype(np.float32), -0.4)
+    found = model.scores(toxicity.featurise(pa.array(texts)))
+    for text, score in zip(texts, found.tolist(), strict=True):
+        lowered = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        words = set(re.findall(rb"[a-z\x80-\xff]+", lowered))
+        counts: dict[int, int] = {}
+        for word in words:
+            for length in [0, *toxicity.BEGINNINGS]:
+                if length < len(word):
+                    piece = word[:length] if length else word
+                    data = np.frombuffer(piece, np.uint8)
+                    whole = toxicity.span_hashes(toxicity.rolling(data), np.array([0]), np.array([len(data)]))[0]
+                    bucket = (int(whole) + length) % (1 << 64) % toxicity.DIMENSIONS
+                    counts[bucket] = counts.get(bucket, 0) + 1
+        total = sum(float(model.weights[b]) * float(np.float32(math.log1p(30 * n / math.sqrt(len(words) + 20)))) for b, n in counts.items())
+        assert score == pytest.approx(1 / (1 + math.exp(-(total - 0.4))), rel=1e-5)
+
+
 @pytest.mark.parametrize("toxic", [[], [0, 0, 0, 0], [1, 1, 1, 1]])
 def test_toxicity_without_one_class(spark, toxic):
     docs = documents(spark, ["a b", "c d", "e f", "g h"])
