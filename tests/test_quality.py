@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,43 @@ def test_referential_integrity_with_a_hot_orphan(spark):
     assert tuple(row) == ("referential", "fk", 1000, 3001, False)
 
 
+def test_key_search_measures_what_may_be_a_key(spark, monkeypatch):
+    # Twelve columns of some values each; seven of them say nothing together.
+    n = 6000
+    columns = {f"x{k}_id": F.pmod(F.xxhash64(F.lit(k), F.col("id") % 89), F.lit(1000)) for k in range(7)}
+    columns |= {"a_id": F.col("id") % 80, "b_id": (F.col("id") / 80).cast("int"), "c_id": F.col("id") % 75, "d_id": (F.col("id") / 75).cast("int")}
+    columns |= {"e_id": F.when(F.col("id") > 5, F.col("id"))}
+    df = spark.range(n).select(*[c.alias(name) for name, c in columns.items()]).repartition(4).checkpoint()
+    measured, sketched = [], []
+
+    def seen(frame, candidate, real=R._measured):
+        measured.append(tuple(candidate))
+        return real(frame, candidate)
+
+    def screened(frame, candidates, rows, real=R._nearly_unique):
+        sketched.append(len(candidates))
+        return real(frame, candidates, rows)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(R, "_measured", seen)
+        patch.setattr(R, "_nearly_unique", screened)
+        found = {r.candidate: r for r in R.find_keys(df).collect()}
+    keys = {c for c, r in found.items() if r.is_key and "," in c}
+    # Every pair and triple by brute force, minimal ones only.
+    values = [tuple(r) for r in df.drop("e_id").collect()]
+    names = df.drop("e_id").columns
+    wanted = set()
+    for width in (2, 3):
+        for picked in combinations(range(len(names)), width):
+            if not any(set(k.split(",")) <= {names[i] for i in picked} for k in wanted):
+                if len({tuple(v[i] for i in picked) for v in values}) == n:
+                    wanted.add(",".join(names[i] for i in picked))
+    assert {"a_id,b_id", "c_id,d_id"} <= wanted and {k for k in keys if k.count(",") < 3} == wanted
+    assert sum(sketched) > 100 and len(measured) - 12 < sum(sketched) / 2
+    for c, r in found.items():
+        assert r.distinct_rows == df.select(*c.split(",")).distinct().count() and r.n_rows == n
+
+
 def test_profile_keys_and_candidates(spark):
     assert R.key_like(["order_id", "ZipCode", "amount"]) == ["order_id", "ZipCode"]
     df = spark.createDataFrame([(1, 1), (1, 2), (2, None)], "a_id int, b_id int")
