@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 
+from keelstone.operators import changes
 from keelstone.operators import merge as M
 from keelstone.operators.changes import change_feed, difference_count
 from keelstone.sinks.tables import empty_frame
@@ -127,3 +131,35 @@ def test_change_feed_of_repeated_and_null_keys(spark):
     ]
     with pytest.raises(Exception, match="not unique by k"):
         change_feed(before.unionByName(before), after, ["k"]).collect()
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 4096])
+def test_difference_count_equals_counting(spark, monkeypatch, buckets):
+    monkeypatch.setattr(changes, "BUCKETS", buckets)
+    made = random.Random(buckets)
+    values = [(made.choice([None, 1, 2]), made.choice([None, "", "a", "1"]), made.choice([None, [], [None, "x"], ["x", None], ["x, y"], ["x", "y"]])) for _ in range(200)]
+    schema = "a int, b string, c array<string>"
+    for left, right in ((values, made.sample(values, 200)), (values, values[:150] + values[:20]), (values, []), ([], [])):
+        counts = Counter(map(repr, left))
+        counts.subtract(Counter(map(repr, right)))
+        found = difference_count(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).first()[0]
+        assert found == sum(map(abs, counts.values()))
+
+
+def test_rows_that_only_look_alike_differ(spark):
+    def one(*values):
+        return spark.createDataFrame([values], "a int, b int, c array<int>")
+
+    for left, right in (((None, 1, None), (1, None, None)), ((0, 1, [None, 1]), (0, 1, [1, None])), ((0, 1, []), (0, 1, None))):
+        assert difference_count(one(*left), one(*right)).first()[0] == 2
+
+
+def test_equal_states_shuffle_no_rows(spark):
+    left = spark.range(0, 50_000, 1, 4).selectExpr("id", "id * 7 AS v")
+    right = spark.range(0, 50_000, 1, 3).selectExpr("id", "id * 7 AS v")
+    counted = difference_count(left, right)
+    assert counted.first()[0] == 0
+    # What is left of the plan when it has run: the rows' branch is gone.
+    counted.collect()
+    final = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin" not in final and final.count("Exchange") <= 2
