@@ -18,7 +18,7 @@ from keelstone.plans.catalog.dimensions import CLASSIFIED, SPEC, versions_sql
 from keelstone.plans.catalog.facts import product_lookup
 from keelstone.plans.catalog.merges import MERGED_LINES
 from keelstone.session import scratch_path
-from keelstone.sinks import layout, partitions, tables
+from keelstone.sinks import compaction, layout, partitions, tables
 
 LINE_COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
 
@@ -348,6 +348,29 @@ def load_table_by_name(spark, sf):
     return tables.publish_catalog_view(spark, f"{name}_view", f"SELECT productid, unitprice FROM {name}")
 
 
+@query(
+    "compact_small_files",
+    f"""SELECT {', '.join(LINE_COLUMNS)}, CAST(YEAR(l_shipdate) AS INTEGER) AS year, TRUE AS small_went, TRUE AS large_stayed
+        FROM lineitem""",
+)
+def compact_small_files(spark, sf):
+    """Many small appends and one large file a year: the small ones become few, the large ones stay."""
+    path, year = scratch_path(spark, "appends"), F.year("l_shipdate").cast("int").alias("year")
+    rows = lines(spark, sf).select("*", year)
+    late = F.col("l_orderkey") % 10 > 5
+    rows.filter(~late).coalesce(1).write.partitionBy("year").parquet(path)
+    large = compaction.stored_files(spark, path)
+    for part in range(6, 10):
+        rows.filter(F.col("l_orderkey") % 10 == part).coalesce(1).write.mode("append").partitionBy("year").parquet(path)
+    before = compaction.stored_files(spark, path)
+    least = min(f.size for f in large)
+    compaction.compact(spark, path, target_bytes=least, least_share=0.9)
+    after = {f.path for f in compaction.stored_files(spark, path)}
+    went = F.lit(len(after) < len(before)).alias("small_went")
+    stayed = F.lit({f.path for f in large} <= after).alias("large_stayed")
+    return partitions.read_known(spark, path, rows.schema, ["year"]).select("*", went, stayed)
+
+
 @query("layout_preserves_rows", f"SELECT {', '.join(LINE_COLUMNS)} FROM lineitem")
 def layout_preserves_rows(spark, sf):
     path = scratch_path(spark, "clustered")
