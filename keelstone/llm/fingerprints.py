@@ -33,18 +33,38 @@ WIDTHS = (24, 6, 2)
 WINDOWS_LONG = 4
 SAMPLES = 64
 
-_tables: dict[tuple[int, int], np.ndarray] = {}
+#: Places whose powers are tabled; those of later places are a block's times one within it.
+_BLOCK = 1 << 16
+#: Windows of a text that are hashed at once; a longer text goes by in stretches.
+STRETCH = 1 << 20
 
 
-def _powers(base: int, prime: int, count: int) -> np.ndarray:
-    table = _tables.get((base, prime))
-    if table is None or len(table) < count:
-        table = np.ones(1, np.uint64)
-        while len(table) < count:
-            step = np.uint64(pow(base, len(table), prime))
-            table = np.concatenate([table, table * step % np.uint64(prime)])
-        _tables[base, prime] = table
-    return table[:count]
+def _table(base: int, prime: int) -> np.ndarray:
+    """``base ** 0 .. base ** (_BLOCK - 1)`` modulo the prime."""
+    table = np.ones(1, np.uint64)
+    while len(table) < _BLOCK:
+        table = np.concatenate([table, table * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)])
+    return table
+
+
+_INVERSES = tuple(pow(base, -1, prime) for base, prime in zip(BASES, PRIMES, strict=True))
+_tables = {(base, prime): _table(base, prime) for k, prime in enumerate(PRIMES) for base in (BASES[k], _INVERSES[k])}
+
+
+def _powers(base: int, prime: int, first: int, count: int) -> np.ndarray:
+    """``base ** first .. base ** (first + count - 1)`` modulo the prime."""
+    table = _tables[base, prime]
+    if first + count <= _BLOCK:
+        return table[first : first + count]
+    out = np.empty(count, np.uint64)
+    at = first
+    while at < first + count:
+        block, inside = divmod(at, _BLOCK)
+        size = min(_BLOCK - inside, first + count - at)
+        part = table[inside : inside + size] * np.uint64(pow(base, block * _BLOCK, prime))
+        out[at - first : at - first + size] = _modulo(part, np.uint64(prime))
+        at += size
+    return out
 
 
 def _modulo(values: np.ndarray, prime: np.uint64) -> np.ndarray:
@@ -60,26 +80,30 @@ class PrefixHash:
         self.sums = []
         for base, prime in zip(BASES, PRIMES, strict=True):
             p = np.uint64(prime)
-            terms = _modulo((codes.astype(np.uint64) + np.uint64(1)) * _powers(base, prime, len(codes)), p)
             sums = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(terms, out=sums[1:])
-            self.sums.append(_modulo(sums, p))
+            for at in range(0, len(codes), _BLOCK):
+                part = codes[at : at + _BLOCK].astype(np.uint64) + np.uint64(1)
+                terms = _modulo(part * _powers(base, prime, at, len(part)), p)
+                terms[0] += sums[at]
+                sums[at + 1 : at + 1 + len(part)] = _modulo(np.cumsum(terms), p)
+            self.sums.append(sums)
 
     def span(self, start: int, end: int) -> int:
         """62-bit hash of one span."""
         out = 0
-        for sums, base, prime in zip(self.sums, BASES, PRIMES, strict=True):
-            back = int(_powers(pow(base, -1, prime), prime, self.length + 1)[start])
+        for sums, inverse, prime in zip(self.sums, _INVERSES, PRIMES, strict=True):
+            back = int(_powers(inverse, prime, start, 1)[0])
             out = out << 31 | (int(sums[end]) - int(sums[start])) * back % prime
         return out
 
-    def windows(self, width: int, first: int = 0) -> np.ndarray:
-        """Hashes of all spans of ``width`` codes, from the one at ``first`` on."""
+    def windows(self, width: int, first: int = 0, most: int | None = None) -> np.ndarray:
+        """Hashes of all spans of ``width`` codes, from the one at ``first`` on, or of so many."""
         count = max(0, self.length - width + 1 - first)
+        count = count if most is None else min(count, most)
         out = np.zeros(count, np.uint64)
-        for sums, base, prime in zip(self.sums, BASES, PRIMES, strict=True):
+        for sums, inverse, prime in zip(self.sums, _INVERSES, PRIMES, strict=True):
             p = np.uint64(prime)
-            back = _powers(pow(base, -1, prime), prime, self.length + 1)[first : first + count]
+            back = _powers(inverse, prime, first, count)
             low, high = sums[first : first + count], sums[first + width : first + width + count]
             out = (out << np.uint64(31)) | _modulo((high + p - low) * back, p)
         return out
@@ -118,6 +142,16 @@ def windows_of(prefix: PrefixHash, width: int, first: int = 0) -> np.ndarray:
     return mixed(prefix.windows(width, first))
 
 
+def sample(prefix: PrefixHash, width: int) -> np.ndarray:
+    """The smallest hashes of the windows, a stretch of them at a time."""
+    if prefix.length <= STRETCH:
+        return smallest(windows_of(prefix, width))
+    best = np.zeros(0, np.uint64)
+    for at in range(0, prefix.length - width + 1, STRETCH):
+        best = np.unique(np.concatenate([best, smallest(mixed(prefix.windows(width, at, STRETCH)))]))[:SAMPLES]
+    return best
+
+
 def render(length: int, whole: int, samples: list[np.ndarray]) -> str:
     """Length, whole hash and the samples of all widths as text."""
     return ":".join([f"{length}", f"{whole:016x}", *(".".join([f"{v:016x}" for v in s.tolist()]) for s in samples)])
@@ -156,7 +190,7 @@ def _dice(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprint(text: str | None) -> str:
     """Fingerprint of a text; null is empty."""
     prefix = PrefixHash(codes_of(text or ""))
-    samples = [smallest(windows_of(prefix, width)) for width in WIDTHS]
+    samples = [sample(prefix, width) for width in WIDTHS]
     return render(prefix.length, prefix.span(0, prefix.length), samples)
 
 
@@ -166,8 +200,9 @@ class _Text:
     def __init__(self, doc_id, text: str) -> None:
         self.doc_id, self.codes = doc_id, codes_of(text)
         self.prefix = PrefixHash(self.codes)
-        self.windows = [windows_of(self.prefix, width) for width in WIDTHS]
-        self.samples = [smallest(w) for w in self.windows]
+        # Kept for the edited text; a very long text is hashed again instead.
+        self.windows = [windows_of(self.prefix, width) for width in WIDTHS] if len(self.codes) <= STRETCH else []
+        self.samples = [smallest(w) for w in self.windows] or [sample(self.prefix, width) for width in WIDTHS]
         self.print = render(self.prefix.length, self.prefix.span(0, self.prefix.length), self.samples)
 
     def edited_by(self, following: _Text) -> tuple:
@@ -176,8 +211,8 @@ class _Text:
         cut = n - n // 3
         edited = np.concatenate([self.codes[:cut], following.codes[: n // 3]])
         whole = PrefixHash(edited)
-        samples = []
-        for width, windows in zip(WIDTHS, self.windows, strict=True):
+        samples = [] if self.windows else [sample(whole, width) for width in WIDTHS]
+        for width, windows in zip(WIDTHS, self.windows, strict=False):
             kept = max(0, cut - width + 1)
             samples.append(smallest(np.concatenate([windows[:kept], windows_of(whole, width, kept)])))
         edited_print = render(len(edited), whole.span(0, len(edited)), samples)

@@ -336,7 +336,7 @@ class ForcedEncoder:
         inner = ends[(ends > 0) & (ends < len(data))]
         start[inner] = solid[inner]
         starts = np.flatnonzero(start)
-        moved = np.zeros(len(data) + 1, np.int64)
+        moved = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
         np.cumsum(solid, out=moved[1:])
         packed = data[solid]
         ids, counts = self.table.ids(packed, np.r_[moved[starts], len(packed)])

@@ -144,7 +144,8 @@ class WordEncoder:
         mark[1:-1] |= letter[:-1] & sign[1:]
         del first
         # Gaps go; bounds and document offsets move with what is left.
-        moved = np.r_[0, np.cumsum(solid)]
+        moved = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum(solid, out=moved[1:])
         places = np.flatnonzero(mark)
         bounds = moved[places]
         packed = data[solid]

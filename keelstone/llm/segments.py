@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from keelstone.llm.batches import ragged
+from keelstone.llm.batches import ragged, tidy
 
 #: Flat ids of several segments, and how many each has.
 Encoded = tuple[np.ndarray, np.ndarray]
@@ -34,9 +34,23 @@ class SegmentTable:
         self.flat, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> Encoded:
-        """Ids of the segments between consecutive ``bounds`` of UTF-8 ``data``."""
+        """Ids of the segments between consecutive ``bounds`` of UTF-8 ``data``.
+
+        A very long text is looked up in stretches of whole segments.
+        """
         if len(bounds) < 2:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if bounds[-1] - bounds[0] > 2 * LOOKUP_BYTES:
+            cuts = np.unique(np.searchsorted(bounds, np.arange(bounds[0], bounds[-1], LOOKUP_BYTES), "right") - 1)
+            cuts = np.r_[cuts, len(bounds) - 1]
+            if len(cuts) > 2:
+                parts = []
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    low, high = int(bounds[a]), int(bounds[b])
+                    parts.append(self.ids(data[low:high], bounds[a : b + 1] - low))
+                    tidy()
+                flat, counts = zip(*parts, strict=True)
+                return np.concatenate(flat), np.concatenate(counts)
         segments = pa.LargeStringArray.from_buffers(
             len(bounds) - 1,
             pa.py_buffer(np.ascontiguousarray(bounds, np.int64)),

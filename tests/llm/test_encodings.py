@@ -9,12 +9,13 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keelstone.llm import codes, forced, middles
+from keelstone.llm import codes, fingerprints, forced, middles, pieces, records, segments, words
 from keelstone.llm.catalog import vocabulary
 from tests.llm.data import CLASHING, documents, edge_texts, no_documents, prose
 
@@ -296,3 +297,59 @@ def test_texts_with_white_space_of_their_own_go_alone():
     ids, first = own.encode(pa.array([" ".join(texts)]))
     assert ids.tolist() == Tokenizer.from_file(WORDS).encode(" ".join(texts), add_special_tokens=False).ids
     assert first.tolist() == [0, len(ids)]
+
+
+# Very long texts ---------------------------------------------------------------------------
+
+
+def test_long_texts_are_looked_up_in_stretches(monkeypatch):
+    monkeypatch.setattr(segments, "LOOKUP_BYTES", 64)
+    texts = [t for t in edge_texts() if t is not None] + odd_texts()[:40] + ["y" * 500 + " z"]
+    library = Tokenizer.from_file(WORDS)
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    pieces_path = vocabulary("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
+
+    def lists(found):
+        ids, first = found
+        return [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    assert lists(forced.ForcedEncoder(WORDS).encode(pa.array(texts))) == wanted
+    assert lists(records.WordEncoder(WORDS).encode(pa.array(texts))) == wanted
+    pieces._models.clear()
+    assert lists(pieces.encode_texts(pieces_path, pa.array(texts))) == model.encode(texts)
+
+
+def test_long_texts_have_the_same_fingerprint(monkeypatch):
+    texts = [prose(k, 40 + 30 * k) for k in range(6)] + ["", "ab", "x" * 400]
+    wanted = [fingerprints.fingerprint(t) for t in texts]
+    whole = [fingerprints._Text(k, t) for k, t in enumerate(texts)]
+    edited = [a.edited_by(b) for a, b in zip(whole[1:], whole, strict=False)]
+    monkeypatch.setattr(fingerprints, "STRETCH", 100)
+    assert [fingerprints.fingerprint(t) for t in texts] == wanted
+    cut = [fingerprints._Text(k, t) for k, t in enumerate(texts)]
+    assert [a.edited_by(b) for a, b in zip(cut[1:], cut, strict=False)] == edited
+
+
+def test_prefix_hashes_across_blocks():
+    codes = np.random.default_rng(1).integers(0, 0x110000, 150_000).astype(np.uint32)
+    prefix = fingerprints.PrefixHash(codes)
+    for start, end in ((0, 5), (65_530, 65_545), (70_000, 140_000), (131_071, 131_073)):
+        wanted = 0
+        for base, prime in zip(fingerprints.BASES, fingerprints.PRIMES, strict=True):
+            value = sum((int(c) + 1) * pow(base, k, prime) for k, c in enumerate(codes[start:end].tolist())) % prime
+            wanted = wanted << 31 | value
+        assert prefix.span(start, end) == wanted
+    windows = prefix.windows(6)
+    assert windows[65_533] == prefix.span(65_533, 65_539)
+    assert (prefix.windows(6, 65_000, 2000) == windows[65_000:67_000]).all()
+
+
+def test_byte_hashes_across_blocks():
+    data = np.random.default_rng(2).integers(0, 256, 200_000).astype(np.uint8)
+    data[140_000:140_100] = data[65_500:65_600]
+    sums = words.rolling(data)
+    starts = np.array([65_500, 140_000, 0, 131_000])
+    hashes = words.span_hashes(sums, starts, starts + 100)
+    alone = [words.span_hashes(words.rolling(data[s : s + 100]), np.array([0]), np.array([100]))[0] for s in starts]
+    assert hashes.tolist() == alone and hashes[0] == hashes[1] != hashes[2]
