@@ -2,6 +2,10 @@
 
 Each stage calls one operator on all that the stage before it kept; its rows are written as
 Parquet and read again by the next. All but the last return the columns of ``documents``.
+
+A null or empty text is clean in every filter, and encodes to nothing. Rows that repeat an id
+are one document to ``near_dedup``, which keeps one of them, and each its own to the other
+stages; rows without an id all stay. An empty table stays empty.
 """
 
 from __future__ import annotations
