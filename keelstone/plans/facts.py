@@ -69,9 +69,9 @@ def fact_load(
     else:
         lines = first_per_key(lines, business_keys)
     keeping = {str(i): spec for i, spec in enumerate(lookups) if spec.miss != "drop"}
-    taken = [name for spec in keeping.values() for name in spec.take.values()]
     numbered = number_rows(lines, business_keys, sk) if target is None else assign_surrogate_keys(lines, target, business_keys, sk)
-    facts = lookup_many(numbered, keeping).select(*lines.columns, *taken, sk)
+    facts = lookup_many(numbered, keeping)
+    facts = facts.select(*[c for c in facts.columns if c != sk], sk)
     if target is None:
         return facts
     return merge(target, facts.filter(~any_null(business_keys)), business_keys, source_is_unique=True)

@@ -220,16 +220,14 @@ def load_partitioned(
             raise ValueError("partition columns must be part of the business key")
         rows = cut_lineage(rows if options.effective else _one_per_key(rows, options))
         whole_dim = read_known(spark, path, schema, partition_by) if written else empty_frame(spark, schema)
-        touched = touched_partitions(rows, partition_by)
-        if touched is not None:
-            part = whole_dim.filter(touched).select(*schema.names)
-            if options.effective:
-                new = splice_history(rows, part, options.scd, options.effective, numbered_in=whole_dim)
-            else:
-                new = scd_load(rows, part, options.scd, options.as_of, numbered_in=whole_dim)
-            replace_partitions(new, path, partition_by)
-        elif not written:
-            write_partitioned(whole_dim, path, partition_by)
+        part = whole_dim
+        if written:
+            part = whole_dim.filter(touched_partitions(rows, partition_by)).select(*schema.names)
+        if options.effective:
+            new = splice_history(rows, part, options.scd, options.effective, numbered_in=whole_dim)
+        else:
+            new = scd_load(rows, part, options.scd, options.as_of, numbered_in=whole_dim)
+        replace_partitions(new, path, partition_by)
     else:
         raise ValueError(f"unknown strategy: {options.strategy}")
     return read_known(spark, path, schema, partition_by)

@@ -176,10 +176,8 @@ def _load_fact_partitions(
     changed = rows.select(*by)
     if has_rows_written(spark, gold_path):
         changed = changed.unionByName(_late_members(read_partitioned(gold_path, rows, by), lookups, by))
-    touched = touched_partitions(changed, by)
-    if touched is not None:
-        silver = read_partitioned(silver_path, rows, by).filter(touched)
-        replace_partitions(gold_fact(silver, lookups, fact.quantity, fact.price), gold_path, by)
+    silver = read_partitioned(silver_path, rows, by).filter(touched_partitions(changed, by))
+    replace_partitions(gold_fact(silver, lookups, fact.quantity, fact.price), gold_path, by)
     return read_partitioned(gold_path, rows, by)
 
 

@@ -58,15 +58,15 @@ def _partition_text(partition_by: Sequence[str]) -> Column:
     return F.concat_ws("\x1f", *parts)
 
 
-def touched_partitions(source: DataFrame, partition_by: Sequence[str]) -> Column | None:
-    """Predicate for the partitions ``source`` has rows in; None if it has none.
+def touched_partitions(source: DataFrame, partition_by: Sequence[str]) -> Column:
+    """Predicate for the partitions ``source`` has rows in.
 
-    The values come to the driver, where the file listing already has one entry per
-    partition folder. They are one set of literals over partition columns alone, so
-    folders are chosen before the scan starts, however many there are.
+    No job runs here: the values are a scalar subquery, which Spark evaluates before the scan
+    it filters. As a filter on partition columns alone it chooses the folders to open then,
+    where the listing has one entry for each of them.
     """
-    values = source.select(_partition_text(partition_by).alias("p")).distinct().collect()
-    return _partition_text(partition_by).isin([r.p for r in values]) if values else None
+    texts = source.select(_partition_text(partition_by).alias("p")).agg(F.collect_set("p").alias("ps"))
+    return F.array_contains(texts.scalar(), _partition_text(partition_by))
 
 
 def read_partitioned(path: str, like: DataFrame, partition_by: Sequence[str]) -> DataFrame:
@@ -108,10 +108,7 @@ def merge_partitions(
     missing = [c for c in partition_by if c not in keys]
     if missing:
         raise ValueError(f"partition columns must be part of the merge key: {missing}")
-    touched = touched_partitions(source, partition_by)
-    if touched is None:
-        return
-    slice_ = read_partitioned(path, source, partition_by).filter(touched)
+    slice_ = read_partitioned(path, source, partition_by).filter(touched_partitions(source, partition_by))
     replace_partitions(merge(slice_, source, keys, **merge_options), path, partition_by)
 
 
