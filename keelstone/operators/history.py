@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from keelstone.operators.columns import any_null
 from keelstone.operators.joins import keyed_join
 from keelstone.operators.keys import max_key, number_missing
 from keelstone.operators.merge import placeable
