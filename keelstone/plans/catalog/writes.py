@@ -348,20 +348,29 @@ def load_table_by_name(spark, sf):
     return tables.publish_catalog_view(spark, f"{name}_view", f"SELECT productid, unitprice FROM {name}")
 
 
+# Our choice: rows of a year from which its files are more than one.
+FILE_ROWS = 3_000_000
+
+
 @query(
     "compact_small_files",
     f"""SELECT {', '.join(LINE_COLUMNS)}, CAST(YEAR(l_shipdate) AS INTEGER) AS year, TRUE AS small_went, TRUE AS large_stayed
         FROM lineitem""",
 )
 def compact_small_files(spark, sf):
-    """Many small appends and one large file a year: the small ones become few, the large ones stay."""
+    """Many small appends and large files of every year: the small ones become few, the large ones stay."""
     path, year = scratch_path(spark, "appends"), F.year("l_shipdate").cast("int").alias("year")
     rows = lines(spark, sf).select("*", year)
     late = F.col("l_orderkey") % 10 > 5
-    rows.filter(~late).coalesce(1).write.partitionBy("year").parquet(path)
+    dealt, files = partitions.dealt_evenly(rows, ["year"], FILE_ROWS)
+
+    def append(some):
+        some.repartitionById(files, F.col(partitions.PIECE)).drop(partitions.PIECE).write.mode("append").partitionBy("year").parquet(path)
+
+    append(dealt.filter(~late))
     large = compaction.stored_files(spark, path)
     for part in range(6, 10):
-        rows.filter(F.col("l_orderkey") % 10 == part).coalesce(1).write.mode("append").partitionBy("year").parquet(path)
+        append(dealt.filter(F.col("l_orderkey") % 10 == part))
     before = compaction.stored_files(spark, path)
     least = min(f.size for f in large)
     compaction.compact(spark, path, target_bytes=least, least_share=0.9)

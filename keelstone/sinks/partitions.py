@@ -18,6 +18,8 @@ from keelstone.operators.merge import merge
 from keelstone.sinks.folders import from_folders, to_folders
 from keelstone.types import as_schema
 
+PIECE = "_piece"
+
 
 def add_date_parts(df: DataFrame, column: str, year: str = "year", month: str = "month") -> DataFrame:
     """Year and month columns to partition by."""
@@ -37,6 +39,28 @@ def write_partitioned(
     rows.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def dealt_evenly(df: DataFrame, partition_by: Sequence[str], max_rows: int) -> tuple[DataFrame, int]:
+    """``df`` with the piece of its partition value that a row is dealt to, and how many there are.
+
+    A value has as few pieces as keep them near ``max_rows`` rows, all about equal; pieces are
+    numbered through. Rows are dealt by chance: copies and hot keys spread like others. The
+    driver gets a line per partition value, as it does from a listing of the folders.
+    """
+    found = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n")).collect()
+    places, pieces = [], 0
+    for row in found:
+        places.append((*row[:-1], pieces, own := -(-row[-1] // max_rows)))
+        pieces += own
+    fields = [T.StructField(f"_p_{c}", df.schema[c].dataType) for c in partition_by]
+    fields += [T.StructField(c, T.IntegerType()) for c in ("_first", "_pieces")]
+    at = F.broadcast(df.sparkSession.createDataFrame(places, T.StructType(fields)))
+    same: Column = F.lit(True)
+    for c in partition_by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    piece = F.col("_first") + F.floor(F.rand(0) * F.col("_pieces")).cast("int")
+    return df.join(at, same, "left").withColumn(PIECE, piece).select(*df.columns, PIECE), max(pieces, 1)
+
+
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace the partitions ``df`` has rows for; all others stay.
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from keelstone.plans.catalog import writes as W
 from keelstone.sinks import compaction as C
 from keelstone.sinks import partitions
 from tests.util import rows
@@ -127,3 +128,30 @@ def test_work_without_a_journal_is_dropped(spark, table):
     spark.range(3).write.parquet(f"{table}/{C.WORK}/x/new")
     assert C.finish(spark, table) == 0
     assert held(spark, table) == content and C.compact(spark, str(table), 1) == (0, 0)
+
+
+def test_partition_values_are_dealt_into_pieces(spark):
+    some = spark.range(9_000).select("id", F.when(F.col("id") < 8_000, F.lit("a")).when(F.col("id") < 8_900, F.lit("")).alias("p"))
+    dealt, pieces = partitions.dealt_evenly(some, ["p"], 1_000)
+    found = dealt.groupBy("p", partitions.PIECE).count().collect()
+    assert pieces == 10 and sorted(r[partitions.PIECE] for r in found) == [*range(10)]
+    assert sorted(r["count"] for r in found if r.p is None) == [100]
+    assert all(800 < r["count"] < 1_200 for r in found if r.p == "a")
+    assert rows(dealt.drop(partitions.PIECE)) == rows(some)
+    assert partitions.dealt_evenly(some.limit(0), ["p"], 5)[0].count() == 0
+
+
+def test_the_written_files_have_a_bounded_size(spark, tmp_path, monkeypatch):
+    made = spark.range(60_000).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "xxhash64(id) AS l_partkey", "id / 7 AS l_quantity",
+        "CAST(make_date(1998 + CAST(id DIV 10 % 2 AS INT), 3, 1) AS TIMESTAMP_NTZ) AS l_shipdate",
+    )
+    made.write.parquet(f"{tmp_path}/lineitem.parquet")
+    lists, real = [], C.stored_files
+    monkeypatch.setattr(C, "stored_files", lambda *a: lists.append(real(*a)) or lists[-1])
+    monkeypatch.setattr(W, "FILE_ROWS", 10_000, raising=False)
+    found = W.compact_small_files(spark, str(tmp_path))
+    large = spark.read.parquet(*[f.path for f in lists[0]]).groupBy("_metadata.file_path").count().collect()
+    assert len(large) == len(lists[0]) == 6 and max(r["count"] for r in large) < 10_000
+    assert len(lists[1]) == 30 and found.filter("small_went AND large_stayed").count() == 60_000
+    assert rows(found.select(*W.LINE_COLUMNS)) == rows(made)
