@@ -13,7 +13,7 @@ from keelstone.operators.columns import any_null, enforce_schema
 from keelstone.operators.dedupe import first_per_key, latest_per_key
 from keelstone.operators.history import splice_history
 from keelstone.operators.incremental import incremental_extract
-from keelstone.operators.joins import unique_or_fail
+from keelstone.operators.joins import fits_broadcast, unique_or_fail
 from keelstone.operators.merge import merge, merge_tagged
 from keelstone.operators.scd import ScdSpec, scd_load
 from keelstone.session import cut_lineage
@@ -126,6 +126,23 @@ def _one_per_key(rows: DataFrame, options: LoadOptions) -> DataFrame:
     return first_per_key(rows, keys)
 
 
+def _increment(fresh: DataFrame, options: LoadOptions, first_load: bool) -> tuple[DataFrame, bool]:
+    """The rows to merge, one per key, and whether they may fit a broadcast.
+
+    Kept once, so that measuring and merging do not repeat the extract. Rows that have to be
+    unique are kept as they come: where they are too large for a broadcast, the shuffle that
+    checks them is the one that the join needs.
+    """
+    if first_load:
+        return _one_per_key(fresh, options), False
+    if options.ignore_duplicates:
+        return cut_lineage(_one_per_key(fresh, options)), True
+    kept = cut_lineage(fresh)
+    if fits_broadcast(kept):
+        return cut_lineage(_one_per_key(kept, options)), True
+    return _one_per_key(kept, options), False
+
+
 def next_state(
     source: DataFrame, target: DataFrame, options: LoadOptions, first_load: bool = False
 ) -> DataFrame:
@@ -139,16 +156,13 @@ def next_state(
         fresh = source
         if options.watermark:
             fresh = incremental_extract(source, target, options.watermark)
-        rows = _one_per_key(fresh, options)
-        if not first_load:
-            # Kept once, so that measuring and merging do not repeat the extract.
-            rows = cut_lineage(rows)
+        rows, small = _increment(fresh, options, first_load)
         return (merge_tagged if options.change_feed else merge)(
             target,
             rows,
             options.business_keys,
             source_is_unique=True,
-            small_source=not first_load,
+            small_source=small,
         )
     if options.strategy == SCD_2:
         if options.scd is None:

@@ -137,12 +137,16 @@ def commit(
     partition_by: Sequence[str] = (),
     keep: int = KEEP_VERSIONS,
     retention_hours: float = RETENTION_HOURS,
+    gather: bool = True,
 ) -> DataFrame:
     """Write ``df`` as the next version, drop versions out of use, return the new state.
 
     A version goes when it is not among the last ``keep`` and was replaced more than
     ``retention_hours`` ago: frames that still read it have had that long.
 
+    Rows of a partition are gathered by one more shuffle, so that small ones make one file.
+    Without ``gather`` every task writes a file for each partition that it has rows of.
+
     ``df`` may read the current version. One writer at a time: a state computed from an
     older version than the current one would undo what came between.
     """
@@ -150,7 +154,9 @@ def commit(
     # Folders of failed writes keep their number: the next one is above all of them.
     claimed = [_number(folder) for folder in _found(spark, f"{path}/{_VERSION}*")]
     version = max(claimed, default=0) + 1
-    rows = to_folders(df, partition_by).hint("rebalance", *partition_by) if partition_by else df
+    rows = to_folders(df, partition_by)
+    if partition_by and gather:
+        rows = rows.hint("rebalance", *partition_by)
     rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(version_path(path, version))
     markers = {_number(m.getParent()): m for m in _found(spark, f"{path}/{_VERSION}*/_SUCCESS")}
     known = sorted(markers)
@@ -169,10 +175,11 @@ def commit_tagged(tagged: DataFrame, path: str) -> DataFrame:
 
     Both are visible with the version's marker or not at all. ``read_feed`` returns what
     changed; all else treats such a version as any other. An empty state keeps its schema.
+    The tasks of the merge write both parts: two folders need no shuffle to gather them.
     """
     spark = tagged.sparkSession
     columns = T.StructType([f for f in tagged.schema.fields if f.name not in (PART, CHANGE_TYPE)])
-    commit(tagged, path, [PART])
+    commit(tagged, path, [PART], gather=False)
     version = versions(spark, path)[-1]
     state = f"{version_path(path, version)}/{PART}={STATE}"
     return spark.read.schema(columns).parquet(state) if _found(spark, state) else empty_frame(spark, columns)

@@ -5,11 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from keelstone.operators import aggregates as A
 from keelstone.operators.aggregates import AggregateSpec, aggregate_rows, maintain_aggregate
 from keelstone.operators.changes import CHANGE_TYPE, change_feed
 from keelstone.operators.merge import FEED, PART, STATE, merge, merge_tagged
 from keelstone.plans import load as L
 from keelstone.plans.gold import refresh_aggregate
+from keelstone.session import cut_lineage, scratch_table
 from keelstone.sinks import tables
 from tests.util import plan, rows
 
@@ -61,6 +63,52 @@ def test_the_table_is_read_for_lost_extremes_only(spark, tmp_path):
     assert rows(lost) == rows(aggregate_rows(fewer, SPEC))
 
 
+def test_changes_are_shuffled_once_as_sums(spark, tmp_path, monkeypatch):
+    path, plans = str(tmp_path / "fact"), []
+    frame(spark, [(i, "ab"[i % 2], i, i) for i in range(20)]).write.parquet(path)
+    fact = spark.read.parquet(path)
+    stored = aggregate_rows(fact, SPEC).localCheckpoint()
+    monkeypatch.setattr(A, "scratch_table", lambda df, name: plans.append(plan(df)) or scratch_table(df, name))
+
+    def maintained(values, after):
+        plans.clear()
+        changed = spark.createDataFrame(values, f"id int, g string, v int, w int, {CHANGE_TYPE} string").withColumn("w", F.col("w").cast("decimal(9,2)"))
+        return maintain_aggregate(stored, changed, after, SPEC)
+
+    # The least of a goes for a lesser one.
+    after = fact.withColumn("v", F.expr("if(id = 0, -1, v)"))
+    moved = maintained([(0, "a", 0, 0, "update_preimage"), (0, "a", -1, 0, "update_postimage")], after)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1] and path not in plan(moved)
+    assert rows(moved) == rows(aggregate_rows(after, SPEC))
+    # Rows with the extremes are updated beside them: netted, and the table is not read.
+    same = maintained([(k, "ab"[k % 2], k, k, f"update_{way}image") for k in (0, 1, 18, 19) for way in ("pre", "post")], fact)
+    assert len(plans) == 2 and path not in plan(same)
+    assert rows(same) == rows(aggregate_rows(fact, SPEC))
+    # What came in one version and went in the next leaves the stored least; that of b went for good.
+    values = [(9, "b", 9, 9, "update_preimage"), (9, "b", 1, 9, "update_postimage"), (9, "b", 1, 9, "delete"), (1, "b", 1, 1, "delete")]
+    fewer = fact.filter("id not in (1, 9)")
+    assert rows(maintained(values, fewer)) == rows(aggregate_rows(fewer, SPEC))
+    assert rows(maintained(values[:3], fact.filter("id <> 9"))) == rows(aggregate_rows(fact.filter("id <> 9"), SPEC))
+
+
+def test_a_large_increment_is_shuffled_by_key_once(spark, tmp_path, monkeypatch):
+    target, source = (spark.range(a, a + 50).select(F.col("id").cast("int"), F.lit(a).alias("v")) for a in (0, 30))
+    path, options, kept = str(tmp_path / "t"), L.LoadOptions(L.INCREMENTAL, ("id",), change_feed=True), []
+    monkeypatch.setattr("keelstone.operators.merge.fits_broadcast", lambda df: False)
+    monkeypatch.setattr("keelstone.plans.load.fits_broadcast", lambda df: False, raising=False)
+    monkeypatch.setattr("keelstone.plans.load.cut_lineage", lambda df: kept.append(plan(df)) or cut_lineage(df))
+    merged = L.next_state(source, target, options)
+    assert sum(p.count("Exchange hashpartitioning") for p in [*kept, plan(merged)]) == 2
+    assert merged.filter(F.col(PART) == STATE).count() == 80
+    with pytest.raises(Exception, match="not unique by id"):
+        L.next_state(source.unionByName(source), target, options).collect()
+    # Both parts are written by the tasks of the merge.
+    L.load(target, path, "id int, v int", options)
+    monkeypatch.setattr(type(target), "hint", lambda *a: pytest.fail("gathered by a shuffle"))
+    assert L.load(source, path, "id int, v int", options).count() == 80
+    assert tables.read_feed(spark, path, 1).count() == 70
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_tagged_merge_is_the_merge_and_its_feed(spark, small):
     target, source = frame(spark, [*state(1), (None, "n", 1, 1)]), frame(spark, state(2))
